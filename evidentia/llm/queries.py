@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from . import hostrules, tokens, warc
+from . import flac, hostrules, neardup, pairwise, repeats, tokens, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,26 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("failed", "host_closed")
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.write_media(table(spark, sf_dir, "documents")))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -24,7 +44,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_boundaries(tokens.write_ids(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op6_packing, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op9_toxicity, op10_token_ids)}
 
 SQL: dict[str, str] = {}
 
