@@ -386,8 +386,8 @@ def q_latest_terminal(spark, d):
 
 
 @query("""
-WITH g AS (SELECT user_id, epoch(ts) AS at, event_id, coalesce((epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) > 3600)::INTEGER, 0) AS fresh FROM events),
-i AS (SELECT user_id, at, sum(fresh) OVER (PARTITION BY user_id ORDER BY at, event_id) AS island FROM g)
+WITH g AS (SELECT user_id, epoch(ts) AS tt, event_id, coalesce((epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) > 3600)::INTEGER, 0) AS fresh FROM events),
+i AS (SELECT user_id, tt, sum(fresh) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS island FROM g)
 SELECT user_id, island::BIGINT AS island, count(*) AS n FROM i GROUP BY ALL
 """)
 def q_gaps_islands(spark, d):
@@ -437,7 +437,7 @@ def q_prevalence_rollup(spark, d):
 
 
 @query("""
-WITH j AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_quantity < 10 THEN 'quantity' END, CASE WHEN l_tax > 0.06 THEN 'tax' END, CASE WHEN l_discount > 0.08 THEN 'discount' END], lambda x: x IS NOT NULL) AS why FROM lineitem),
+WITH j AS (SELECT *, list_filter([CASE WHEN l_quantity < 10 THEN 'quantity' END, CASE WHEN l_tax > 0.06 THEN 'tax' END, CASE WHEN l_discount > 0.08 THEN 'discount' END], lambda x: x IS NOT NULL) AS why FROM lineitem),
 f AS (SELECT l_orderkey, arg_min(why, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS why FROM j WHERE len(why) > 0 GROUP BY l_orderkey), e AS (SELECT unnest(why) AS blocker FROM f) SELECT blocker, count(*) AS n FROM e GROUP BY blocker
 """)
 def q_first_blocker(spark, d):
