@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     edges = stored(buckets.join(lead, "band").filter("rep != lead").select("lead", F.col("rep").alias("x")).distinct(), "edges")
     counts = edges.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
     roster = edges.union(counts.select("lead", F.col("lead").alias("x")))
-    texts = stored(roster.join(base, F.col("x") == F.col("doc_id")).select("lead", "x", "text"), "candidates")
+    # a merge join at every size: the list of candidates grows with the corpus, so it is never broadcast
+    texts = stored(roster.hint("merge").join(base, F.col("x") == F.col("doc_id")).select("lead", "x", "text"), "candidates")
     parts = F.ceil(F.col("n") / STAR).cast("int")
     dealt = texts.join(counts, "lead")
     salts = F.when(F.col("x") == F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), parts).cast("int")))
