@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from . import flac, hostrules, neardup, pairwise, repeats, tokens, toxicity, warc
+from . import flac, hostrules, neardup, pairwise, repeats, segments, tokens, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segment(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_boundaries(tokens.write_ids(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op9_toxicity, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op8_nbest_pieces, op9_toxicity, op10_token_ids)}
 
 SQL: dict[str, str] = {}
 
