@@ -32,14 +32,21 @@ def long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
-GOOD, TOXIC = F.col("quality") == 1, F.col("toxic") == 1
+def good():
+    return F.col("quality") == 1
+
+
+def toxic():
+    return F.col("toxic") == 1
+
+
 _CELLS = "count(*) FILTER (quality = 1 AND toxic = 1) AS \"both\", count(*) FILTER (quality = 1 AND toxic <> 1) AS a_only, count(*) FILTER (quality <> 1 AND toxic = 1) AS b_only, count(*) FILTER (quality <> 1 AND toxic <> 1) AS neither"
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
 @query(f"SELECT {_CELLS} FROM labels")
 def q_contingency_quality_toxic(spark, d):
-    return relational.contingency(t(spark, d, "labels"), GOOD, TOXIC)
+    return relational.contingency(t(spark, d, "labels"), good(), toxic())
 
 
 @query("""
@@ -47,7 +54,7 @@ WITH c AS (SELECT count(*) AS pairs, count(*) FILTER (quality = 1 AND toxic = 0)
 SELECT pairs, b, c, round(least(1.0, 2 * list_sum(list_transform(range(greatest(b, c), b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))))), 6) AS p_value FROM c
 """)
 def q_mcnemar_quality_vs_toxic(spark, d):
-    long_ = t(spark, d, "labels").select("doc_id", F.explode(F.array(F.struct(F.lit("quality").alias("arm"), GOOD.alias("v")), F.struct(F.lit("toxic").alias("arm"), TOXIC.alias("v")))).alias("r")).select("doc_id", "r.*")
+    long_ = t(spark, d, "labels").select("doc_id", F.explode(F.array(F.struct(F.lit("quality").alias("arm"), good().alias("v")), F.struct(F.lit("toxic").alias("arm"), toxic().alias("v")))).alias("r")).select("doc_id", "r.*")
     counts = relational.discordance(long_, "doc_id", "arm", "v", "quality", "toxic")
     return counts.select("pairs", "b", "c", F.round(stats.binomial_two_sided("b", "c"), 6).alias("p_value"))
 
@@ -64,7 +71,7 @@ f AS (SELECT p.lang, round(least(1.0, sum(q) FILTER (q <= obs * (1 + 1e-9))), 6)
 
 def _fisher(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "lang")
-    cells = relational.contingency(t(spark, d, "labels").join(docs, "doc_id"), GOOD, TOXIC, ["lang"])
+    cells = relational.contingency(t(spark, d, "labels").join(docs, "doc_id"), good(), toxic(), ["lang"])
     return cells.withColumn("p_value", F.round(stats.fisher_two_sided("both", "a_only", "b_only", "neither"), 6))
 
 
@@ -92,7 +99,7 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
 """)
 def q_admission_rate_by_source(spark, d):
     rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    admitted = F.count_if(F.coalesce(GOOD, F.lit(False)))
+    admitted = F.count_if(F.coalesce(good(), F.lit(False)))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), admitted.alias("admitted"), F.try_divide(admitted, F.count(F.lit(1))).alias("rate"))
 
 
@@ -102,7 +109,7 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (
 """)
 def q_strata_counts(spark, d):
     rows = t(spark, d, "documents").select("doc_id", "source", "lang").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(GOOD, F.lit(False))).alias("admitted"))
+    return rows.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(good(), F.lit(False))).alias("admitted"))
 
 
 @query("SELECT lang, min(n_chars) AS least, max(n_chars) AS most, median(n_chars)::DOUBLE AS middle FROM documents GROUP BY lang")
@@ -334,7 +341,7 @@ e AS (SELECT po, (("both" + a_only) / n) * (("both" + b_only) / n) + ((neither +
 SELECT round(po, 9) AS raw, round((po - pe) / (1 - pe), 4) AS kappa FROM e
 """)
 def q_kappa(spark, d):
-    c = relational.contingency(t(spark, d, "labels"), GOOD, TOXIC)
+    c = relational.contingency(t(spark, d, "labels"), good(), toxic())
     both, neither, a, b = (F.col(x) for x in ("both", "neither", "a_only", "b_only"))
     return c.select(F.round((both + neither) / (both + neither + a + b), 9).alias("raw"), F.round(stats.cohen_kappa(both, neither, a, b), 4).alias("kappa"))
 
@@ -364,7 +371,7 @@ def q_tau_scan(spark, d):
 @query(f"SELECT threshold, {_CELLS.replace('toxic = 1', 'n_chars >= threshold').replace('toxic <> 1', 'n_chars < threshold')} FROM labels JOIN documents USING (doc_id), (VALUES (500), (1000), (2000), (4000)) AS g(threshold) GROUP BY threshold")
 def q_threshold_curve(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (500, 1000, 2000, 4000)])))
-    return relational.contingency(rows, GOOD, F.col("n_chars") >= F.col("threshold"), ["threshold"])
+    return relational.contingency(rows, good(), F.col("n_chars") >= F.col("threshold"), ["threshold"])
 
 
 @query("SELECT event_id, user_id, sum((event_type = 'click')::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS spent, sum((event_type = 'click')::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) <= CASE WHEN event_type = 'error' THEN 12 ELSE 10 END AS allowed FROM events")
@@ -472,7 +479,7 @@ def q_ready_phases(spark, d):
 @query()
 def q_clopper_pearson(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    c = rows.groupBy("lang").agg(F.count_if(TOXIC).alias("k"), F.count(F.lit(1)).alias("n"))
+    c = rows.groupBy("lang").agg(F.count_if(toxic()).alias("k"), F.count(F.lit(1)).alias("n"))
     return c.withColumn("ci", stats.clopper_pearson("k", "n")).select("lang", "k", "n", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
 
 
