@@ -104,9 +104,12 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. Those that pass the document rules are stored once, then joined with the closed hosts."""
+    """The documents that judge() keeps, with all their columns.
+
+    Documents and their flags are stored once: a filter on the flags would otherwise be pushed below
+    the features and repeat them many times over. Then the closed hosts are joined.
+    """
     _, failed = rules()
-    flagged = features(docs).withColumn("_failed", failed).drop("_f")
-    flags = stored(features(docs.select("text", "source")).select("source", failed.alias("failed")), "flags")
-    closed = host_verdicts(flags, host_limit).filter("closed").select(F.col("source").alias("_host"))
+    flagged = stored(features(docs).withColumn("_failed", failed).drop("_f"), "flagged")
+    closed = host_verdicts(flagged.select("source", F.col("_failed").alias("failed")), host_limit).filter("closed").select(F.col("source").alias("_host"))
     return flagged.filter(~F.col("_failed")).drop("_failed").join(closed, F.col("source").eqNullSafe(F.col("_host")), "left_anti")
