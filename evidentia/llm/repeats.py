@@ -146,7 +146,7 @@ def _send_anchors(buckets: int, length: int, gram: int):
     def run(docs: pa.Table, info: pa.Table) -> pa.Table:
         out = []
         if docs.num_rows:
-            pid = docs.column("pid")[0].as_py()
+            pid = docs.column("_group")[0].as_py()
             bucket, rest, two = _group_anchors(_Group(docs, _copies(info), length, gram), buckets)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out = [{"bucket": b, "pid": pid, "hashes": _six(rest[i:j]), "two": np.packbits(two[i:j]).tobytes()} for b, (i, j) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if j > i]
@@ -175,7 +175,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
         out: list[dict] = []
         if not docs.num_rows:
             return pa.Table.from_pylist(out, kind)
-        pid = docs.column("pid")[0].as_py()
+        pid = docs.column("_group")[0].as_py()
         group = _Group(docs, _copies(info), length, gram)
         bits = {i: b for k, i, b in zip(info.column("kind").to_pylist(), info.column("id").to_pylist(), info.column("body").to_pylist()) if k == 1}
         bucket, rest, _ = _group_anchors(group, buckets)
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, length: int = LENGT
     groups = max(1, -(-size // GROUP_BYTES))
     pid = F.pmod(F.hash("doc_id"), F.lit(groups)).cast("int").alias("pid")
     names = docs.columns if with_text else ["doc_id", "text"]
-    base = docs.select(*[F.col(c) for c in names if c != "text"], F.coalesce("text", F.lit("")).alias("text"), pid)
+    base = docs.select(*[F.col(c) for c in names if c != "text"], F.coalesce("text", F.lit("")).alias("text"), pid.alias("_group"))
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("digest")
     order = F.coalesce("doc_id", F.lit(NO_ID))
     narrow = docs.select("doc_id", digest)
@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, length: int = LENGT
     copies = narrow.join(first, "digest").filter(order > F.col("first")).select(pid, F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("body")).distinct()
 
     def grouped(df: DataFrame):
-        return df.groupBy("pid")
+        return df.groupBy(df.columns[-1] if df is base else "pid")
 
     sent = grouped(base).cogroup(grouped(copies)).applyInArrow(_send_anchors(groups, length, gram), "bucket int, pid int, hashes binary, two binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared, _INFO)
