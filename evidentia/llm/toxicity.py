@@ -2,10 +2,11 @@
 
 Each class has a model of the bytes of words, given the five bytes before in the word. Discounted
 counts of the class are interpolated with lower orders whose continuation counts are shared by both
-classes, so what neither class has seen weighs the same in both and cancels. A text is compared by the
-difference of the log-likelihoods per byte: over the whole text, over its most toxic stretch of
-WINDOW words, and over its two most toxic words. A logistic map of these, fitted on training rows that
-the models have not seen, gives the score.
+classes, so what neither class has seen weighs the same in both and cancels. The classes' counts come
+from a bounded sample of labelled rows, the shared continuation counts from all documents. A text is
+compared by the difference of the log-likelihoods per byte: over the whole text, over its most toxic
+stretch of WINDOW words, and over its two most toxic words. A logistic map of these, fitted on training
+rows that the models have not seen, gives the score.
 """
 
 from __future__ import annotations
@@ -32,8 +33,18 @@ THRESHOLD = 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _EDGE = 1  # stands for what is before and after a word
-_MASK = [(1 << (8 * (k + 1))) - 1 for k in range(ORDER)]
-_PAD = [sum(_EDGE << (8 * j) for j in range(k + 1, ORDER)) for k in range(ORDER)]
+#: Continuations that a worker remembers before it starts afresh.
+MOST_SEEN = 2_000_000
+
+
+def _last(grams: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of each gram."""
+    return grams & U64((1 << (8 * k)) - 1)
+
+
+def _level(k: int) -> np.uint64:
+    """Marks keys of order k, above the bytes of a gram."""
+    return U64(k << (8 * ORDER))
 
 
 def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +93,72 @@ def _of(values: np.ndarray, keys: np.ndarray, table: np.ndarray, default: float)
     return np.where(keys[at] == values, table[at], default) if len(keys) else np.full(len(values), default)
 
 
+def _has(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, values)
+    at[at == len(keys)] = 0
+    return keys[at] == values if len(keys) else np.zeros(len(values), bool)
+
+
+def contexts_of(grams: np.ndarray) -> np.ndarray:
+    """Keys of the contexts that the lower orders of these grams need, sorted."""
+    return np.unique(np.concatenate([_level(k) | (_last(grams, k) >> U64(8)) for k in range(1, ORDER)]))
+
+
+def _continuations(contexts: np.ndarray):
+    """Grams of k + 1 bytes, for each order k, whose context is among these; a worker's repetitions are mostly left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            for piece in chunks(batch, "text", CHUNK_BYTES):
+                data, starts, ends, _, pick, _ = _split(as_bytes(piece.column("text")))
+                if not len(starts):
+                    continue
+                grams = np.unique(word_grams(data, starts[pick], ends[pick])[0])
+                found = []
+                for k in range(1, ORDER):
+                    longer = np.unique(_last(grams, k + 1))
+                    found.append(_level(k) | longer[_has(_level(k) | (_last(longer, k) >> U64(8)), contexts)])
+                keys = np.concatenate(found)
+                new = keys[~_has(keys, seen)]
+                if len(new):
+                    seen = np.union1d(seen, new) if len(seen) < MOST_SEEN else np.sort(new)
+                    yield pa.record_batch([pa.array(new.astype(np.int64))], names=["gram"])
+
+    return run
+
+
+def shared_counts(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lower orders and the number of different bytes before each, over all documents.
+
+    Only contexts of `grams` are counted, so at most 256 rows for each context of the bounded sample go
+    to the driver, however large the corpus is.
+    """
+    pairs = id_and_text(docs).select("text").mapInArrow(_continuations(contexts_of(grams)), "gram long").distinct()
+    level = f"shiftright(gram, {8 * ORDER})"
+    own = F.expr(f"shiftleft({level}, {8 * ORDER}) | (gram & (shiftleft(1L, cast(8 * {level} as int)) - 1L))")
+    got = pairs.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    keys = got.column("own").to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("n").to_numpy()[order]
+
+
 class Models:
     """Tables of log-likelihood differences: of the grams seen, and of the contexts for unseen ones."""
 
-    def __init__(self, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
+    def __init__(self, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, lower: np.ndarray, befores: np.ndarray):
         order = np.argsort(gram)
         gram, counts = gram[order].astype(np.uint64), {0: ordinary[order], 1: toxic[order]}
         shared = np.full(1, 1 / 256)
         keys = np.zeros(1, np.uint64)
         for k in range(1, ORDER):  # orders 1 to ORDER - 1 by the number of different bytes before
-            longer = np.unique(gram & U64((1 << (8 * (k + 1))) - 1))
-            own, n = np.unique(longer & U64((1 << (8 * k)) - 1), return_counts=True)
+            level = slice(*np.searchsorted(lower, [_level(k), _level(k + 1)]))
+            own, n = _last(lower[level], k), befores[level]
             context, at = np.unique(own >> U64(8), return_inverse=True)
             total, kinds = np.bincount(at, n), np.bincount(at)
-            below = _of(own & U64((1 << (8 * (k - 1))) - 1), keys, shared, 1 / 256)
+            below = _of(_last(own, k - 1), keys, shared, 1 / 256)
             keys, shared = own, np.maximum(n - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * below
-        below = _of(gram & U64((1 << (8 * (ORDER - 1))) - 1), keys, shared, 1 / 256)
+        below = _of(_last(gram, ORDER - 1), keys, shared, 1 / 256)
         context, at = np.unique(gram >> U64(8), return_inverse=True)
         log_p, log_rest = {}, {}
         for c in (0, 1):
@@ -164,21 +225,23 @@ class Judge:
         if not self.ok:
             return np.full(len(texts), self.base)
         z = self._scaled(self.models.compare(texts))
-        return 1 / (1 + np.exp(-np.clip(z @ self.beta[:-1] + self.beta[-1], -40, 40)))
+        # summed row by row: a matrix product rounds differently with the number of rows
+        return 1 / (1 + np.exp(-np.clip((z * self.beta[:-1]).sum(1) + self.beta[-1], -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Judge:
     """Models and map from at most `rows` training rows of each label.
 
-    Counts are added up on the executors; the driver gets one row per different gram of the sample
-    and the few figures of each text for the map.
+    Counts are added up on the executors; the driver gets one row per different gram of the sample,
+    the shared counts that these need and the few figures of each text for the map.
     """
     got = sample(docs, labels, "toxic", rows).select("doc_id", "label", "text").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)))
     counted = got.filter("part < 2").select("label", "text").mapInArrow(_counts, "gram long, ordinary long, toxic long")
     table = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     if not table.num_rows:
         return Judge(None, np.zeros((0, 5)), np.zeros(0), 0.0)
-    models = Models(*(table.column(c).to_numpy() for c in ("gram", "ordinary", "toxic")))
+    gram = table.column("gram").to_numpy()
+    models = Models(gram, table.column("ordinary").to_numpy(), table.column("toxic").to_numpy(), *shared_counts(docs, gram.astype(np.uint64)))
     run, kind = _matrix(models, "label", "int")
     rest = got.filter("part = 2").select("label", "text").mapInArrow(run, kind).toArrow()
     x = np.array(rest.column("x").to_pylist(), float).reshape(-1, 5)

@@ -371,11 +371,30 @@ def test_classifiers(spark, clash, empty):
 
 def test_shared_backoff_cancels():
     g = np.array([0x616161616161, 0x626262626262], np.int64)
-    m = toxicity.Models(g, np.array([50, 0]), np.array([0, 50]))
+    m = toxicity.Models(g, np.array([50, 0]), np.array([0, 50]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     data = np.frombuffer(b"zzz ", np.uint8)
     assert m.words(data, np.array([0]), np.array([3])).tolist() == [0.0]
 
 
+def test_shared_counts_cover_all_documents(spark):
+    texts = ["the thin three", "THEN a théa; then", None, "", "zz thezz the", "the thin three"] + [prose(i, 40) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC).repartition(5)
+    words = {w.lower() for t in texts for w in re.findall("[A-Za-zé]+", t or "")}
+    padded = [b"\x01" * 6 + w.encode() + b"\x01" for w in words]
+    grams = sorted({w[j - 5 : j + 1] for w in padded for j in range(6, len(w))})
+    picked = np.array([int.from_bytes(g, "big") for g in grams[::7]], np.uint64)
+    want = {}
+    for k in range(1, 6):
+        contexts = {g[6 - k : 5] for g in grams[::7]}
+        for longer in {g[5 - k :] for g in grams}:
+            if longer[1:-1] in contexts:
+                key = k << 48 | int.from_bytes(longer[1:], "big")
+                want[key] = want.get(key, 0) + 1
+    keys, n = toxicity.shared_counts(docs, picked)
+    assert dict(zip(keys.tolist(), n.tolist())) == want
+    assert len(toxicity.shared_counts(docs.limit(0), picked)[0]) == 0
+
+
 # ---- n-best pieces
 
 
