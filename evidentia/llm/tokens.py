@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, chunks, id_and_text, run_hashes, shuffle_partitions, stored
+from ._common import as_bytes, chunks, id_and_text, run_hashes, shuffle_partitions, stored, trim
 
-#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 150 MB.
+#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 100 MB.
 CACHE_PIECES = 1_500_000
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 #: Ids in a stored block before the next one begins (a longer document has a block of its own).
 BLOCK_IDS = 1 << 20
 #: Documents packed together by one task.
@@ -54,7 +54,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and their rows below
         self.used = self.rows = 0
         self.store, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -74,7 +74,7 @@ class Encoder:
             out += np.split(ids, cut[:-1] + 1)
         return out
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """A comma or full stop after letters is a piece of its own for the pre-tokenizer, so such words share their letters' ids."""
         cores = [x[:-1] if x[-1] in self.marks and x[:-1].isalpha() else x for x in new]
         each = list(set(cores))
@@ -89,7 +89,6 @@ class Encoder:
         self.store[self.used : self.used + len(flat)] = flat
         self.starts[self.rows : self.rows + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.rows : self.rows + len(new)] = sizes
-        self.index.update(zip(keys, range(self.rows, self.rows + len(new))))
         self.used, self.rows = self.used + len(flat), self.rows + len(new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -101,7 +100,7 @@ class Encoder:
             out[i] = x
         if not plain:
             return out
-        if len(self.index) > self.cap:
+        if self.rows > self.cap:
             self._forget()
         raw = b" ".join([texts[i] for i in plain])
         data = np.frombuffer(raw, np.uint8)
@@ -109,14 +108,20 @@ class Encoder:
         starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(data))
         first = np.searchsorted(starts, np.cumsum([0] + [len(texts[i]) + 1 for i in plain[:-1]]))
         each, sample, inverse = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = list(map(self.index.get, keys := each.tolist()))
-        missing = [i for i, x in enumerate(at) if x is None]
-        if missing:
+        place = np.searchsorted(self.keys, each)
+        known = np.zeros(len(each), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == each[inside]
+        at = np.zeros(len(each), np.int64)
+        at[known] = self.row[place[known]]
+        missing = np.flatnonzero(~known)
+        if len(missing):
             lo, hi = starts[sample[missing]].tolist(), ends[sample[missing]].tolist()
-            self._learn([keys[i] for i in missing], [raw[a:b].decode() for a, b in zip(lo, hi)])
-            for i, x in zip(missing, range(self.rows - len(missing), self.rows)):
-                at[i] = x
-        at = np.array(at)[inverse]
+            self._learn([raw[a:b].decode() for a, b in zip(lo, hi)])
+            at[missing] = np.arange(self.rows - len(missing), self.rows)
+            self.keys = np.insert(self.keys, place[missing], each[missing])
+            self.row = np.insert(self.row, place[missing], at[missing])
+        at = at[inverse]
         heads = [np.frombuffer(x, "<u4") for x in self._whole([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])]
         begin, size = self.starts[at], self.sizes[at]
         size[first] = [len(x) for x in heads]
@@ -236,6 +241,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
                         yield flush()
         if doc_ids:
             yield flush()
+        trim()
 
     return run
 
@@ -338,6 +344,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
                 cols = list(zip(*out))
                 kinds = (pa.int64(),) * 5 + (pa.binary(),)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        trim()
 
     return run
 
