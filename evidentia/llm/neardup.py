@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, U64, as_bytes, chunks, id_and_text, mix, shingle_hashes, stored, word_hashes
+from ._common import LOWER, U64, as_bytes, chunks, id_and_text, mix, shingle_hashes, stored, trim, word_hashes
 
 WIDTH = 5
 #: Bands of rows: a pair of similarity 0.85 is missed with probability 6e-9, one of 0.8 with 5e-6.
 BANDS, ROWS = 40, 6
 #: Members in a chunk beside their lead; unlinked and all members in a block.
 STAR, BLOCK_A, BLOCK_B = 500, 512, 2048
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -70,6 +70,7 @@ def _signatures(width: int, bands: int, rows: int):
                 keys = [None if not len(s) else bytes(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ U64(0xABCDEF)).sum(dtype=np.uint64), len(s)], np.uint64)) for s in sets]
                 found = [None if not len(s) else band_keys(sketch(s, bands * rows), bands, rows) for s in sets]
                 yield pa.record_batch([piece.column("doc_id").cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"])
+        trim()
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, U64, as_bytes, bounds, chunks, id_and_text, run_hashes
+from ._common import LOWER, U64, as_bytes, bounds, chunks, id_and_text, run_hashes, trim
 from .labelled import held_out, logistic, sample
 
 #: Labelled rows of each class at most; two thirds train the models, the rest the map.
@@ -124,6 +124,7 @@ def _continuations(contexts: np.ndarray):
                 if len(new):
                     seen = np.union1d(seen, new) if len(seen) < MOST_SEEN else np.sort(new)
                     yield pa.record_batch([pa.array(new.astype(np.int64))], names=["gram"])
+        trim()
 
     return run
 
@@ -279,5 +280,6 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 keep = judge.score(as_bytes(piece.column("text"))) < THRESHOLD
                 yield piece.filter(pa.array(keep)).cast(kind)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
