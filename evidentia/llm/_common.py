@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -90,7 +90,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of the byte runs from starts to ends."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(TABLE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
