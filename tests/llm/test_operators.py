@@ -400,14 +400,14 @@ def test_shared_counts_cover_all_documents(spark):
 
 def test_n_best_is_exact():
     p = segments.load(segments.model_path())
-    for w in ("▁the", "▁théa", "▁Xq", "ing", "▁ab."):
+    for w in ("▁the", "▁théa", "▁Xq", "ing", "▁ab.", "aaaaaaa", "▁ababab"):
         w = w.encode()
         paths = {0: [(0, ())]}
         for j, row in enumerate(p.edges(w)):
             if j:
                 paths[j] = [(c + d, q + (k,)) for i, k, d in row for c, q in paths[i]]
-        want = sorted(paths[len(w)])[:5]
-        assert [c for c, _ in segments.n_best(w, p, 5)] == [c for c, _ in want]
+        want = sorted(paths[len(w)], key=lambda x: (x[0], x[1][::-1]))[:5]
+        assert segments.n_best(w, p, 5) == [(c, list(q)) for c, q in want]
         m = np.frombuffer(w, np.uint8)[None, :]
         total, loss, _ = segments.best(np.ascontiguousarray(m), np.array([len(w)]), p)
         assert (total[0], loss[0]) == (want[0][0], want[1][0] - want[0][0])
