@@ -27,9 +27,11 @@ from ._common import LOWER, U64, as_bytes, chunks, id_and_text, mix, shingle_has
 WIDTH = 5
 #: Bands of rows: a pair of similarity 0.85 is missed with probability 6e-9, one of 0.8 with 5e-6.
 BANDS, ROWS = 40, 6
-#: Members in a chunk beside their lead; unlinked and all members in a block.
+#: Members in a chunk beside their lead; unlinked and all members in a block. Long texts make chunks and blocks smaller.
 STAR, BLOCK_A, BLOCK_B = 500, 512, 2048
-CHUNK_BYTES = 2_000_000
+#: Bytes of text in a chunk; shingles in a block.
+STAR_BYTES, BLOCK_A_SHINGLES, BLOCK_B_SHINGLES = 4_000_000, 250_000, 1_000_000
+CHUNK_BYTES = 500_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -83,7 +85,7 @@ def _star(percent: int, width: int):
         lead = group.column("lead")[0].as_py()
         out = []
         own = np.flatnonzero(ids == lead)
-        hub = shingle_sets(as_bytes(group.column("text").combine_chunks().slice(int(own[0]), 1)), width)[0]
+        hub = shingle_sets(as_bytes(group.slice(int(own[0]), 1).column("text").combine_chunks()), width)[0]
         for batch in group.to_batches():
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 for x, s in zip(piece.column("x").to_pylist(), shingle_sets(as_bytes(piece.column("text")), width)):
@@ -92,6 +94,8 @@ def _star(percent: int, width: int):
                         at[at == len(hub)] = 0
                         inter = int(np.count_nonzero(hub[at] == s)) if len(hub) else 0
                         out.append((lead, x, inter, len(hub) + len(s) - inter))
+        if group.nbytes > CHUNK_BYTES:
+            trim()
         cols = list(zip(*out)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=kind)
 
@@ -140,6 +144,8 @@ def _blocks(percent: int, width: int):
                 if a != c:
                     parent[a] = c
                     out.append((int(ids[i]), int(ids[j])))
+        del sets, vocab, flat
+        trim()
         cols = list(zip(*out)) or [[], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=kind)
 
@@ -179,18 +185,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     degree = buckets.groupBy("rep").agg(F.sum("mates").alias("degree"))
     lead = buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("band", (-F.col("m.r")).alias("lead"))
     edges = stored(buckets.join(lead, "band").filter("rep != lead").select("lead", F.col("rep").alias("x")).distinct(), "edges")
-    counts = edges.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    roster = edges.union(counts.select("lead", F.col("lead").alias("x")))
+    roster = edges.union(edges.select("lead", F.col("lead").alias("x")).distinct())
     # a merge join at every size: the list of candidates grows with the corpus, so it is never broadcast
     texts = stored(roster.hint("merge").join(base, F.col("x") == F.col("doc_id")).select("lead", "x", "text"), "candidates")
-    parts = F.ceil(F.col("n") / STAR).cast("int")
+    counts = texts.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / STAR, F.col("bytes") / STAR_BYTES)).cast("int")
     dealt = texts.join(counts, "lead")
     salts = F.when(F.col("x") == F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), parts).cast("int")))
     star = dealt.select("lead", "x", "text", F.explode(salts).alias("salt")).groupBy("lead", "salt").applyInArrow(_star(percent, width), "lead long, x long, inter long, total long")
     star = stored(star, "star")
     linked = F.col("inter") * 100 >= F.col("total") * percent
-    loose = star.groupBy("lead").agg(F.count_if(~linked).alias("a"), F.count(F.lit(1)).alias("b")).filter("a > 0 AND b > 1")
-    na, nb = F.ceil(F.col("a") / BLOCK_A).cast("int"), F.ceil(F.col("b") / BLOCK_B).cast("int")
+    loose = star.groupBy("lead").agg(F.count_if(~linked).alias("a"), F.count(F.lit(1)).alias("b"), F.sum(F.when(~linked, F.col("total"))).alias("a_size"), F.sum("total").alias("b_size")).filter("a > 0 AND b > 1")
+    na = F.ceil(F.greatest(F.col("a") / BLOCK_A, F.col("a_size") / BLOCK_A_SHINGLES)).cast("int")
+    nb = F.ceil(F.greatest(F.col("b") / BLOCK_B, F.col("b_size") / BLOCK_B_SHINGLES)).cast("int")
     rest = star.join(loose, "lead").join(texts, ["lead", "x"])
     all_ = rest.select("lead", "x", "text", "inter", "total", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), na - 1)).alias("i"), F.pmod(F.xxhash64("x"), nb).cast("int").alias("j"))
     alone = rest.filter(~linked).select("lead", "x", "text", "inter", "total", F.lit(0).alias("side"), F.pmod(F.xxhash64("x", F.lit(1)), na).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("j"))

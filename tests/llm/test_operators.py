@@ -226,6 +226,9 @@ def test_near_duplicates(spark, percent, monkeypatch):
     monkeypatch.setattr(neardup, "STAR", 3)
     monkeypatch.setattr(neardup, "BLOCK_A", 2)
     monkeypatch.setattr(neardup, "BLOCK_B", 4)
+    if percent == 80:
+        for name, value in (("STAR_BYTES", 1500), ("BLOCK_A_SHINGLES", 150), ("BLOCK_B_SHINGLES", 300)):
+            monkeypatch.setattr(neardup, name, value)
     r = random.Random(8)
     items = []
     for g in range(6):
