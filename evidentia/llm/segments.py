@@ -1,16 +1,17 @@
 """N-best segmentation into the pieces of a SentencePiece model, and decoding.
 
-The lattice of a text has a node before and after each byte and an edge for each piece. A piece's score
-is ln(piece id + 2) below zero (pieces stand by falling frequency in the model), a byte falls back to
-its byte piece at BYTE_COST. Pieces hold the word mark at their start only, so the lattice is a chain of
-the lattices of the words.
-
-Forward Viterbi scores are computed for all different words of a batch side by side, a byte at a time.
-With the backward scores they give for each word how much its second best segmentation loses. The
-n best segmentations of a text differ from the best in at most n - 1 words, namely those of least loss
-(fewer than n words can change, and a change in any other word loses more). The lattices of these
-words are chained, and a backward A-star search with the forward scores as exact heuristic lists their
-best paths in order.
+The lattice of a text has a node before and after each byte and an edge for each piece; a mark stands
+before the text and for each space. A piece's score is ln(piece id + 2) below zero (pieces stand by
+falling frequency in the model), a byte falls back to its byte piece at BYTE_COST. A mark has no byte
+pieces, so what decode() returns is the text, literal marks included.
+
+Two bytes that stand side by side in no piece are a cut that no edge crosses, so the lattice is a chain
+of the lattices of the units between such cuts. Forward Viterbi scores are computed for all different
+units of a batch side by side, a byte at a time, with the ids of the best path. With the backward scores
+they give for each unit how much its second best segmentation loses. The n best segmentations of a text
+differ from the best in at most n - 1 units, namely those of least loss (fewer than n units can change,
+and a change in any other unit comes later). For these a backward A-star search with the forward scores
+as exact heuristic lists the n best paths, which are joined and spliced into the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -29,9 +30,15 @@ MARK = "▁".encode()
 #: Costs are integers, so that ties are exact: a thousandth of a nat.
 UNIT, BYTE_COST = 1000, 30_000
 CHUNK_BYTES = 1_500_000
+#: Bytes that UTF-8 never has stand for those of a mark that is in the text itself.
+LITERAL = b"\xf5\xf6\xf7"
+#: Cells of a batch's Viterbi table; units are searched one by one where fewer than FEW share a table.
+CELLS, FEW = 1_300_000, 64
 #: Words longer than this many bytes are cut before segmentation (the cut falls between bytes).
 WORD_BYTES = 64
-FAR = np.int64(1) << 40
+#: Size code of a byte piece.
+BYTE = 255
+FAR = np.int64(1) << 44
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -53,51 +60,71 @@ class Pieces:
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 raw = piece.encode()
-                if MARK not in raw[1:] and len(raw) <= WORD_BYTES:
-                    self.ids[raw] = i
-        self.bytes_of = {i: p for p, i in self.ids.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+                self.ids[raw] = i
+        self.bytes_of = {i: p.replace(MARK, b" ") for p, i in self.ids.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.byte_ids[list(LITERAL)] = self.byte_ids[list(MARK)]
+        #: Whether two bytes stand side by side in some piece.
+        self.joined = np.zeros((256, 256), bool)
+        for p in self.ids:
+            raw = p.replace(MARK, b" ")
+            self.joined[list(raw[:-1]), list(raw[1:])] = True
         self.longest = max(map(len, self.ids))
         self.costs = {p: int(round(UNIT * np.log(i + 2.0))) for p, i in self.ids.items()}
-        #: For each size in bytes the sorted hashes of the pieces of that size, and their costs.
-        self.of_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: For each size in bytes the sorted hashes of the pieces of that size, and their costs and ids.
+        self.of_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
             own = [p for p in self.ids if len(p) == size]
             if own:
                 starts = np.arange(len(own)) * size
                 keys = run_hashes(np.frombuffer(b"".join(own), np.uint8), starts, starts + size)
                 order = np.argsort(keys)
-                self.of_size[size] = keys[order], np.array([self.costs[p] for p in own], np.int64)[order]
+                self.of_size[size] = keys[order], np.array([self.costs[p] for p in own], np.int64)[order], np.array([self.ids[p] for p in own], np.int64)[order]
+
+    def edges_to(self, word: bytes, j: int, in_mark: bytearray) -> Iterator[tuple[int, int, int]]:
+        """(start, id, cost) of the edges that end at j."""
+        for size in self.of_size:
+            if size > j:
+                break
+            k = self.ids.get(piece := word[j - size : j])
+            if k is not None:
+                yield j - size, k, self.costs[piece]
+        if not in_mark[j - 1]:
+            yield j - 1, int(self.byte_ids[word[j - 1]]), BYTE_COST
 
     def edges(self, word: bytes) -> list[list[tuple[int, int, int]]]:
         """For each end position: (start, id, cost)."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(word) + 1)]
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - self.longest), j):
-                k = self.ids.get(piece := word[i:j])
-                if k is not None:
-                    out[j].append((i, k, self.costs[piece]))
-            out[j].append((j - 1, int(self.byte_ids[word[j - 1]]), BYTE_COST))
-        return out
+        inside = mark_bytes(word)
+        return [[]] + [list(self.edges_to(word, j, inside)) for j in range(1, len(word) + 1)]
+
 
+def mark_bytes(word: bytes) -> bytearray:
+    """1 for each byte of a mark."""
+    return bytearray(word.replace(b"\1", b"\0").replace(MARK, b"\1" * len(MARK)).translate(bytes(int(b == 1) for b in range(256))))
 
-def best(words: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cost of each word's best segmentation, what its second best loses, and the number of pieces in the best.
 
-    words: bytes, one row per word, by rising size. Ties go to the longest last piece.
+def best(words: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Cost of each word's best segmentation, what its second best loses (FAR or more: there is none), and (pieces of each best, their ids side by side).
+
+    words: bytes, one row per word, by rising size. Ties go to the least ids, read from the last.
     """
     n, width = words.shape
+    every = np.arange(n)
     up, down = powers(width + 1)
     ahead = np.zeros((width + 1, n), np.uint64)
     np.cumsum(TABLE[words.T] * up[:width, None], axis=0, out=ahead[1:])
+    byte_cost = np.full((width, n), BYTE_COST, np.int64)
+    marks = np.all([words.T[k : max(0, width - len(MARK) + 1 + k)] == b for k, b in enumerate(MARK)], axis=0)
+    for k in range(len(MARK)):
+        byte_cost[k : k + len(marks)][marks] = FAR
     low: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     forward = np.full((width + 1, n), FAR)
     forward[0] = 0
-    count = np.zeros((width + 1, n), np.int64)
+    last, back = np.zeros((width + 1, n), np.int32), np.zeros((width + 1, n), np.uint8)  # the best path's last piece, and its size (BYTE: a byte piece)
     first = np.searchsorted(sizes, np.arange(width + 1)).tolist()
     for j in range(1, width + 1):
         a = first[j]
-        value, many = forward[j - 1, a:] + BYTE_COST, count[j - 1, a:] + 1
-        for size, (keys, costs) in pieces.of_size.items():
+        value, ids, size_of = forward[j - 1, a:] + byte_cost[j - 1, a:], pieces.byte_ids[words[a:, j - 1]], np.full(n - a, BYTE, np.uint8)
+        for size, (keys, costs, own_ids) in pieces.of_size.items():
             if size > j:
                 break
             i = j - size
@@ -107,83 +134,110 @@ def best(words: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
             hit = np.flatnonzero(keys[at] == h)
             if not len(hit):
                 continue
-            cost = costs[at[hit]]
+            cost, k = costs[at[hit]], own_ids[at[hit]]
             low[i, j] = a + hit, cost
             new = forward[i, a + hit] + cost
-            take = new <= value[hit]
-            value[hit[take]] = new[take]
-            many[hit[take]] = count[i, a + hit[take]] + 1
-        forward[j, a:], count[j, a:] = value, many
+            take = (new < value[hit]) | (new == value[hit]) & (k < ids[hit])
+            value[hit[take]], ids[hit[take]], size_of[hit[take]] = new[take], k[take], size
+        forward[j, a:], last[j, a:], back[j, a:] = value, ids, size_of
     backward = np.full((width + 1, n), FAR)
-    backward[sizes, np.arange(n)] = 0
+    backward[sizes, every] = 0
     for j in range(width, 0, -1):
         a = first[j]
-        np.minimum(backward[j - 1, a:], backward[j, a:] + BYTE_COST, out=backward[j - 1, a:])
-        for i in range(j - 1, max(-1, j - 1 - pieces.longest), -1):
-            if (i, j) in low:
-                who, cost = low[i, j]
-                backward[i, who] = np.minimum(backward[i, who], backward[j, who] + cost)
-    total = forward[sizes, np.arange(n)]
+        np.minimum(backward[j - 1, a:], backward[j, a:] + byte_cost[j - 1, a:], out=backward[j - 1, a:])
+        for size in pieces.of_size:
+            if (j - size, j) in low:
+                who, cost = low[j - size, j]
+                backward[j - size, who] = np.minimum(backward[j - size, who], backward[j, who] + cost)
+    total = forward[sizes, every]
     # the second best path leaves the best one by some edge: the least cost of a path through an edge that is not on it
-    on_best = np.zeros((width + 1, n), bool)
-    used: dict[tuple[int, int], np.ndarray] = {}
-    place, who = sizes.copy(), np.arange(n)
+    on_best = np.zeros((width + 1, n), np.uint8)
+    count, steps = np.zeros(n, np.int64), []
+    place, who = sizes.astype(np.int64), every
     while len(who):
-        j, nxt = place[who], np.full(len(who), -1)
-        for end in np.unique(j):
-            own = np.flatnonzero(j == end)
-            for i in range(max(0, end - pieces.longest), end):
-                if (i, end) in low:
-                    rows, cost = low[i, end]
-                    k = np.searchsorted(rows, who[own])
-                    k[k == len(rows)] = 0
-                    ok = (rows[k] == who[own]) & (forward[i, who[own]] + cost[k] == forward[end, who[own]]) & (nxt[own] < 0)
-                    nxt[own[ok]] = i
-                    used.setdefault((i, end), np.zeros(n, bool))[who[own[ok]]] = True
-            lone = own[nxt[own] < 0]
-            nxt[lone] = end - 1
-            on_best[end, who[lone]] = True  # by a byte piece
-        place[who] = nxt
-        who = who[nxt > 0]
+        j = place[who]
+        on_best[j, who] = back[j, who]
+        steps.append((who, last[j, who]))
+        count[who] += 1
+        place[who] = j - np.where(back[j, who] == BYTE, 1, back[j, who])
+        who = who[place[who] > 0]
+    ends = np.cumsum(count)
+    flat = np.zeros(count.sum(), np.int32)
+    for k, (who, ids) in enumerate(steps):
+        flat[ends[who] - 1 - k] = ids
     second = np.full(n, FAR)
     for (i, j), (rows, cost) in low.items():
-        through = forward[i, rows] + cost + backward[j, rows]
-        off = ~used[i, j][rows] if (i, j) in used else np.ones(len(rows), bool)
-        np.minimum.at(second, rows[off], through[off])
+        off = on_best[j, rows] != j - i
+        rows = rows[off]
+        second[rows] = np.minimum(second[rows], forward[i, rows] + cost[off] + backward[j, rows])
     for j in range(1, width + 1):
-        rows = first[j] + np.flatnonzero(~on_best[j, first[j] :])
-        second[rows] = np.minimum(second[rows], forward[j - 1, rows] + BYTE_COST + backward[j, rows])
-    return total, second - total, count[sizes, np.arange(n)]
+        rows = first[j] + np.flatnonzero(on_best[j, first[j] :] != BYTE)
+        second[rows] = np.minimum(second[rows], forward[j - 1, rows] + byte_cost[j - 1, rows] + backward[j, rows])
+    return total, np.where(second < FAR, second - total, FAR), (count, flat)
+
+
+class _Path:
+    """Ids from the last one, shared with the paths that go on from it; compared as tuples of ids, in steps of growing length."""
+
+    __slots__ = ("up", "id", "depth", "jump")
+
+    def __init__(self, up: _Path | None = None, k: int = -1):
+        self.up, self.id = up, k
+        if up is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth, far = up.depth + 1, up.jump
+            self.jump = far.jump if up.depth - far.depth == far.depth - far.jump.depth else up
+
+    def _at(self, depth: int) -> _Path:
+        x = self
+        while x.depth > depth:
+            x = x.jump if x.jump.depth >= depth else x.up
+        return x
+
+    def __lt__(self, other: _Path) -> bool:
+        depth = min(self.depth, other.depth)
+        x, y = self._at(depth), other._at(depth)
+        if x is y:
+            return self.depth < other.depth
+        while x.up is not y.up:
+            x, y = (x.jump, y.jump) if x.jump is not y.jump else (x.up, y.up)
+        return x.id < y.id
+
+    def ids(self) -> list[int]:
+        out, x = [], self
+        while x.up is not None:
+            out.append(x.id)
+            x = x.up
+        return out
 
 
-def n_best(word: bytes, pieces: Pieces, n: int, breaks: frozenset[int] = frozenset()) -> list[tuple[int, list[int]]]:
-    """The n cheapest segmentations (cost, ids), ties by ids from the last one; no piece crosses a break.
+def n_best(word: bytes, pieces: Pieces, n: int) -> list[tuple[int, list[int]]]:
+    """The n cheapest segmentations (cost, ids), ties by ids from the last one.
 
     Forward Viterbi, then A-star from the end. A path in the heap is a prefix (from the end) of its
     completions and its total is exact, so complete paths leave the heap in the order stated.
     """
-    cuts = [0, *sorted(breaks), len(word)]
-    edges: list[list[tuple[int, int, int]]] = [[]]
-    for a, b in zip(cuts, cuts[1:]):
-        edges += [[(a + i, k, c) for i, k, c in row] for row in pieces.edges(word[a:b])[1:]]
-    ahead = [0] + [1 << 60] * len(word)
+    inside, far = mark_bytes(word), 1 << 60
+    ahead = [0] + [far] * len(word)
     for j in range(1, len(word) + 1):
-        ahead[j] = min(ahead[i] + c for i, _, c in edges[j])
-    heap = [(ahead[-1], (), len(word), 0)]
+        ahead[j] = min((ahead[i] + c for i, _, c in pieces.edges_to(word, j, inside)), default=far)
+    heap = [(ahead[-1], _Path(), len(word), 0)]
     out: list[tuple[int, list[int]]] = []
     while heap and len(out) < n:
         total, path, j, cost = heapq.heappop(heap)
         if j == 0:
-            out.append((total, list(reversed(path))))
+            out.append((total, path.ids()))
             continue
-        for i, k, c in edges[j]:
-            heapq.heappush(heap, (ahead[i] + cost + c, (*path, k), i, cost + c))
+        for i, k, c in pieces.edges_to(word, j, inside):
+            if ahead[i] < far:
+                heapq.heappush(heap, (ahead[i] + cost + c, _Path(path, k), i, cost + c))
     return out
 
 
-def decode(ids: list[int], pieces: Pieces) -> str:
+def decode(ids: Iterable[int], pieces: Pieces) -> str:
     """Text of the ids: bytes joined, word marks to spaces, the first one dropped."""
-    return b"".join(pieces.bytes_of[i] for i in ids).decode("utf-8", "replace").replace("▁", " ").removeprefix(" ")
+    return b"".join([pieces.bytes_of[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
 _pieces: dict[str, Pieces] = {}
@@ -195,101 +249,161 @@ def load(path: str) -> Pieces:
     return _pieces[path]
 
 
-#: Words whose figures a worker remembers before it starts afresh.
-CACHE_WORDS = 1_500_000
+#: Units, and ids of their best paths, that a worker remembers before it starts afresh; units whose n best paths it remembers.
+CACHE_UNITS, CACHE_IDS, CACHE_PATHS = 1_000_000, 8_000_000, 100_000
 
 
-class _Words:
-    """Different words of the texts (a mark stands before each word's first part) and which each text has."""
+class _Units:
+    """Different units of the texts and which each text has."""
 
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    def __init__(self, texts: list[bytes], pieces: Pieces):
+        self.data = np.frombuffer(b"".join([b" " + x for x in texts if x]), np.uint8)
+        at = np.cumsum([0] + [len(x) + 1 if x else 0 for x in texts])
+        words = bounds(~SPACE[self.data])[0]
+        self.n_words = np.diff(np.searchsorted(words, at)).tolist()
         starts, ends = bounds(~SPACE[self.data])
         parts = -(-(ends - starts) // WORD_BYTES)
         word = np.repeat(np.arange(len(starts)), parts)
         k = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
         lo = starts[word] + k * WORD_BYTES
         hi = np.minimum(lo + WORD_BYTES, ends[word])
-        self.cuts = np.searchsorted(lo, np.cumsum([0] + [len(x) + 1 for x in texts])).tolist()
-        keys = run_hashes(self.data, lo, hi) ^ (k > 0).astype(np.uint64)
-        self.keys, pick, self.inverse = np.unique(keys, return_index=True, return_inverse=True)
+        lo[k == 0] -= 1  # with the space before the word, whatever it is
+        self.data = np.where(SPACE[self.data], np.uint8(32), self.data)
+        self.cuts = np.searchsorted(lo, at).tolist()
+        self.keys, pick, self.inverse = np.unique(run_hashes(self.data, lo, hi), return_index=True, return_inverse=True)
         self.lo, self.hi = lo[pick], hi[pick]
-        self.lead = np.where(k[pick] == 0, len(MARK), 0)
-        self.size = self.hi - self.lo + self.lead
-
-    def matrix(self, own: np.ndarray) -> np.ndarray:
-        lead, plain = self.lead[own], self.hi[own] - self.lo[own]
-        out = np.zeros((len(own), int(self.size[own].max())), np.uint8)
-        for j in range(len(MARK)):
-            out[lead > 0, j] = MARK[j]
-        row = np.repeat(np.arange(len(own)), plain)
-        offset = np.arange(plain.sum()) - np.repeat(np.cumsum(plain) - plain, plain)
-        out[row, lead[row] + offset] = self.data[self.lo[own][row] + offset]
-        return out
 
     def text(self, i: int) -> bytes:
-        return (MARK if self.lead[i] else b"") + self.data[self.lo[i] : self.hi[i]].tobytes()
+        return self.data[self.lo[i] : self.hi[i]].tobytes().replace(MARK, LITERAL).replace(b" ", MARK)
 
 
 class _Memory:
-    """Best cost, loss and pieces of the words seen, by their 64-bit hashes."""
+    """What is known of the units seen, by their 64-bit hashes: of the best path cost, loss of the second best, ids; and the n best paths of some."""
 
-    def __init__(self):
+    def __init__(self, pieces: Pieces, n: int):
+        self.pieces, self.n = pieces, n
+        self._forget()
+
+    def _forget(self) -> None:
         self.index: dict[int, int] = {}
-        self.rows = np.zeros((1 << 14, 3), np.int64)
-
-    def of(self, words: _Words, pieces: Pieces) -> np.ndarray:
-        if len(self.index) > CACHE_WORDS:
-            self.__init__()
-        at = list(map(self.index.get, keys := words.keys.tolist()))
-        new = np.array([i for i, x in enumerate(at) if x is None], np.int64)
-        if len(new):
-            first = len(self.index)
-            while first + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            order = np.argsort(words.size[new], kind="stable")
-            for i in range(0, len(order), 20_000):
-                part = order[i : i + 20_000]
-                self.rows[first + part] = np.stack(best(words.matrix(new[part]), words.size[new[part]], pieces), 1)
-            for j, i in enumerate(new.tolist()):
-                self.index[keys[i]] = at[i] = first + j
+        self.rows = np.zeros((1 << 14, 4), np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.paths: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def _search(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and ids of the units, which stand by rising size."""
+        lo = 0
+        while lo < len(texts):
+            hi = lo + 1
+            while hi < len(texts) and (hi + 1 - lo) * len(texts[hi]) <= CELLS:
+                hi += 1
+            part = texts[lo:hi]
+            if len(part) < FEW:
+                found = [n_best(x, self.pieces, 2) for x in part]
+                total, count = [x[0][0] for x in found], np.array([len(x[0][1]) for x in found])
+                loss = [x[1][0] - x[0][0] if len(x) > 1 else FAR for x in found]
+                flat = np.array([k for x in found for k in x[0][1]], np.int32)
+            else:
+                sizes = np.array([len(x) for x in part])
+                words = np.zeros((len(part), sizes[-1]), np.uint8)
+                words[np.arange(sizes[-1]) < sizes[:, None]] = np.frombuffer(b"".join(part), np.uint8)
+                total, loss, (count, flat) = best(words, sizes, self.pieces)
+            yield np.stack((total, loss, count, np.cumsum(count) - count), 1), flat
+            lo = hi
+
+    def of(self, units: _Units) -> np.ndarray:
+        """Cost, loss, number of pieces, and place in self.ids, of each different unit."""
+        if len(self.index) > CACHE_UNITS or self.used > CACHE_IDS:
+            self._forget()
+        at = list(map(self.index.get, keys := units.keys.tolist()))
+        texts = sorted(((units.text(i), i) for i, x in enumerate(at) if x is None), key=lambda x: len(x[0]))
+        done = len(self.index)
+        for _, i in texts:
+            self.index[keys[i]] = at[i] = len(self.index)
+        while len(self.index) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        for rows, flat in self._search([x for x, _ in texts]):
+            rows[:, 3] += self.used
+            self.rows[done : done + len(rows)] = rows
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            self.ids[self.used : self.used + len(flat)] = flat
+            done, self.used = done + len(rows), self.used + len(flat)
         return self.rows[np.array(at, np.int64)]
 
-
-_memory = _Memory()
+    def n_best(self, units: _Units, i: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The unit's best paths, two at least: cost, ids from the last one."""
+        found = self.paths.get(key := int(units.keys[i]))
+        if found is None:
+            if len(self.paths) > CACHE_PATHS:
+                self.paths = {}
+            found = self.paths[key] = [(c, tuple(reversed(ids))) for c, ids in n_best(units.text(i), self.pieces, max(2, self.n))]
+        return found
+
+    def open(self, units: _Units, w: np.ndarray, loss: np.ndarray) -> list[int]:
+        """Places of the n - 1 units (w: which they are) whose second best paths stand first.
+
+        Of equal losses a change to lesser ids comes first, and then the later place; of changes to
+        greater ids the earlier place.
+        """
+        k = self.n - 1
+        places = np.flatnonzero(loss < FAR)
+        if len(places) <= k or not k:
+            return places[:k].tolist()
+        edge = np.partition(loss[places], k - 1)[k - 1]
+        sure, tied = places[loss[places] < edge], places[loss[places] == edge]
+        if len(tied) > k - len(sure):
+            which, of = np.unique(w[tied], return_inverse=True)
+            less = np.array([x[1][1] < x[0][1] for x in (self.n_best(units, i) for i in which.tolist())])[of]
+            tied = np.concatenate((tied[less][::-1], tied[~less]))[: k - len(sure)]
+        return np.sort(np.concatenate((sure, tied))).tolist()
+
+
+_memory: dict[tuple[str, int], _Memory] = {}
 
 
 def _segment(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, memory = load(path), _Memory() if path != model_path() else _memory
+        memory = _memory.setdefault((path, n), _Memory(load(path), n))
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                words = _Words(as_bytes(part.column("text")))
-                figures = memory.of(words, pieces)
-                out = []
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), words.cuts, words.cuts[1:]):
-                    w = words.inverse[a:b]
-                    if not len(w):
-                        out.append((doc_id, 1, 0, 0, 0, 0))
+                units = _Units(as_bytes(part.column("text")), memory.pieces)
+                w = units.inverse
+                cost, loss, size, start = memory.of(units)[w].T
+                ends = np.cumsum(size)
+                flat = memory.ids[np.repeat(start - ends + size, size) + np.arange(size.sum())]
+                out, ids = [], []
+                for doc_id, n_words, a, b in zip(part.column("doc_id").to_pylist(), units.n_words, units.cuts, units.cuts[1:]):
+                    if a == b:
+                        out.append((doc_id, 1, 0, n_words, 0, 0))
+                        ids.append(flat[:0])
                         continue
-                    cost, _, count = figures[w].sum(0).tolist()
-                    near = np.sort(np.argpartition(figures[w, 1], n - 2)[: n - 1]) if len(w) >= n > 1 else np.arange(min(len(w), max(1, n - 1)))
-                    open_ = [words.text(i) for i in w[near].tolist()]
-                    breaks = frozenset(np.cumsum([len(x) for x in open_])[:-1].tolist())
-                    found = n_best(b"".join(open_), pieces, n, breaks)
-                    for rank, (c, ids) in enumerate(found, 1):
-                        out.append((doc_id, rank, cost - found[0][0] + c, len(w), count - len(found[0][1]) + len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-                cols = list(zip(*out))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "rank", "cost", "n_words", "n_pieces", "open_crc32"])
+                    total = int(cost[a:b].sum())
+                    open_ = [a + x for x in memory.open(units, w[a:b], loss[a:b])]
+                    joined: list[tuple[int, tuple[int, ...], tuple[tuple[int, ...], ...]]] = [(total, (), ())]
+                    for x in open_:
+                        own = memory.n_best(units, int(w[x]))
+                        joined = sorted((c + d - own[0][0], q + p, (*parts, q)) for c, p, parts in joined for d, q in own)[:n]
+                    for rank, (c, _, parts) in enumerate(joined, 1):
+                        at, pieces_of = int(ends[a] - size[a]), []
+                        for x, q in zip(open_, parts):
+                            pieces_of += [flat[at : ends[x] - size[x]], np.array(q[::-1], np.int32)]
+                            at = ends[x]
+                        each = np.concatenate((*pieces_of, flat[at : ends[b - 1]]))
+                        ids.append(each)
+                        out.append((doc_id, rank, c, n_words, len(each), zlib.crc32(each.astype("<u4").tobytes())))
+                cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.record_batch([*cols, pa.ListArray.from_arrays(offsets, np.concatenate(ids))], names=["doc_id", "rank", "cost", "n_words", "n_pieces", "ids_crc32", "ids"])
 
     return run
 
 
 def segment(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
-    """The n best segmentations of every whole text: doc_id, rank, cost (thousandths of a nat), n_words, n_pieces, open_crc32.
+    """The n best segmentations of every whole text: doc_id, rank, cost (thousandths of a nat), n_words, n_pieces, ids_crc32, ids.
 
-    open_crc32 is over the ids of the words that differ between the n best. Words are runs between white
-    space; equal costs are ranked by ids, read from the last. A null or wordless text has one segmentation, of no pieces;
-    repeated rows are segmented each; an empty table gives an empty one.
+    ids are those of the whole text, ids_crc32 is over them as little-endian 32-bit numbers. White space counts as one space; words are cut every WORD_BYTES. n_words
+    counts the runs between white space. Equal costs are ranked by ids, read from the last. A null or
+    empty text has one segmentation, of no pieces; repeated rows are segmented each; an empty table gives an empty one.
     """
-    return id_and_text(docs).mapInArrow(_segment(path or model_path(), n), "doc_id long, rank int, cost long, n_words long, n_pieces long, open_crc32 long")
+    return id_and_text(docs).mapInArrow(_segment(path or model_path(), n), "doc_id long, rank int, cost long, n_words long, n_pieces long, ids_crc32 long, ids array<int>")

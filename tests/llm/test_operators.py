@@ -426,6 +426,38 @@ def test_segment(docs, clash, empty):
     assert short[1].n_words == 2 and short[2].cost > short[1].cost
 
 
+def plain_n_best(text, p, n):
+    """Best (cost, ids from the last) of the whole text's lattice, list by list."""
+    raw = b" " + text.encode() if text else b""
+    spelled = {b.replace(segments.MARK, b" "): i for b, i in p.ids.items()}
+    rows = [[(0, ())]]
+    for j in range(1, len(raw) + 1):
+        edges = [(i, spelled[raw[i:j]], p.costs[raw[i:j].replace(b" ", segments.MARK)]) for i in range(max(0, j - 48), j) if raw[i:j] in spelled]
+        if raw[j - 1] != 32:
+            edges.append((j - 1, int(p.byte_ids[raw[j - 1]]), segments.BYTE_COST))
+        rows.append(sorted((c + d, (k, *ids)) for i, k, d in edges for c, ids in rows[i])[:n])
+    return rows[-1]
+
+
+def segmented(spark, texts, n=3):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {}
+    for r in segments.segment(df, n).collect():
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        out[r.doc_id, r.rank] = r.cost, r.ids
+    return out
+
+
+def test_segment_gives_whole_ids(spark):
+    p = segments.load(segments.model_path())
+    texts = ["one two three four five", "the cat and the cat and the cat", prose(11, 90), "a a a a a", "zq zq b b"]
+    got = segmented(spark, texts)
+    for i, t in enumerate(texts):
+        want = plain_n_best(t, p, 3)
+        assert [got[i, k] for k in (1, 2, 3)] == [(c, list(ids[::-1])) for c, ids in want]
+        assert all(segments.decode(got[i, k][1], p) == t for k in (1, 2, 3))
+
+
 # ---- the pipeline
 
 
