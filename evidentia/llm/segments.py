@@ -34,8 +34,6 @@ CHUNK_BYTES = 1_500_000
 LITERAL = b"\xf5\xf6\xf7"
 #: Cells of a batch's Viterbi table; units are searched one by one where fewer than FEW share a table.
 CELLS, FEW = 1_300_000, 64
-#: Words longer than this many bytes are cut before segmentation (the cut falls between bytes).
-WORD_BYTES = 64
 #: Size code of a byte piece.
 BYTE = 255
 FAR = np.int64(1) << 44
@@ -261,13 +259,8 @@ class _Units:
         at = np.cumsum([0] + [len(x) + 1 if x else 0 for x in texts])
         words = bounds(~SPACE[self.data])[0]
         self.n_words = np.diff(np.searchsorted(words, at)).tolist()
-        starts, ends = bounds(~SPACE[self.data])
-        parts = -(-(ends - starts) // WORD_BYTES)
-        word = np.repeat(np.arange(len(starts)), parts)
-        k = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        lo = starts[word] + k * WORD_BYTES
-        hi = np.minimum(lo + WORD_BYTES, ends[word])
-        lo[k == 0] -= 1  # with the space before the word, whatever it is
+        lo, hi = bounds(~SPACE[self.data])
+        lo -= 1  # with the space before the word, whatever it is
         self.data = np.where(SPACE[self.data], np.uint8(32), self.data)
         self.cuts = np.searchsorted(lo, at).tolist()
         self.keys, pick, self.inverse = np.unique(run_hashes(self.data, lo, hi), return_index=True, return_inverse=True)
@@ -402,7 +395,7 @@ def _segment(path: str, n: int):
 def segment(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
     """The n best segmentations of every whole text: doc_id, rank, cost (thousandths of a nat), n_words, n_pieces, ids_crc32, ids.
 
-    ids are those of the whole text, ids_crc32 is over them as little-endian 32-bit numbers. White space counts as one space; words are cut every WORD_BYTES. n_words
+    ids are those of the whole text, ids_crc32 is over them as little-endian 32-bit numbers. White space counts as one space. n_words
     counts the runs between white space. Equal costs are ranked by ids, read from the last. A null or
     empty text has one segmentation, of no pieces; repeated rows are segmented each; an empty table gives an empty one.
     """

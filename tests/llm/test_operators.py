@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,19 @@ def test_segment_gives_whole_ids(spark):
         assert all(segments.decode(got[i, k][1], p) == t for k in (1, 2, 3))
 
 
+def test_segment_does_not_cut_long_words(spark, monkeypatch):
+    p = segments.load(segments.model_path())
+    texts = ["数据处理系统需要在有限的内存中计算所有文档的最佳分词结果并且不能丢失任何内容。" * 3, "https://www.example.com/articles/2024/international/index.html?utm_source=newsletter&utm_medium=email&id=12345", "abcdefgh" * 40]
+    for few in (1, 64):
+        monkeypatch.setattr(segments, "FEW", few)
+        segments._memory.clear()
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+        batches = df.toArrow().cast(pa.schema([("doc_id", pa.int64()), ("text", pa.string())])).to_batches()
+        got = [r for b in segments._segment(segments.model_path(), 3)(batches) for r in b.to_pylist()]
+        for i, t in enumerate(texts):
+            assert [(r["cost"], tuple(r["ids"][::-1])) for r in got if r["doc_id"] == i] == plain_n_best(t, p, 3)
+
+
 # ---- the pipeline
 
 
