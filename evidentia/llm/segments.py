@@ -259,9 +259,12 @@ class _Units:
         at = np.cumsum([0] + [len(x) + 1 if x else 0 for x in texts])
         words = bounds(~SPACE[self.data])[0]
         self.n_words = np.diff(np.searchsorted(words, at)).tolist()
-        lo, hi = bounds(~SPACE[self.data])
-        lo -= 1  # with the space before the word, whatever it is
-        self.data = np.where(SPACE[self.data], np.uint8(32), self.data)
+        # no piece crosses two bytes that no piece has side by side
+        cut = np.ones(len(self.data), bool)
+        cut[1:] = ~pieces.joined[self.data[:-1], self.data[1:]]
+        cut[at[at < len(cut)]] = True
+        lo = np.flatnonzero(cut)
+        hi = np.append(lo[1:], len(cut))
         self.cuts = np.searchsorted(lo, at).tolist()
         self.keys, pick, self.inverse = np.unique(run_hashes(self.data, lo, hi), return_index=True, return_inverse=True)
         self.lo, self.hi = lo[pick], hi[pick]
@@ -395,7 +398,7 @@ def _segment(path: str, n: int):
 def segment(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
     """The n best segmentations of every whole text: doc_id, rank, cost (thousandths of a nat), n_words, n_pieces, ids_crc32, ids.
 
-    ids are those of the whole text, ids_crc32 is over them as little-endian 32-bit numbers. White space counts as one space. n_words
+    ids are those of the whole text, ids_crc32 is over them as little-endian 32-bit numbers. decode() of each gives the text back. n_words
     counts the runs between white space. Equal costs are ranked by ids, read from the last. A null or
     empty text has one segmentation, of no pieces; repeated rows are segmented each; an empty table gives an empty one.
     """

@@ -472,6 +472,17 @@ def test_segment_does_not_cut_long_words(spark, monkeypatch):
             assert [(r["cost"], tuple(r["ids"][::-1])) for r in got if r["doc_id"] == i] == plain_n_best(t, p, 3)
 
 
+def test_segment_keeps_white_space(spark):
+    p = segments.load(segments.model_path())
+    texts = ["a b\nc", " a  b\tc\r\n\r\n", " ", "\n", "x" + " " * 40 + "y  ", "a▁b ▁ c", "if x:\r\n    y = 1;\r\n", "", "é\u00a0 \u00a0漢字"]
+    got = segmented(spark, texts)
+    for i, t in enumerate(texts):
+        want = plain_n_best(t, p, 3)
+        assert [(c, tuple(ids[::-1])) for (d, _), (c, ids) in sorted(got.items()) if d == i] == want
+        assert all(segments.decode(ids, p) == t for (d, _), (_, ids) in got.items() if d == i)
+    assert len({got[i, 1][1][0] for i in (0, 1)}) == 2 and got[0, 1][1] != segmented(spark, ["a b c"])[0, 1][1]
+
+
 # ---- the pipeline
 
 
