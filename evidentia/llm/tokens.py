@@ -1,14 +1,15 @@
 """Token ids: encoding with a public tokenizer, Elias-Fano document boundaries, and packing.
 
-Encoding: the byte-level pre-tokenizer always starts a piece at a space between two other
-characters, so a text without two spaces in a row is the concatenation of its space-led pieces.
+Encoding: the byte-level pre-tokenizer always starts a piece at a space between two characters that
+are not white space, so a text with such spaces only is the concatenation of its space-led pieces.
 Each distinct piece goes through the tokenizers library once per worker and cache generation; texts
-with two spaces in a row go through the library whole.
+with a space at an end or next to other white space (Unicode's too) go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +31,12 @@ BLOCK_IDS = 1 << 20
 GROUP_PIECES = 20_000
 
 
+#: White space other than the space, in UTF-8, and the bytes it begins and ends with.
+WHITE = [chr(c).encode() for c in range(0x3001) if chr(c).isspace() and c != 32]
+BEGINS, ENDS = (np.isin(np.arange(256), [x[k] for x in WHITE]) for k in (0, -1))
+BESIDE = re.compile(b" (?:%b)|(?:%b) " % ((b"|".join(map(re.escape, WHITE)),) * 2))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -63,6 +70,11 @@ class Encoder:
 
     def _encode_pieces(self, new: list[str]) -> list[np.ndarray]:
         """new: pieces without their leading space, none of them empty or with a space inside."""
+        if rough := [x for x in new if x[0].isspace() or x[-1].isspace()]:  # these could melt with their neighbours
+            alone = dict(zip(rough, map(lambda x: np.frombuffer(x, "<u4"), self._whole([" " + x for x in rough]))))
+            rest = [x for x in new if x not in alone]
+            alone |= zip(rest, self._encode_pieces(rest))
+            return [alone[x] for x in new]
         out = []
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
@@ -91,10 +103,19 @@ class Encoder:
         self.sizes[self.rows : self.rows + len(new)] = sizes
         self.used, self.rows = self.used + len(flat), self.rows + len(new)
 
+    def _spaced(self, texts: list[bytes]) -> set[int]:
+        """Texts in which a space stands next to other white space."""
+        data = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        near = gaps[BEGINS[data[gaps + 1]] | ENDS[data[gaps - 1]]]
+        maybe = np.unique(np.searchsorted(np.cumsum([1 + len(x) for x in texts]), near)).tolist()
+        return {i for i in maybe if BESIDE.search(texts[i])}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8). Pieces are told apart by 64-bit hashes."""
         out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, x in enumerate(texts) if x and b"  " not in x and x[0] != 32 and x[-1] != 32]
+        spaced = self._spaced(texts)
+        plain = [i for i, x in enumerate(texts) if x and b"  " not in x and x[0] != 32 and x[-1] != 32 and i not in spaced]
         odd = sorted(set(range(len(texts))) - set(plain))
         for i, x in zip(odd, self._whole([texts[i].decode() for i in odd])):
             out[i] = x

@@ -285,6 +285,15 @@ def test_encoder_is_exact(tokenizer):
         assert enc.encode([t.encode() for t in texts]) == want
 
 
+def test_encoder_is_exact_beside_other_white_space(tokenizer):
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 \u00a0 \u00a0c d", "x \u2003 y \u3000 z", "p \n \n q", "p \u0085 q", "e\u00a0", "\u00a0e f", "\u00a0 e", "é à «b»", "r\u00a0s t\u00a0", "\u00a0r s"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert enc.encode([t.encode() for t in texts]) == want
+    assert [tokens.Encoder(tokens.tokenizer_path()).encode([t.encode()])[0] for t in texts] == want
+    assert enc._spaced([t.encode() for t in texts]) == {0, 1, 2, 3, 4, 7}
+
+
 def test_elias_fano():
     for values in ([], [0], [5], [0, 0, 7, 7, 10**9], sorted(rng.choices(range(10**6), k=777))):
         e = tokens.EliasFano.from_bytes(tokens.EliasFano.encode(np.array(values, np.int64)).to_bytes())
