@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +111,10 @@ def weighted_kappa(df: DataFrame, a: str, b: str, least: int, most: int) -> Data
     return s.select(F.col("n").cast("long").alias("n"), observed.alias("observed"), expected.alias("expected")).withColumn("kappa", F.when(F.abs(F.col("expected")) > 1e-12, 1 - F.col("observed") / F.col("expected")))
 
 
+#: Draws of a bootstrap, and indices drawn at once.
+RESAMPLES, DRAWN = 10_000, 1 << 22
+
+
 def percentile(sorted_values: Sequence[float], q: float) -> float:
     """Type 7: linear interpolation."""
     at = q * (len(sorted_values) - 1)
@@ -117,23 +122,55 @@ def percentile(sorted_values: Sequence[float], q: float) -> float:
     return sorted_values[lo] + (at - lo) * (sorted_values[min(lo + 1, len(sorted_values) - 1)] - sorted_values[lo])
 
 
-def bootstrap(values: Sequence[float], statistic: Callable[[Sequence[float]], float], seed: int, resamples: int = 1000, alpha: float = 0.05) -> dict:
+def bootstrap(values: Sequence[float], statistic: Callable[[Sequence[float]], float], seed: int, resamples: int = RESAMPLES, alpha: float = 0.05) -> dict:
     """Seeded percentile bootstrap with Python's Mersenne twister."""
     rng, n = random.Random(seed), len(values)
-    point = statistic(values)
-    draws = sorted(statistic([values[rng.randrange(n)] for _ in range(n)]) for _ in range(resamples))
+    return _summary(n, statistic(values), [statistic([values[rng.randrange(n)] for _ in range(n)]) for _ in range(resamples)], alpha)
+
+
+def _summary(n: int, point: float, draws: Sequence[float], alpha: float) -> dict:
+    draws, resamples = sorted(draws), len(draws)
     mean = math.fsum(draws) / resamples
     spread = math.sqrt(math.fsum((x - mean) ** 2 for x in draws) / (resamples - 1)) if resamples > 1 else 0.0
     low, high = percentile(draws, alpha / 2), percentile(draws, 1 - alpha / 2)
     return {"n": n, "point": point, "mean": mean, "bias": mean - point, "se": spread, "low": low, "high": high, "excludes_zero": low > 0 or high < 0}
 
 
-def paired_bootstrap(df: DataFrame, key: str, unit: str, control: str, perturbed: str, seed: int = 0, resamples: int = 1000) -> DataFrame:
+def randranges(seed: int, n: int, draws: int, size: int) -> Iterator[np.ndarray]:
+    """The numbers that random.Random(seed).randrange(n) gives one after the other, as `draws` rows of `size`, in blocks of rows."""
+    *key, at = random.Random(seed).getstate()[1]
+    twister = np.random.MT19937()
+    twister.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    shift, spare = np.uint64(32 - n.bit_length()), np.zeros(0, np.int64)
+    while draws:
+        rows = min(draws, max(1, DRAWN // size))
+        have, total = [spare], len(spare)
+        while total < rows * size:
+            x = twister.random_raw(rows * size - total + 64) >> shift
+            have.append(x[x < n].astype(np.int64))
+            total += len(have[-1])
+        x = np.concatenate(have)
+        yield x[: rows * size].reshape(rows, size)
+        spare, draws = x[rows * size :], draws - rows
+
+
+def bootstrap_mean(values: Sequence[float], seed: int, resamples: int = RESAMPLES, alpha: float = 0.05) -> dict:
+    """bootstrap() of the mean by math.fsum; whole numbers are summed as integers, which is as exact."""
+    n, v = len(values), np.array(values, np.float64)
+    if np.all(np.isfinite(v)) and np.all(v == np.floor(v)) and np.abs(v).max() * n < 2**53:
+        whole = v.astype(np.int64)
+        sums = [float(x) for rows in randranges(seed, n, resamples, n) for x in whole[rows].sum(1).tolist()]
+    else:
+        sums = [math.fsum(row) for rows in randranges(seed, n, resamples, n) for row in map(np.ndarray.tolist, v[rows])]
+    return _summary(n, math.fsum(values) / n, [x / n for x in sums], alpha)
+
+
+def paired_bootstrap(df: DataFrame, key: str, unit: str, control: str, perturbed: str, seed: int = 0, resamples: int = RESAMPLES) -> DataFrame:
     """Per key, the bootstrap of mean(control - perturbed); units in order, so results do not depend on partitioning."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(unit)
         gaps = [float(a) - float(b) for a, b in zip(pdf[control], pdf[perturbed])]
-        return pd.DataFrame([{key: pdf[key].iloc[0]} | bootstrap(gaps, lambda v: math.fsum(v) / len(v), seed, resamples)])
+        return pd.DataFrame([{key: pdf[key].iloc[0]} | bootstrap_mean(gaps, seed, resamples)])
 
     return df.select(key, unit, control, perturbed).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, n long, point double, mean double, bias double, se double, low double, high double, excludes_zero boolean")

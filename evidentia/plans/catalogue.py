@@ -486,4 +486,4 @@ def q_clopper_pearson(spark, d):
 @query()
 def q_paired_bootstrap(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return stats.paired_bootstrap(rows, "lang", "doc_id", "quality", "toxic", seed=20260101, resamples=200)
+    return stats.paired_bootstrap(rows, "lang", "doc_id", "quality", "toxic", seed=20260101, resamples=stats.RESAMPLES)

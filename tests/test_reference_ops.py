@@ -54,6 +54,16 @@ def test_bootstrap_is_seeded():
     assert stats.bootstrap(v, mean, 3) == stats.bootstrap(v, mean, 3) != stats.bootstrap(v, mean, 4)
 
 
+def test_paired_bootstrap_draws_ten_thousand(spark, monkeypatch):
+    mean = lambda x: math.fsum(x) / len(x)
+    monkeypatch.setattr(stats, "DRAWN", 1000)
+    for v in ([1.0, 0.0, -1.0, 1.0, 1.0, 0.0, 1.0], [0.1, 0.7, -0.3, 0.25], [1.0] * 8 + [0.0]):
+        assert stats.bootstrap_mean(v, 20260101) == stats.bootstrap(v, mean, 20260101, resamples=10000)
+    df = spark.createDataFrame([("en", i, float(i % 3 > 0), float(i % 7 == 0)) for i in range(12)], "lang string, doc_id int, quality double, toxic double")
+    r = stats.paired_bootstrap(df, "lang", "doc_id", "quality", "toxic", seed=20260101).collect()[0].asDict()
+    assert r == {"lang": "en"} | stats.bootstrap([float(i % 3 > 0) - float(i % 7 == 0) for i in range(12)], mean, 20260101, resamples=10000)
+
+
 @pytest.mark.parametrize(
     "quote, source, want",
     [
