@@ -251,15 +251,8 @@ def q_novelty_coverage(spark, d):
 
 @query("SELECT item_id, doc_id, 'exact' AS quote_class FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_quote_class(spark, d):
-    # shared runs of eight words are the equi-join key; only pairs that share one are tested as strings
-    grams = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 7), lambda i: F.xxhash64(F.array_join(F.slice(x, i, 8), " ")))
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.get(F.slice(grams(F.slice(words(F.col("text")), 2, 9)), 1, 1), F.lit(0)).alias("g")).filter(F.size(words(F.col("quote"))) >= 10)
-    docs = t(spark, d, "documents").select("doc_id", "text").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 8)
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    pairs = keys.join(b.select("g", "item_id"), "g").select("doc_id", "item_id").distinct()
-    rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(b.select("item_id", "quote"), "item_id")
-    return rows.select("item_id", "doc_id", text.quote_class(F.col("quote"), F.col("text")).alias("quote_class")).filter("quote_class = 'exact'")
+    # the SQL is of exact quotes; quote_matches has the other classes too
+    return relational.quote_matches(t(spark, d, "benchmark"), t(spark, d, "documents")).filter("quote_class = 'exact'")
 
 
 @query(f"""
@@ -276,7 +269,7 @@ def q_best_overlap(spark, d):
 
 @query()
 def q_longest_common_run(spark, d):
-    pairs = q_quote_class(spark, d).select("item_id", "doc_id")
+    pairs = relational.quote_matches(t(spark, d, "benchmark"), t(spark, d, "documents")).select("item_id", "doc_id")
     rows = pairs.join(t(spark, d, "benchmark").withColumnRenamed("text", "quote"), "item_id").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("item_id", "doc_id", text.longest_common_run(text.legal_words(F.col("quote")), text.legal_words(F.col("text"))).alias("run"))
 

@@ -81,6 +81,26 @@ def test_quote_class(spark, quote, source, want):
     assert one(df.select(text.quote_class(F.col("q"), F.col("s")))) == want
 
 
+def test_quote_matches_finds_every_class(spark):
+    docs = ["in the first part, and the second part of it", "a b  c d e f g h i j k l", "xa\u00a0bx", "one two three four five", "ab", None, "", "the second part in the first part"]
+    quotes = ["ab", "b  c d", "b c d e f", "a b", "two three four", "the first part ... second part", "first…part", "the first part, and ... the second part", "c d e f g h i j k", "e f g h i j k l m", "wo three fou", None, "part, and the second part of", "... ", "the first part..."]
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, text string")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    every = q.select("item_id", F.col("text").alias("quote")).crossJoin(d).select("item_id", "doc_id", text.quote_class(F.col("quote"), F.col("text")).alias("c")).filter("c NOT IN ('missing', 'non_verbatim')")
+    want = sorted(map(tuple, every.collect()))
+    assert sorted(map(tuple, relational.quote_matches(q, d).collect())) == want
+    assert {c for *_, c in want} == {"exact", "normalised", "elided"} and (2, 1, "normalised") in want and (4, 3, "exact") in want
+
+
+def test_longest_common_run_is_of_every_class(spark, tmp_path):
+    from evidentia.plans import catalogue
+
+    spark.createDataFrame([(0, "x the first part, and the second part"), (1, "one  two three"), (2, "none of it")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "the first part ... second part"), (8, "one two three"), (9, "the second part")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, catalogue.QUERIES["q_longest_common_run"](spark, str(tmp_path)).collect())) == [(7, 0, 3), (8, 1, 3), (9, 0, 3)]
+    assert [r.item_id for r in catalogue.QUERIES["q_quote_class"](spark, str(tmp_path)).collect()] == [9]
+
+
 def test_tokens_and_runs(spark):
     df = spark.createDataFrame([("Điều 12_a được, ABC", "x 42 y")], "a string, b string")
     r = df.select(text.tokens(F.col("a")).alias("t"), text.contains_run(F.lit("42"), F.col("b")).alias("hit"), text.contains_run(F.lit("4"), F.col("b")).alias("no"), text.longest_common_run(F.split(F.lit("a b c d"), " "), F.split(F.lit("x b c y"), " ")).alias("run")).collect()[0]
