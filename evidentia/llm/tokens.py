@@ -46,12 +46,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, spell_special: bool = True):
+        """spell_special: added tokens in a text are spelled like other text; else the tokenizer stays as loaded, as the queries have it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if spell_special:
+            self.tokenizer.encode_special_tokens = True
+            added = []
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
@@ -115,6 +120,8 @@ class Encoder:
         """Ids of each text (UTF-8). Pieces are told apart by 64-bit hashes."""
         out: list[bytes] = [b""] * len(texts)
         spaced = self._spaced(texts)
+        if self.added and self.added.search(b"\0".join(texts)):
+            spaced |= {i for i, x in enumerate(texts) if self.added.search(x)}
         plain = [i for i, x in enumerate(texts) if x and b"  " not in x and x[0] != 32 and x[-1] != 32 and i not in spaced]
         odd = sorted(set(range(len(texts))) - set(plain))
         for i, x in zip(odd, self._whole([texts[i].decode() for i in odd])):
@@ -161,7 +168,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, spell_special=False)
     return _encoders[path]
 
 

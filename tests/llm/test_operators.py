@@ -294,6 +294,18 @@ def test_encoder_is_exact_beside_other_white_space(tokenizer):
     assert enc._spaced([t.encode() for t in texts]) == {0, 1, 2, 3, 4, 7}
 
 
+def test_queries_leave_the_tokenizer_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>", "a <|endoftext| b", "x y"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(tokens.tokenizer_path()).encode([t.encode() for t in texts])] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in tokens.read_boundaries(tokens.write_ids(df)).collect()}
+    assert got == {i: crc([*ids, 0]) for i, ids in enumerate(want)}
+
+
 def test_elias_fano():
     for values in ([], [0], [5], [0, 0, 7, 7, 10**9], sorted(rng.choices(range(10**6), k=777))):
         e = tokens.EliasFano.from_bytes(tokens.EliasFano.encode(np.array(values, np.int64)).to_bytes())
