@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,26 @@ TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
+#: Folders made here, by session, so that release() can delete them.
+_folders: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, which is set only if unset."""
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir.
+
+    Where that is unset, it is set to a folder of this machine if driver and executors are one process;
+    on a cluster that would lose data, so it is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -40,6 +55,34 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Delete the stored folders from number `since` to before `upto`, as folders() counts them.
+
+    Only for tables that no DataFrame still to be run reads.
+    """
+    made = _folders.get(spark.sparkContext.applicationId, [])
+    for path in made[since:upto]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    made[since:upto] = []
+
+
+def folders(spark: SparkSession) -> int:
+    """How many stored folders there are."""
+    return len(_folders.get(spark.sparkContext.applicationId, []))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that none of `taken` equals, whatever the case."""
+    have, out = {x.lower() for x in taken}, []
+    for x in names:
+        while x.lower() in have:
+            x += "_"
+        have.add(x.lower())
+        out.append(x)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,6 +172,28 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+_caches: dict[str, Callable[[], object]] = {}
+_owner = ""
+
+
+def own_worker(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Called where an operator's Python function begins: what other operators keep in this worker is forgotten.
+
+    Spark hands a worker on from stage to stage, so its memory is that of one operator at a time.
+    """
+    global _owner
+    if forget:
+        _caches[name] = forget
+    if _owner != name:
+        others = [f for k, f in _caches.items() if k != name]
+        for f in others:
+            f()
+        _owner = name
+        if others:
+            gc.collect()
+            trim()
+
+
 def trim() -> None:
     """Give freed memory back to the system: workers idle beside the tasks of the next stage."""
     pa.default_memory_pool().release_unused()

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import SPACE, TABLE, U64, as_bytes, bounds, chunks, id_and_text, mix, powers, run_hashes
+from ._common import SPACE, TABLE, U64, as_bytes, bounds, chunks, id_and_text, mix, own_worker, powers, run_hashes
 
 MARK = "▁".encode()
 #: Costs are integers, so that ties are exact: a thousandth of a nat.
@@ -358,8 +358,14 @@ class _Memory:
 _memory: dict[tuple[str, int], _Memory] = {}
 
 
+def _forget() -> None:
+    _memory.clear()
+    _pieces.clear()
+
+
 def _segment(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("segments", _forget)
         memory = _memory.setdefault((path, n), _Memory(load(path), n))
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
