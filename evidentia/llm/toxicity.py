@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, U64, as_bytes, bounds, chunks, id_and_text, run_hashes, trim
+from ._common import LOWER, U64, as_bytes, bounds, chunks, id_and_text, own_worker, run_hashes, trim
 from .labelled import held_out, logistic, sample
 
 #: Labelled rows of each class at most; two thirds train the models, the rest the map.
@@ -26,9 +26,7 @@ SAMPLE_ROWS = 6000
 ORDER, DISCOUNT, WINDOW = 6, 0.75, 12
 #: Discount of the classes' own counts (numbers of documents); rarer expressions rest on the shared counts alone.
 CLASS_DISCOUNT = 3.0
-#: Differences below this are left out of the tables.
-LEAST = 0.05
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 THRESHOLD = 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -69,6 +67,7 @@ def _split(texts: list[bytes]):
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        own_worker("toxicity")
         label = np.array(batch.column("label").to_pylist())
         texts = as_bytes(batch.column("text"))
         for k in (0, 1):
@@ -108,6 +107,7 @@ def _continuations(contexts: np.ndarray):
     """Grams of k + 1 bytes, for each order k, whose context is among these; a worker's repetitions are mostly left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         seen = np.zeros(0, np.uint64)
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
@@ -168,10 +168,8 @@ class Models:
             log_p[c] = np.log(np.where(total[at] > 0, np.maximum(counts[c] - CLASS_DISCOUNT, 0) / np.maximum(total[at], 1), 0) + rest[at] * below)
             log_rest[c] = np.log(rest)
         gap, wide = log_p[1] - log_p[0], log_rest[1] - log_rest[0]
-        near = np.abs(gap - wide[at]) >= LEAST
-        self.grams, self.gaps = gram[near], gap[near].astype(np.float32)
-        far = np.abs(wide) >= LEAST
-        self.contexts, self.rests = context[far], wide[far].astype(np.float32)
+        self.grams, self.gaps = gram, gap.astype(np.float32)
+        self.contexts, self.rests = context, wide.astype(np.float32)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Difference of the log-likelihoods (toxic less ordinary) of each word."""
@@ -202,6 +200,7 @@ class Models:
 
 def _matrix(models: Models, column: str, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 x = models.compare(as_bytes(piece.column("text")))
@@ -222,12 +221,14 @@ class Judge:
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.std, -6, 6)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def rate(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each text, and difference of its two log-likelihoods per byte."""
         if not self.ok:
-            return np.full(len(texts), self.base)
-        z = self._scaled(self.models.compare(texts))
+            return np.full(len(texts), self.base), np.zeros(len(texts))
+        x = self.models.compare(texts)
+        z = self._scaled(x)
         # summed row by row: a matrix product rounds differently with the number of rows
-        return 1 / (1 + np.exp(-np.clip((z * self.beta[:-1]).sum(1) + self.beta[-1], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip((z * self.beta[:-1]).sum(1) + self.beta[-1], -40, 40))), x[:, 0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Judge:
@@ -252,33 +253,42 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Judge:
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted.
+    """Per document: doc_id, held_out, score, predicted, difference (of the log-likelihoods per byte, toxic less ordinary).
 
-    A null text is scored as an empty one, a null doc_id is held out, repeated rows get equal scores.
-    Without labels of both kinds every score is 0.
+    A null text is scored as an empty one, a null doc_id is held out, repeated rows get equal scores; a
+    text is scored whole, however long. Other columns are not read. Without labels of both kinds every
+    score is 0. An empty table gives an empty one.
     """
     judge = fit(docs, labels, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
-                score = judge.score(as_bytes(piece.column("text")))
-                yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                score, gap = judge.rate(as_bytes(piece.column("text")))
+                yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(gap)], names=["doc_id", "held_out", "score", "predicted", "difference"])
+        trim()
 
-    return id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, difference double")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with all columns, without those that are predicted toxic; one pass over the texts, nothing is shuffled."""
+    """docs with all columns, without those that are predicted toxic; one pass over the texts, nothing is shuffled.
+
+    Nulls, empty texts, repeated rows and missing labels are as in rate_toxicity: an empty or null text
+    stays unless empty texts are toxic, rows with equal texts stay or go alike. An empty table gives an
+    empty one.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     judge = fit(docs, labels)
     kind = to_arrow_schema(docs.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
-                keep = judge.score(as_bytes(piece.column("text"))) < THRESHOLD
+                keep = judge.rate(as_bytes(piece.column("text")))[0] < THRESHOLD
                 yield piece.filter(pa.array(keep)).cast(kind)
         trim()
 
