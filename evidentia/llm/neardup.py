@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, U64, as_bytes, chunks, id_and_text, mix, shingle_hashes, stored, trim, word_hashes
+from ._common import LOWER, U64, as_bytes, chunks, folders, fresh, id_and_text, mix, own_worker, release, shingle_hashes, stored, trim, word_hashes
 
 WIDTH = 5
 #: Bands of rows: a pair of similarity 0.85 is missed with probability 6e-9, one of 0.8 with 5e-6.
@@ -66,12 +66,13 @@ def band_keys(bins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(width: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("neardup")
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 sets = shingle_sets(as_bytes(piece.column("text")), width)
                 keys = [None if not len(s) else bytes(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ U64(0xABCDEF)).sum(dtype=np.uint64), len(s)], np.uint64)) for s in sets]
                 found = [None if not len(s) else band_keys(sketch(s, bands * rows), bands, rows) for s in sets]
-                yield pa.record_batch([piece.column("doc_id").cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"])
+                yield pa.record_batch([piece.column("doc_id").cast(pa.int64()), piece.column("digest"), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "key", "bands"])
         trim()
 
     return run
@@ -81,6 +82,7 @@ def _star(percent: int, width: int):
     kind = pa.schema([("lead", pa.int64()), ("x", pa.int64()), ("inter", pa.int64()), ("total", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
+        own_worker("neardup")
         ids = group.column("x").to_numpy()
         lead = group.column("lead")[0].as_py()
         out = []
@@ -113,6 +115,7 @@ def _blocks(percent: int, width: int):
     kind = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
+        own_worker("neardup")
         rows = group.select(["x", "side", "inter", "total"]).to_pylist()
         sets: list[np.ndarray] = []
         for batch in group.to_batches():
@@ -154,6 +157,7 @@ def _blocks(percent: int, width: int):
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of undirected links x, y; by rounds of neighbour minima and pointer jumps, each round stored."""
+    spark = links.sparkSession
     both = stored(links.select("x", "y").union(links.select("y", "x")).distinct(), "links")
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "node")
     labels = stored(labels, "labels")
@@ -162,9 +166,12 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, labels.node == near.x).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = stored(lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) < F.col("label")).alias("moved")), "labels")
-        labels = new.drop("moved")
+        last = folders(spark) - 1
         if not new.filter("moved").limit(1).count():
+            release(spark, last)  # the last round changed nothing
             return labels.withColumnRenamed("label", "component")
+        release(spark, last - 1, last)
+        labels = new.drop("moved")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,10 +182,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     document and get the same component; a null doc_id never leads and links nothing, its component_id
     is that of its class or null. Only doc_id and text are read. An empty table gives an empty one.
     """
+    return _grouped(docs, percent, width, bands, rows).drop("digest")
+
+
+def _grouped(docs: DataFrame, percent: int, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates() with the MD5 of each row's text, which tells rows of one doc_id apart."""
     base = id_and_text(docs)
-    sig = stored(base.mapInArrow(_signatures(width, bands, rows), "doc_id long, n_shingles long, key binary, bands array<bigint>"), "sketches")
+    sig = stored(base.withColumn("digest", F.md5(F.encode("text", "UTF-8"))).mapInArrow(_signatures(width, bands, rows), "doc_id long, digest string, n_shingles long, key binary, bands array<bigint>"), "sketches")
     reps = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = stored(sig.select("doc_id", "n_shingles", "key").join(reps, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
+    members = stored(sig.select("doc_id", "digest", "n_shingles", "key").join(reps, "key", "left").select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
     own = sig.join(reps, (sig.key == reps.key) & (sig.doc_id == reps.rep)).select("rep", F.explode("bands").alias("band"))
     multi = own.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     buckets = stored(own.join(multi, "band"), "buckets")
@@ -205,10 +217,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     links = star.filter(linked).select("x", F.col("lead").alias("y")).union(more)
     groups = components(links)
     out = members.join(groups, members.rep == groups.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the least doc_id, of each group of near-duplicates."""
-    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    """docs, with all columns, with one document, that of the least doc_id, of each group of near-duplicates.
+
+    Verdicts are by doc_id and text: of rows that share a doc_id only those go whose own text is a copy of
+    another document; repeated rows stay or go alike. Documents without words all stay. A row without
+    doc_id goes if its text is that of a document with one. An empty table gives an empty one.
+    """
+    text, gone_id, gone_text = fresh(docs.columns, "text_md5", "gone_id", "gone_md5")
+    gone = _grouped(docs, percent).filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_text)).distinct()
+    rows = docs.withColumn(text, F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(text) == F.col(gone_text)), "left_anti").drop(text)
