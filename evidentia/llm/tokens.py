@@ -3,7 +3,8 @@
 Encoding: the byte-level pre-tokenizer always starts a piece at a space between two characters that
 are not white space, so a text with such spaces only is the concatenation of its space-led pieces.
 Each distinct piece goes through the tokenizers library once per worker and cache generation; texts
-with a space at an end or next to other white space (Unicode's too) go through the library whole.
+with a space at an end or next to other white space (Unicode's too), or with an added token such as
+<|endoftext|>, go through the library whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, chunks, id_and_text, run_hashes, shuffle_partitions, stored, trim
+from ._common import as_bytes, chunks, id_and_text, own_worker, run_hashes, shuffle_partitions, stored, trim
 
 #: Pieces that a worker remembers before it starts afresh; bounds its memory at about 100 MB.
 CACHE_PIECES = 1_500_000
@@ -27,6 +28,8 @@ CACHE_PIECES = 1_500_000
 CHUNK_BYTES = 3_000_000
 #: Ids in a stored block before the next one begins (a longer document has a block of its own).
 BLOCK_IDS = 1 << 20
+#: Documents whose boundaries are looked up at once.
+READ_DOCS = 16_384
 #: Documents packed together by one task.
 GROUP_PIECES = 20_000
 
@@ -46,16 +49,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, spell_special: bool = True):
-        """spell_special: added tokens in a text are spelled like other text; else the tokenizer stays as loaded, as the queries have it."""
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        if spell_special:
-            self.tokenizer.encode_special_tokens = True
-            added = []
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -167,8 +166,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    own_worker("tokens", _encoders.clear)
     if path not in _encoders:
-        _encoders[path] = Encoder(path, spell_special=False)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -176,18 +176,16 @@ def encoder(path: str) -> Encoder:
 
 
 class EliasFano:
-    """A non-decreasing list of n integers below or at `top` in about n * (2 + log2(top / n)) bits.
+    """A non-decreasing list of n integers, from 0 to `top`, in about n * (2 + log2(top / n)) bits.
 
-    The lower bits lie side by side, the upper ones in unary; a sample of every 64th one-bit lets
-    select() find the i-th value without unpacking more than one stretch of the unary part.
+    The lower bits lie side by side, the upper ones in unary. The places of every STEP-th one-bit are
+    stored beside them (half a bit for each value), so select() unpacks one stretch of the unary part alone.
     """
 
     STEP = 64
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))
-        self.samples = ones[:: self.STEP].astype(np.int64)
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -198,16 +196,18 @@ class EliasFano:
         for j in range(bits):
             low[:, j] = (values >> (bits - 1 - j)) & 1
         high = np.zeros((top >> bits) + n + 1, np.uint8)
-        high[(values >> bits) + np.arange(n)] = 1
-        return cls(n, bits, np.packbits(low.ravel()).tobytes(), np.packbits(high).tobytes())
+        ones = (values >> bits) + np.arange(n)
+        high[ones] = 1
+        return cls(n, bits, np.packbits(low.ravel()).tobytes(), np.packbits(high).tobytes(), ones[:: cls.STEP].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return np.array([self.n, self.low_bits, len(self.low)], "<u8").tobytes() + self.low + self.high
+        return np.array([self.n, self.low_bits, len(self.low)], "<u8").tobytes() + self.low + self.samples.tobytes() + self.high
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
         n, bits, size = (int(x) for x in np.frombuffer(raw[:24], "<u8"))
-        return cls(n, bits, raw[24 : 24 + size], raw[24 + size :])
+        mid = 24 + size + 4 * -(-n // cls.STEP)
+        return cls(n, bits, raw[24 : 24 + size], raw[mid:], np.frombuffer(raw[24 + size : mid], "<u4"))
 
     def _low(self, lo: int, hi: int) -> np.ndarray:
         if not self.low_bits:
@@ -216,27 +216,33 @@ class EliasFano:
         bits = np.unpackbits(np.frombuffer(self.low[a // 8 : (b + 7) // 8], np.uint8))[a % 8 : a % 8 + b - a]
         return bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits - 1, -1, -1, dtype=np.int64))
 
+    def stretch(self, k: int) -> np.ndarray:
+        """The values from number k * STEP on, STEP of them at most: one look at a stored sample."""
+        lo, hi = k * self.STEP, min(self.n, (k + 1) * self.STEP)
+        at = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high[at // 8 : -(-end // 8)], np.uint8))) + at // 8 * 8
+        ones = ones[np.searchsorted(ones, at) :][: hi - lo]
+        return ((ones - np.arange(lo, hi)) << self.low_bits) | self._low(lo, hi)
+
     def select(self, i: int) -> int:
         """The i-th value, from 0."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // self.STEP]), i % self.STEP
-        byte = at // 8
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high[byte : byte + 8 + 64 * 8], np.uint8)))
-        ones = ones[ones >= at - 8 * byte]
-        if len(ones) <= left:  # a long stretch of zeros
-            ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high[byte:], np.uint8)))
-            ones = ones[ones >= at - 8 * byte]
-        return ((8 * byte + int(ones[left]) - i) << self.low_bits) | int(self._low(i, i + 1)[0])
+        return int(self.stretch(i // self.STEP)[i % self.STEP])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8)))[: self.n].astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The values of these numbers, which rise."""
+        each, first = np.unique(at // self.STEP, return_index=True)
+        parts = [self.stretch(int(k))[own % self.STEP] for k, own in zip(each, np.split(at, first[1:]))]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 # ---------------------------------------------------------------- the id files
 
-BLOCK_SCHEMA = "part int, block int, part_start long, doc_ids array<bigint>, n_ids long, ids binary, ends binary"
+BLOCK_SCHEMA = "part int, block int, part_start long, n_docs int, n_null int, first_id long, doc_ids binary, n_ids long, ids binary, ends binary"
+#: Doc_ids of a block differ by less than this.
+WIDEST = 1 << 62
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
@@ -252,16 +258,21 @@ def _blocks(path: str, end_id: int, block_ids: int):
             ends = np.cumsum([len(x) // 4 for x in ids])
             flat = np.frombuffer(b"".join(ids), "<u4")
             raw = (flat if wide else flat.astype("<u2")).tobytes()
-            out = pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([raw], pa.binary()), pa.array([EliasFano.encode(ends).to_bytes()], pa.binary())],
-                names=["part", "block", "part_start", "doc_ids", "n_ids", "ids", "ends"],
-            )
+            known = [x for x in doc_ids if x is not None]
+            first = known[0] if known else 0
+            row = {
+                "part": part, "block": block, "part_start": start, "n_docs": len(ids), "n_null": len(ids) - len(known), "first_id": first,
+                "doc_ids": EliasFano.encode(np.array([x - first for x in known], np.int64)).to_bytes(), "n_ids": size, "ids": raw, "ends": EliasFano.encode(ends).to_bytes(),
+            }
             start, block, doc_ids, ids, size = start + size, block + 1, [], [], 0
-            return out
+            return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 for doc_id, x in zip(piece.column("doc_id").to_pylist(), enc.encode(as_bytes(piece.column("text")))):
+                    known = next((y for y in doc_ids if y is not None), None) if doc_id is not None else None
+                    if known is not None and doc_id - known >= WIDEST:
+                        yield flush()
                     doc_ids.append(doc_id)
                     ids.append(x + end)
                     size += len(x) // 4 + 1
@@ -274,14 +285,19 @@ def _blocks(path: str, end_id: int, block_ids: int):
     return run
 
 
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_docs", pa.int32()), ("n_null", pa.int32()), ("first_id", pa.int64()), ("doc_ids", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
+
+
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode every document and store the ids in ascending doc_id order; returns the stored blocks.
 
-    A block is a row: the concatenated ids (2 bytes each if the vocabulary allows, else 4), their
-    documents, and the documents' ends as an Elias-Fano list. Parts are ranges of doc_id, blocks
+    A block is a row: the concatenated ids (2 bytes each if the vocabulary allows, else 4), and two
+    Elias-Fano lists, of the doc_ids (less the first; n_null documents without one stand before) and of
+    the documents' ends. Parts are ranges of doc_id, blocks
     follow each other in a part, part_start counts the ids before a block in its part. Rows of one
     doc_id stay side by side, in the order of their texts' hashes; a null doc_id comes first; a null
-    text is empty and has only the end id. No documents: no blocks.
+    text is empty and has only the end id; a longer document than block_ids has a block of its own.
+    Other columns are not read. No documents: no blocks.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -291,7 +307,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 0, block_i
 def read_boundaries(blocks: DataFrame) -> DataFrame:
     """Per document of the stored blocks: doc_id, start, n_tokens and the crc32 of its ids.
 
-    Only one total per part goes to the driver; the number of parts is the number of shuffle partitions.
+    Ends and doc_ids are looked up by the select structures, a stretch at a time. Only one total per part
+    goes to the driver; the number of parts is the number of shuffle partitions.
     """
     totals = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     base, at = {}, 0
@@ -299,17 +316,22 @@ def read_boundaries(blocks: DataFrame) -> DataFrame:
         base[part], at = at, at + totals[part]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("read")
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano.from_bytes(r["ends"]).all()
+                ends, known = EliasFano.from_bytes(r["ends"]), EliasFano.from_bytes(r["doc_ids"])
                 kind = "<u2" if len(r["ids"]) == 2 * r["n_ids"] else "<u4"
                 raw = memoryview(np.frombuffer(r["ids"], kind).astype("<u4").tobytes())
-                cuts = [0, *(ends * 4).tolist()]
-                starts = np.concatenate(([0], ends[:-1]))
-                yield pa.record_batch(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + base[r["part"]] + r["part_start"]), pa.array(ends - starts), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                last = 0
+                for lo in range(0, r["n_docs"], READ_DOCS):
+                    docs = np.arange(lo, min(r["n_docs"], lo + READ_DOCS))
+                    stop = ends.select_many(docs)
+                    start = np.concatenate(([last], stop[:-1]))
+                    last = int(stop[-1])
+                    ids = known.select_many(docs[docs >= r["n_null"]] - r["n_null"]) + r["first_id"]
+                    doc_ids = pa.array([None] * (len(docs) - len(ids)) + ids.tolist(), pa.int64())
+                    crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), stop.tolist())]
+                    yield pa.record_batch([doc_ids, pa.array(start + base[r["part"]] + r["part_start"]), pa.array(stop - start), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -384,7 +406,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ca
     doc_id, start and checksum) into groups of about `group_pieces`; each group is packed on its own
     with a tournament tree over its bins. sequence_id is the group in the upper and the bin in the
     lower 32 bits; offsets are gapless from 0. A null text is empty and has the end id alone; equal
-    doc_ids are packed as separate documents; no documents give no pieces. with_ids adds the ids of
+    doc_ids are packed as separate documents; a text of any length is cut into whole pieces; other columns
+    are not read; no documents give no pieces. with_ids adds the ids of
     each piece (little-endian unsigned 32-bit).
     """
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -393,6 +416,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ca
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
+        own_worker("packing")
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), capacity)
         key = group.column("group").to_numpy()
