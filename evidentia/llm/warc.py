@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, shared_dir
+from ._common import as_bytes, own_worker, shared_dir, stored
 
 #: Bytes of a record block from which it is cut into segments.
 SEGMENT_BYTES = 16_384
@@ -104,6 +104,7 @@ def _records(segment_bytes: int):
             yield _header([("WARC-Type", "continuation"), ("WARC-Record-ID", _uuid(ident, k)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", ident), ("WARC-Segment-Number", k), *last, ("Content-Length", len(part))]) + part
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("warc")
         part, n = TaskContext.get().partitionId(), 0
         out: list[bytes] = []
         size = 0
@@ -132,11 +133,15 @@ def write_archives(pages: DataFrame, path: str | None = None, segment_bytes: int
     response if all are null. An empty table gives a folder without records.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc"
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    large = pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).alias("n")).filter(F.col("n") >= REVISIT_BYTES)
-    groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").drop("pages")
-    joined = rows.join(groups, "payload_digest", "left").withColumn("first_page", F.when(F.col("page_id").eqNullSafe(F.col("last_page")), None).otherwise(F.col("last_page"))).drop("last_page")
+    text = F.coalesce(F.col("html"), F.lit(""))
+    digest, size = F.sha1(F.encode(text, "UTF-8")).alias("payload_digest"), F.octet_length(text).cast("long").alias("payload_bytes")
+    # who revisits whom is settled on narrow rows; the payloads are dealt by page and digest, never by digest alone
+    large = pages.select("page_id", digest, size).filter(F.col("payload_bytes") >= REVISIT_BYTES).drop("payload_bytes")
+    groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").drop("pages")
+    later = large.join(groups, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first_page"))).distinct()
+    later = later.select(F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), "first_page")
+    rows = pages.select("page_id", "url", text.alias("html"), digest, size)
+    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("payload_digest") == F.col("digest")), "left")
     records = joined.select("page_id", "url", "payload_digest", "payload_bytes", "first_page", "html").mapInArrow(_records(segment_bytes), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
@@ -174,6 +179,7 @@ def _number(x: str | None) -> int | None:
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_worker("warc")
     names = [x.split()[0] for x in _READ.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
@@ -187,7 +193,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((*own, None, None, origin, int(f["warc-segment-number"]), _number(f.get("warc-segment-total-length")), block))
                     size += len(block)
                 elif kind == "revisit":
-                    rows.append((*own, own[4], digest, None, None, None, None))
+                    rows.append((*own, None, None, None, None, None, None))
                 else:
                     payload = payload_of(block)
                     rows.append((*own, len(payload), hashlib.sha1(payload).hexdigest(), None, None, None, None))
@@ -214,14 +220,22 @@ def read_archives(spark, path: str) -> DataFrame:
     """One row per page record of the archives: what the header declares, and length and SHA-1 of the payload as read.
 
     Continuations are grouped by their origin, ordered by segment number and checked against the
-    total length; only segmented records are shuffled, and a group holds one record. A revisit has
-    no payload; its length and digest are those declared. A payload that differs from its header's
-    length or digest stops the job.
+    total length; only segmented records are shuffled, and a group holds one record. A revisit has no
+    payload of its own: length and digest are those read from the response that it refers to, found by
+    page and digest. A payload that differs from its header's length or digest stops the job, and so does
+    a revisit without such a response. An archive without records gives an empty table.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     read = files.mapInArrow(_read, _READ)
     whole = read.filter("origin is null")
     parts = read.filter("origin is not null").groupBy("origin").applyInArrow(_reassemble, _READ)
     same = (F.col("payload_digest") == F.col("declared_digest")) & (F.col("payload_bytes") == F.col("declared_bytes"))
-    digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("WARC:payload differs of page "), F.col("page_id").cast("string"))))
-    return whole.unionByName(parts).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    fault = lambda what: F.raise_error(F.concat(F.lit(f"WARC:{what} of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?"))))
+    digest = F.when(same, F.col("payload_digest")).otherwise(fault("payload differs"))
+    records = stored(whole.unionByName(parts).drop("origin", "segment", "total", "block"), "records")
+    responses = records.filter("record_type != 'revisit'").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    there = responses.filter(F.col("payload_bytes") >= REVISIT_BYTES).select(F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("size")).distinct()
+    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    joined = revisits.join(there, (F.col("refers_to") == F.col("page")) & (F.col("declared_digest") == F.col("digest")), "left")
+    found = joined.select("page_id", F.when(F.col("size") == F.col("declared_bytes"), F.col("size")).otherwise(fault("no response")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return responses.unionByName(found)
