@@ -11,16 +11,18 @@ all occurrences of a window meet where contexts are dealt by anchor. The steps:
 3. For shared anchors the group sends the distinct contexts: the bytes of those windows whose anchor it
    is, with the smallest and largest doc_id of the occurrences.
 4. The contexts that meet form a suffix array: sorted from the anchor on, with the lengths of common
-   prefixes. Its tree of common-prefix intervals is scanned by depth, from LENGTH down to GRAM: a window
-   reaching `o` bytes left of the anchor needs a common prefix of LENGTH - o, and an interval is split
-   by its members' left extensions of o bytes wherever these differ. Each part is a repeat group with
-   all its occurrences, and has a smallest doc_id.
-5. The group marks the bytes of each window with a smaller doc_id than its own and cuts them out.
+   prefixes. A stack scan of these gives the tree of common-prefix intervals, children before parents. In
+   each interval the members' left extensions are scanned in the same way: where these differ, a node
+   with members of two children of the interval is extended neither to the left nor to the right, so it
+   is a maximal repeat group (within the contexts), and it is given out with all its occurrences.
+5. The group marks the bytes of each repeat with a smaller doc_id than its own and cuts them out.
+   A window occurs wherever the smallest maximal repeat around it does, so no window is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, as_bytes, bounds, mix, run_hashes
+from ._common import U64, as_bytes, bounds, fresh, mix, own_worker, run_hashes
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and of text handled at once in it.
@@ -72,29 +74,39 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
 
 
 class _Group:
-    """The texts of a group that are no copies, in chunks, with their anchors."""
-
-    def __init__(self, table: pa.Table, copies: set, length: int, gram: int):
-        self.ids = np.array([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-        self.texts = as_bytes(table.column("text").combine_chunks()) if table.num_rows else []
-        if self.texts and not isinstance(self.texts, list):
-            self.texts = list(self.texts)
-        self.copy = np.array([int(i) in copies for i in self.ids], bool)
+    """The texts of a group that are no copies, in pieces and chunks, with their anchors."""
+
+    def __init__(self, docs: pa.Table, copies: set, length: int, gram: int):
+        self.ids = np.array([NO_ID if x is None else x for x in docs.column("doc_id").to_pylist()], np.int64)
+        self.texts = as_bytes(docs.column("text").combine_chunks()) if docs.num_rows else []
+        some = {i for i, _ in copies}
+        self.copy = np.array([i in some and (i, hashlib.md5(x).digest()) in copies for i, x in zip(self.ids.tolist(), self.texts)], bool)
         self.length, self.gram = length, gram
 
+    def _pieces(self) -> Iterator[tuple[int, int, bytes]]:
+        """Text number, offset and bytes; a long text is split so that each window stands in one piece."""
+        for i, x in enumerate(self.texts):
+            if len(x) >= self.length and not self.copy[i]:
+                for at in range(0, len(x) - self.length + 1, CHUNK_BYTES):
+                    yield i, at, x[at : at + CHUNK_BYTES + self.length - 1] if len(x) > CHUNK_BYTES else x
+
     def chunks(self):
-        live = [i for i in range(len(self.texts)) if len(self.texts[i]) >= self.length and not self.copy[i]]
-        lo = 0
-        while lo < len(live):
-            hi, size = lo, 0
-            while hi < len(live) and (hi == lo or size + len(self.texts[live[hi]]) <= CHUNK_BYTES):
-                size += len(self.texts[live[hi]])
-                hi += 1
-            rows = np.array(live[lo:hi])
-            ends = np.cumsum([len(self.texts[i]) for i in rows])
-            data = np.frombuffer(b"".join([self.texts[i] for i in rows]), np.uint8)
-            yield rows, data, ends, anchors(data, ends, self.length, self.gram)
-            lo = hi
+        """Text numbers and offsets of the pieces of a chunk, its bytes, the pieces' ends, and their anchors."""
+        part, size = [], 0
+        for piece in self._pieces():
+            if part and size + len(piece[2]) > CHUNK_BYTES:
+                yield self._chunk(part)
+                part, size = [], 0
+            part.append(piece)
+            size += len(piece[2])
+        if part:
+            yield self._chunk(part)
+
+    def _chunk(self, part: list[tuple[int, int, bytes]]):
+        rows, bases = np.array([x[0] for x in part]), np.array([x[1] for x in part])
+        ends = np.cumsum([len(x[2]) for x in part])
+        data = np.frombuffer(b"".join([x[2] for x in part]), np.uint8)
+        return rows, bases, data, ends, anchors(data, ends, self.length, self.gram)
 
 
 def _context_keys(data: np.ndarray, a) -> np.ndarray:
@@ -118,7 +130,12 @@ def _unsix(raw: bytes) -> np.ndarray:
 
 
 def _copies(info: pa.Table) -> set:
-    return {NO_ID if i is None else i for k, i in zip(info.column("kind").to_pylist(), info.column("id").to_pylist()) if k == 0}
+    """(doc_id, MD5 of the text) of the group's copies."""
+    return {(NO_ID if i is None else i, b) for k, i, b in zip(*(info.column(c).to_pylist() for c in ("kind", "id", "body"))) if k == 0}
+
+
+def _pid(docs: pa.Table) -> int:
+    return docs.column(docs.num_columns - 1)[0].as_py()
 
 
 _INFO = "pid int, kind int, id long, body binary"
@@ -127,7 +144,7 @@ _INFO = "pid int, kind int, id long, body binary"
 def _group_anchors(group: _Group, buckets: int):
     """Sorted distinct anchors of the group as (bucket, rest), and whether each has two documents here."""
     hs, ids = [], []
-    for rows, _, _, a in group.chunks():
+    for rows, _, _, _, a in group.chunks():
         hs.append(a[0])
         ids.append(group.ids[rows][a[4]])
     if not hs:
@@ -144,9 +161,10 @@ def _group_anchors(group: _Group, buckets: int):
 
 def _send_anchors(buckets: int, length: int, gram: int):
     def run(docs: pa.Table, info: pa.Table) -> pa.Table:
+        own_worker("repeats")
         out = []
         if docs.num_rows:
-            pid = docs.column("_group")[0].as_py()
+            pid = _pid(docs)
             bucket, rest, two = _group_anchors(_Group(docs, _copies(info), length, gram), buckets)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out = [{"bucket": b, "pid": pid, "hashes": _six(rest[i:j]), "two": np.packbits(two[i:j]).tobytes()} for b, (i, j) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if j > i]
@@ -171,11 +189,12 @@ def _shared(group: pa.Table) -> pa.Table:
 
 def _send_contexts(buckets: int, length: int, gram: int):
     def run(docs: pa.Table, info: pa.Table) -> pa.Table:
+        own_worker("repeats")
         kind = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
         out: list[dict] = []
         if not docs.num_rows:
             return pa.Table.from_pylist(out, kind)
-        pid = docs.column("_group")[0].as_py()
+        pid = _pid(docs)
         group = _Group(docs, _copies(info), length, gram)
         bits = {i: b for k, i, b in zip(info.column("kind").to_pylist(), info.column("id").to_pylist(), info.column("body").to_pylist()) if k == 1}
         bucket, rest, _ = _group_anchors(group, buckets)
@@ -184,7 +203,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
         shared = np.sort(bucket[keep].astype(np.uint64) + rest[keep] * U64(buckets))
         cols: list[list] = [[] for _ in range(6)]
         texts: list[np.ndarray] = []
-        for rows, data, _, a in group.chunks():
+        for rows, _, data, _, a in group.chunks():
             v = a[0] & U64((1 << _HASH_BITS) - 1)
             at = np.searchsorted(shared, v)
             at[at == len(shared)] = 0
@@ -221,43 +240,98 @@ def _send_contexts(buckets: int, length: int, gram: int):
     return run
 
 
-def interval_scan(right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, gram: int):
-    """Scan the interval tree of the contexts' suffix array by depth.
+def _classes(members: list[int], left: list[int], reach: list[int], need: int, width: int) -> Iterator[tuple[int, list[int]]]:
+    """Left-diverse classes of the members that share `need` bytes to the left or more: (how many bytes, members), inner before outer.
 
-    right: bytes from the anchor on; left: bytes before it, nearest first; near and far: how many bytes
-    left of the anchor the context's windows reach at least and at most; least and most: smallest and
-    largest doc_id of each. Yields (o, members, smallest doc_id in each member's repeat group) for the
-    members with an occurrence in a document of a larger doc_id.
+    left: the `width` bytes before the anchor as an integer, the nearest byte on top; reach: how many of them a context has.
+    """
+    shift, alike = 8 * (width - need), {}
+    for m in members:
+        if reach[m] >= need:
+            alike.setdefault(left[m] >> shift, []).append(m)
+    for own in alike.values():
+        if len(own) == 2:
+            a, b = own
+            yield min(width - ((left[a] ^ left[b]).bit_length() + 7) // 8, reach[a], reach[b]), own
+        elif len(own) > 2:
+            own.sort(key=lambda m: (left[m], reach[m]))
+            stack: list[tuple[int, int]] = []  # depth and first member of the open classes
+            for k in range(1, len(own) + 1):
+                depth, first = -1, k - 1
+                if k < len(own):
+                    a, b = own[k - 1], own[k]
+                    depth = min(width - ((left[a] ^ left[b]).bit_length() + 7) // 8, reach[a], reach[b])
+                while stack and stack[-1][0] > depth:
+                    closed, first = stack.pop()
+                    yield closed, own[first:k]
+                if depth >= 0 and (not stack or stack[-1][0] < depth):
+                    stack.append((depth, first))
+
+
+def maximal_groups(right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> Iterator[tuple[list[int], int, int]]:
+    """Maximal repeat groups of `length` bytes or more among contexts: (members, bytes left of the anchor, bytes from it on).
+
+    right: bytes from the anchor on; left: bytes before it, nearest first; near and far: how many bytes left of
+    the anchor the context's windows reach at least and at most. Inner groups come before outer ones.
     """
-    n = len(right)
+    n, width = left.shape
+    if n < 2:
+        return
+    size = length - near
     words = np.zeros((n, -(-right.shape[1] // 8) * 8), np.uint8)
     words[:, : right.shape[1]] = right
     keys = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    right, left, near, far, least, most = (x[order] for x in (right, left, near, far, least, most))
+    order = np.lexsort((size, *keys.T[::-1]))
+    right, size_ = right[order], size[order]
     differ = right[1:] != right[:-1]
-    lcp = np.where(differ.any(1), differ.argmax(1), right.shape[1]) if n > 1 else np.zeros(0, np.int64)
-    tail = np.zeros(n, np.uint64)
-    for o in range(length - gram + 1):
-        if o:
-            tail = tail * U64(0x9E3779B97F4A7C15) + (left[:, o - 1].astype(np.uint64) + U64(1)) * U64(0xD6E8FEB86659FD93)
-        interval = np.concatenate(([0], np.cumsum(lcp < length - o)))
-        live = np.flatnonzero((near <= o) & (far >= o))
-        sizes = np.bincount(interval[live], minlength=1)
-        live = live[(sizes[interval[live]] > 1) | (most[live] > least[live])]
-        if not len(live):
-            continue
-        key = mix(interval[live].astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + mix(tail[live]))
-        by = np.argsort(key)
-        first = np.flatnonzero(np.diff(key[by], prepend=key[by][:1] + U64(1)) != 0)
-        counts = np.diff(np.append(first, len(by)))
-        smallest = np.repeat(np.minimum.reduceat(least[live][by], first), counts)
-        hit = smallest < most[live][by]
-        yield o, order[live[by[hit]]], smallest[hit]
-
-
-def _scan(length: int, gram: int):
+    lcp = np.minimum(np.where(differ.any(1), differ.argmax(1), right.shape[1]), np.minimum(size_[1:], size_[:-1])).tolist()
+    # nearest byte on top
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = left
+    parts = wide.view(">u8").astype(np.uint64).T.tolist()
+    drop = 8 * (wide.shape[1] - width)
+    value = parts[0]
+    for more in parts[1:]:
+        value = [a << 64 | b for a, b in zip(value, more)]
+    value = [x >> drop for x in value]
+    reach, members, at = far.tolist(), order.tolist(), [0] * n
+    for i, m in enumerate(members):
+        at[m] = i
+    child = list(range(n))  # for each place, the first place of the largest closed interval around it
+    stack: list[tuple[int, int]] = []  # depth and first place of the open intervals
+    lcp.append(-1)
+    for i in range(n):
+        depth, first = lcp[i], i
+        while stack and stack[-1][0] > depth:
+            d, first = stack.pop()
+            own = members[first : i + 1]
+            for o, group in _classes(own, value, reach, max(0, length - d), width) if length - d <= width else ():
+                one = child[at[group[0]]]
+                if any(child[at[m]] != one for m in group):
+                    yield group, o, d
+            child[first : i + 1] = [first] * (i + 1 - first)
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def _alike(right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Contexts that can share a window with another: each window has the middle number of bytes left of the anchor, or else the rest from the anchor on."""
+    middle = (length - gram) // 2
+    out = np.zeros(len(right), bool)
+    for cells, has in ((np.hstack((left[:, :middle], right[:, :gram])), far >= middle), (right[:, : length - middle], near <= middle)):
+        at = np.flatnonzero(has)
+        flat = np.ascontiguousarray(cells[at])
+        starts = np.arange(len(at)) * flat.shape[1]
+        _, inverse, counts = np.unique(run_hashes(flat.ravel(), starts, starts + flat.shape[1]), return_inverse=True, return_counts=True)
+        out[at[counts[inverse] > 1]] = True
+    return out
+
+
+def _scan(length: int, gram: int, every: bool):
+    """every: give out all occurrences of each repeat with its digest; else those with a smaller doc_id elsewhere, and none inside another with a doc_id as small."""
+
     def run(group: pa.Table) -> pa.Table:
+        own_worker("repeats")
         kind = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("body", pa.binary())])
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         pids = []
@@ -281,50 +355,89 @@ def _scan(length: int, gram: int):
         for j in range(length - gram):
             has = np.flatnonzero(j < far)
             left[has, j] = text[begin[has] + far[has] - 1 - j]
-        found: list[tuple] = [(np.full(len(m), o), m, s) for o, m, s in interval_scan(right, left, near, far, least, most, length, gram)]
-        if not found:
-            return pa.Table.from_pylist([], kind)
-        o, m, s = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order = np.lexsort((o, m))
-        o, m, s = o[order], m[order], s[order]
-        new = np.flatnonzero((np.diff(m, prepend=-1) != 0) | (np.diff(o, prepend=-9) != 1) | (np.diff(s, prepend=s[:1]) != 0))
-        new = np.union1d(np.zeros(min(1, len(o)), np.int64), new)
-        run_ = np.diff(np.append(new, len(o)))
-        o, m, s = o[new], m[new], s[new]
-        by = np.argsort(pid[m], kind="stable")
-        out = []
+        live = np.flatnonzero(_alike(right, left, near, far, length, gram))
+        low, high, to_left = least.tolist(), most.tolist(), far.tolist()
+        out_m, out_o, out_d, out_s, digests = [], [], [], [], []
+        found: dict[int, list[tuple[int, int]]] = {}  # of each context: (left reach, smallest doc_id) of what was given out, of falling reach to the right
+        for m in np.flatnonzero(least < most).tolist():  # the whole context repeats
+            out_m.append(m), out_o.append(to_left[m]), out_d.append(length - int(near[m])), out_s.append(low[m])
+            found[m] = [(to_left[m], low[m])]
+        if every:
+            digests = [hashlib.blake2b(left[m, :o][::-1].tobytes() + right[m, :d].tobytes(), digest_size=8).digest() for m, o, d in zip(out_m, out_o, out_d)]
+        names = live.tolist()
+        for group_, o, d in maximal_groups(right[live], left[live], near[live], far[live], length):
+            own = [names[k] for k in group_]
+            smallest = min([low[m] for m in own])
+            if every:
+                digest = hashlib.blake2b(left[own[0], :o][::-1].tobytes() + right[own[0], :d].tobytes(), digest_size=8).digest()
+                digests += [digest] * len(own)
+            for m in own:
+                if every or high[m] > smallest:
+                    have = found.get(m)
+                    if not every and have and any(x >= o and y <= smallest for x, y in have):
+                        continue
+                    if not every:
+                        if have is None:
+                            found[m] = [(o, smallest)]
+                        else:
+                            have.append((o, smallest))
+                    out_m.append(m), out_o.append(o), out_d.append(d), out_s.append(smallest)
+        m, o, d, s = np.array(out_m, np.int64), np.array(out_o, np.uint16), np.array(out_d, np.uint16), np.array(out_s, np.int64)
+        names8 = np.frombuffer(b"".join(digests), np.uint64)
+        by, out = np.argsort(pid[m], kind="stable"), []
         for p in np.unique(pid[m]).tolist():
             i = by[np.searchsorted(pid[m][by], p) : np.searchsorted(pid[m][by], p, "right")]
-            out.append({"pid": p, "kind": 2, "id": len(i), "body": b"".join([keys[m[i]].tobytes(), s[i].tobytes(), o[i].astype(np.uint16).tobytes(), run_[i].astype(np.uint16).tobytes()])})
+            out.append({"pid": p, "kind": 2, "id": len(i), "body": b"".join([keys[m[i]].tobytes(), s[i].tobytes(), o[i].tobytes(), d[i].tobytes()] + ([names8[i].tobytes()] if every else []))})
         return pa.Table.from_pylist(out, kind)
 
     return run
 
 
+def _found(group: _Group, info: pa.Table, length: int):
+    """For each chunk: text numbers and offsets of its pieces, bytes, ends, anchors, and (anchor number, smallest doc_id, reach to left and right, digest) of its repeats."""
+    raw = [(i, b) for k, i, b in zip(*(info.column(c).to_pylist() for c in ("kind", "id", "body"))) if k == 2]
+    keys, least, o, d, names = (np.concatenate([np.zeros(0, t)] + [np.frombuffer(b, t, n if at < 20 or len(b) > 20 * n else 0, at * n if len(b) > at * n else 0) for n, b in raw]) for t, at in ((np.uint64, 0), (np.int64, 8), (np.uint16, 16), (np.uint16, 18), (np.uint64, 20)))
+    by = np.argsort(keys, kind="stable")
+    keys, least, o, d = keys[by], least[by], o[by].astype(np.int64), d[by].astype(np.int64)
+    names = names[by] if len(names) else np.zeros(len(by), np.uint64)
+    for rows, bases, data, ends, a in group.chunks():
+        own = _context_keys(data, a)(length)
+        i, j = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+        count = j - i
+        who = np.repeat(np.arange(len(own)), count)
+        at = np.repeat(i - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        yield rows, bases, data, ends, a, who, least[at], o[at], d[at], names[at]
+
+
+def _occurrences(length: int, gram: int):
+    kind = pa.schema([("repeat", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_bytes", pa.int32())])
+
+    def run(docs: pa.Table, info: pa.Table) -> pa.Table:
+        own_worker("repeats")
+        group, out = _Group(docs, _copies(info) if docs.num_rows else set(), length, gram), []
+        for rows, bases, _, ends, a, who, _, o, d, names in _found(group, info, length):
+            text = a[4][who]
+            start = a[1][who] - o - np.concatenate(([0], ends[:-1]))[text] + bases[text]
+            ids = [None if x == NO_ID else x for x in group.ids[rows[text]].tolist()]
+            out.append(pa.Table.from_arrays([pa.array(names.view(np.int64)), pa.array(ids, pa.int64()), pa.array(start), pa.array((o + d).astype(np.int32))], schema=kind))
+        return pa.concat_tables(out) if out else kind.empty_table()
+
+    return run
+
+
 def _cut(length: int, gram: int, with_text: bool, names: list[str], kind: pa.Schema):
     def run(docs: pa.Table, info: pa.Table) -> pa.Table:
+        own_worker("repeats")
         if not docs.num_rows:
             return kind.empty_table()
         group = _Group(docs, _copies(info), length, gram)
-        raw = [(i, b) for k, i, b in zip(info.column("kind").to_pylist(), info.column("id").to_pylist(), info.column("body").to_pylist()) if k == 2]
-        keys = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(b, np.uint64, n) for n, b in raw])
-        least = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(b, np.int64, n, 8 * n) for n, b in raw])
-        o = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(b, np.uint16, n, 16 * n) for n, b in raw]).astype(np.int64)
-        many = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(b, np.uint16, n, 18 * n) for n, b in raw]).astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        keys, least, o, many = keys[by], least[by], o[by], many[by]
-        gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for rows, data, ends, a in group.chunks():
-            own = _context_keys(data, a)(length)
-            i, j = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-            count = j - i
-            who = np.repeat(np.arange(len(own)), count)
-            at = np.repeat(i - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            hit = least[at] < group.ids[rows][a[4][who]]
-            who, at = who[hit], at[hit]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for rows, bases, data, ends, a, who, least, o, d, _ in _found(group, info, length):
+            hit = least < group.ids[rows][a[4][who]]
+            who, o, d = who[hit], o[hit], d[hit]
             diff = np.zeros(len(data) + 1, np.int32)
-            np.add.at(diff, a[1][who] - (o[at] + many[at] - 1), 1)
-            np.add.at(diff, a[1][who] - o[at] + length, -1)
+            np.add.at(diff, a[1][who] - o, 1)
+            np.add.at(diff, a[1][who] + d, -1)
             removed = np.cumsum(diff[:-1]) > 0
             if removed.any():
                 s, e = bounds(removed)
@@ -334,9 +447,18 @@ def _cut(length: int, gram: int, with_text: bool, names: list[str], kind: pa.Sch
                 s, e = np.sort(np.concatenate((s, inside))), np.sort(np.concatenate((e, inside)))
                 starts = np.concatenate(([0], ends[:-1]))
                 lo, hi = np.searchsorted(s, starts, "left"), np.searchsorted(s, ends, "left")
-                for r, base, x, y in zip(rows.tolist(), starts.tolist(), lo.tolist(), hi.tolist()):
+                for r, base, x, y in zip(rows.tolist(), (starts - bases).tolist(), lo.tolist(), hi.tolist()):
                     if y > x:
-                        gone[r] = (s[x:y] - base, e[x:y] - base)
+                        spans.setdefault(r, []).append((s[x:y] - base, e[x:y] - base))
+        gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for r, own in spans.items():  # pieces of a long text overlap: what touches is one run
+            s, e = (np.concatenate(x) for x in zip(*own))
+            if len(own) > 1:
+                by = np.argsort(s, kind="stable")
+                s, e = s[by], np.maximum.accumulate(e[by])
+                first = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+                s, e = s[first], e[np.append(first[1:], len(e)) - 1]
+            gone[r] = s, e
         n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
         for r, text in enumerate(group.texts):
             left, spans, size = text, 0, 0
@@ -362,33 +484,55 @@ def _cut(length: int, gram: int, with_text: bool, names: list[str], kind: pa.Sch
     return run
 
 
+def _dealt(docs: DataFrame, names: list[str], every: bool, length: int, gram: int):
+    """The documents in groups, and what each group is told: its copies, and its repeats."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    text = F.coalesce("text", F.lit(""))
+    # by id and text, so that neither rows without an id nor repeated ids gather in one group
+    pid = F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).cast("int")
+    (own,) = fresh(docs.columns, "group")
+    base = docs.select(*[F.col(c) if c != "text" else text.alias("text") for c in names], pid.alias(own))
+    digest, order = F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), F.coalesce("doc_id", F.lit(NO_ID))
+    narrow = docs.select("doc_id", digest, pid.alias("pid"))
+    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = narrow.join(first, "digest").filter(order > F.col("first")).select("pid", F.lit(0).alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("digest").alias("body")).distinct()
+
+    def told(more: DataFrame):
+        return base.groupBy(own).cogroup(more.groupBy("pid"))
+
+    sent = told(copies).applyInArrow(_send_anchors(groups, length, gram), "bucket int, pid int, hashes binary, two binary")
+    shared = sent.groupBy("bucket").applyInArrow(_shared, _INFO)
+    contexts = told(copies.union(shared)).applyInArrow(_send_contexts(groups, length, gram), "bucket int, pid int, n int, body binary")
+    spans = contexts.groupBy("bucket").applyInArrow(_scan(length, gram, every), _INFO)
+    return told(copies.union(spans))
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Every occurrence of every maximal repeat group: repeat (64-bit digest of its bytes), doc_id, start (byte), n_bytes.
+
+    A repeat of `length` bytes or more stands in two places or more (of one document, too) and no common
+    byte can be added at either side within the contexts, which reach 2 * length - gram bytes at most; a
+    longer passage is given as repeats that overlap. Exact copies of a text with a smaller doc_id are left
+    out, as are repeats inside one document's equal contexts. Nulls and repeated ids are as in
+    remove_repeats; an empty table gives an empty one.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _dealt(base, ["doc_id", "text"], True, length, gram).applyInArrow(_occurrences(length, gram), "repeat long, doc_id long, start long, n_bytes int").distinct()
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Cut from each document every byte covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; or, with_text, docs
-    with the remaining text (bytes of a character that was cut in two go as well) and its n_chars.
-    A null text is empty, a null doc_id counts as smaller than any other, rows with equal doc_ids are not
-    smaller than each other. Texts shorter than `length` are left alone. An empty table gives an empty one.
+    with all columns, whatever these are called, the remaining text (bytes of a character that was cut in
+    two go as well) and its n_chars. A null text is empty, a null doc_id counts as smaller than any other,
+    rows with equal doc_ids are not smaller than each other, and only those go whole whose own text is a
+    copy. Texts shorter than `length` are left alone, long ones are handled in pieces that overlap. An empty
+    table gives an empty one.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    pid = F.pmod(F.hash("doc_id"), F.lit(groups)).cast("int").alias("pid")
     names = docs.columns if with_text else ["doc_id", "text"]
-    base = docs.select(*[F.col(c) for c in names if c != "text"], F.coalesce("text", F.lit("")).alias("text"), pid.alias("_group"))
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("digest")
-    order = F.coalesce("doc_id", F.lit(NO_ID))
-    narrow = docs.select("doc_id", digest)
-    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = narrow.join(first, "digest").filter(order > F.col("first")).select(pid, F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("body")).distinct()
-
-    def grouped(df: DataFrame):
-        return df.groupBy(df.columns[-1] if df is base else "pid")
-
-    sent = grouped(base).cogroup(grouped(copies)).applyInArrow(_send_anchors(groups, length, gram), "bucket int, pid int, hashes binary, two binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared, _INFO)
-    contexts = grouped(base).cogroup(grouped(copies.union(shared))).applyInArrow(_send_contexts(groups, length, gram), "bucket int, pid int, n int, body binary")
-    spans = contexts.groupBy("bucket").applyInArrow(_scan(length, gram), _INFO)
     kind = T.StructType([docs.schema[c] if c != "text" else T.StructField("text", T.StringType()) for c in names]) if with_text else T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return grouped(base).cogroup(grouped(copies.union(spans))).applyInArrow(_cut(length, gram, with_text, names, to_arrow_schema(kind)), kind)
+    return _dealt(docs, names, False, length, gram).applyInArrow(_cut(length, gram, with_text, names, to_arrow_schema(kind)), kind)

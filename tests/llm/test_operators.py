@@ -39,10 +39,13 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
+CLASH = "key bands pid group _group kept n x label score _f _failed _t _w _n _b _k _p _s _q _l _row bad host _host text_md5 gone_id gone_md5 digest first ends ids part block start length offset held_out payload_digest lead rep band media bucket kind id body".split()
+
+
 @pytest.fixture(scope="module")
 def clash(docs):
     """The rows with columns whose names clash with those that operators make."""
-    return docs.select("*", *[F.lit(1).alias(c) for c in ("key", "bands", "pid", "group", "kept", "n", "x", "label", "score")])
+    return docs.select("*", *[F.lit(1).alias(c) for c in CLASH])
 
 
 def key(r):
@@ -193,6 +196,51 @@ def test_repeats_random(spark):
     assert rows(repeats.remove_repeats(df)) == plain_repeats([(i, t.encode()) for i, t in items])
 
 
+def test_repeats_tell_rows_of_one_id_apart(spark, monkeypatch):
+    a, b, c = prose(41), prose(42), prose(43)
+    items = [(1, a), (5, a), (5, b), (6, b + a), (None, c), (None, a), (7, c), (5, a), (5, None)]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    for chunk in (10**6, 130):  # the second is below every text's length
+        monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+        assert rows(repeats.remove_repeats(df)) == plain_repeats([(d, (t or "").encode()) for d, t in items])
+
+
+def test_long_texts_are_handled_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 700)
+    base = prose(50, 900)
+    items = [(1, base), (2, "x" + base[1:4000] + prose(51, 90) + base[200:]), (3, prose(52, 500) + base[650:760] + base[1380:1450])]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    assert rows(repeats.remove_repeats(df)) == plain_repeats([(d, t.encode()) for d, t in items])
+
+
+def test_maximal_groups_are_maximal_and_whole(spark):
+    r = random.Random(9)
+    shared = ["".join(r.choice("abcd") for _ in range(n)) for n in (55, 62, 70)]
+    items = [(i, r.choice("xyz") * r.randint(1, 3) + r.choice(shared)[r.randint(0, 4) :] + r.choice("uvw") + r.choice(shared)) for i in range(25)]
+    texts = dict(items)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    groups = {}
+    for g in repeats.repeat_groups(df).collect():
+        groups.setdefault(g.repeat, set()).add((g.doc_id, g.start, g.n_bytes))
+    copies = {i for i, t in items if any(t == u and j < i for j, u in items)}
+    covered = {i: bytearray(len(t)) for i, t in items}
+    for own in groups.values():
+        (n,) = {n for _, _, n in own}
+        (what,) = {texts[d][s : s + n] for d, s, n in own}
+        assert n >= 50
+        # all occurrences of the string in texts that are no copies
+        assert {(d, s) for d, s, _ in own} == {(d, s) for d, t in items if d not in copies for s in range(len(t)) if t.startswith(what, s)}
+        for d, s, n in own:
+            covered[d][s : s + n] = b"\1" * n
+    windows = {}
+    for d, t in items:
+        for s in range(len(t) - 49) if d not in copies else ():
+            windows.setdefault(t[s : s + 50], []).append((d, s))
+    for places in windows.values():
+        if len({d for d, _ in places}) > 1:
+            assert all(all(covered[d][s : s + 50]) for d, s in places)
+
+
 def test_repeats_text(clash):
     out = repeats.remove_repeats(clash, with_text=True)
     assert out.columns == clash.columns and out.count() == clash.count()
