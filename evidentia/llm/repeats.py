@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, as_bytes, bounds, fresh, mix, own_worker, run_hashes
+from ._common import U64, as_bytes, bounds, fresh, mix, own_worker, run_hashes, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and of text handled at once in it.
 GROUP_BYTES, CHUNK_BYTES = 16_000_000, 1_000_000
+#: A small table is dealt into one group for each shuffle partition, but of no fewer bytes than this.
+LEAST_GROUP_BYTES = 1_000_000
 #: Order of a missing doc_id: smaller than any other.
 NO_ID = -(2**63)
 _HASH_BITS = 48
@@ -487,7 +489,7 @@ def _cut(length: int, gram: int, with_text: bool, names: list[str], kind: pa.Sch
 def _dealt(docs: DataFrame, names: list[str], every: bool, length: int, gram: int):
     """The documents in groups, and what each group is told: its copies, and its repeats."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = max(1, -(-size // GROUP_BYTES), min(shuffle_partitions(docs.sparkSession), size // LEAST_GROUP_BYTES))
     text = F.coalesce("text", F.lit(""))
     # by id and text, so that neither rows without an id nor repeated ids gather in one group
     pid = F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).cast("int")
