@@ -147,6 +147,83 @@ def test_flac_round_trip():
             flac.decode([bytes(broken)])
 
 
+def flac_stream(frames, total, channels, depth, md5=bytes(16), rate=8000):
+    """A hand-made stream; frames: (size code, channel mode, sample size code, extra header bytes, [bit strings of the subframes])."""
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + ((rate << 44) | (channels - 1 << 41) | (depth - 1 << 36) | total).to_bytes(8, "big") + md5
+    out = b"fLaC\x80" + len(info).to_bytes(3, "big") + info
+    for number, (size_code, mode, depth_code, extra, subframes) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, size_code << 4, mode << 4 | depth_code << 1]) + bytes([number]) + extra
+        head += bytes([_bitwise_crc(head, 0x07, 8)])
+        body = "".join(subframes)
+        body += "0" * (-len(body) % 8)
+        frame = head + int(body, 2).to_bytes(len(body) // 8, "big")
+        out += frame + _bitwise_crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def _bitwise_crc(raw, poly, bits):
+    x = 0
+    for b in raw:
+        x ^= b << (bits - 8)
+        for _ in range(8):
+            x = (x << 1 ^ poly if x >> (bits - 1) else x << 1) & ((1 << bits) - 1)
+    return x
+
+
+def field(x, n):
+    return format(x & ((1 << n) - 1), f"0{n}b") if n else ""
+
+
+def rice(values, k):
+    u = [2 * x if x >= 0 else -2 * x - 1 for x in values]
+    return "".join("0" * (x >> k) + "1" + field(x, k) for x in u)
+
+
+def test_flac_decodes_all_kinds_of_frames():
+    r = random.Random(4)
+    x = [r.randint(-100, 100) for _ in range(16)]
+    shape = lambda kind, wasted="0": "0" + field(kind, 6) + wasted
+    plain = "".join(field(v, 8) for v in x)
+    d = list(x)
+    for _ in range(4):
+        d = [d[0], *[b - a for a, b in zip(d, d[1:])]]
+    fixed4 = shape(12) + "".join(field(v, 8) for v in x[:4]) + "00" + field(1, 4) + field(3, 4) + rice(d[4:8], 3) + field(15, 4) + field(12, 5) + "".join(field(v, 12) for v in d[8:])
+    w, shift = [300, -150, 20, 7, -3, 1, 2, -9], 9
+    res = [x[i] - (sum(w[j] * x[i - 1 - j] for j in range(8)) >> shift) for i in range(8, 16)]
+    lpc8 = shape(39) + "".join(field(v, 8) for v in x[:8]) + field(11, 4) + field(shift, 5) + "".join(field(v, 12) for v in w) + "01" + field(0, 4) + field(2, 5) + rice(res, 2)
+    size = (6, bytes([15]))
+    frames = [(size[0], 0, 1, size[1], [s]) for s in (shape(1) + plain, fixed4, lpc8, shape(0) + field(-7, 8), shape(1, "1") + "001" + "".join(field(v >> 3, 5) for v in x))]
+    samples, rate, depth = flac.decode_stream(flac_stream(frames, 80, 1, 8))
+    assert samples[:, 0].tolist() == x * 3 + [-7] * 16 + [v >> 3 << 3 for v in x] and (rate, depth) == (8000, 8)
+    y = [r.randint(-30000, 30000) for _ in range(16)]
+    z = [r.randint(-30000, 30000) for _ in range(16)]
+    verbatim = lambda v, n: shape(1) + "".join(field(q, n) for q in v)
+    side = [a - b for a, b in zip(y, z)]
+    stereo = [(6, 1, 4, size[1], [verbatim(y, 16), verbatim(z, 16)]), (6, 8, 4, size[1], [verbatim(y, 16), verbatim(side, 17)]), (6, 9, 4, size[1], [verbatim(side, 17), verbatim(z, 16)]), (6, 10, 4, size[1], [verbatim([(a + b) >> 1 for a, b in zip(y, z)], 16), verbatim(side, 17)])]
+    pcm = np.array(list(zip(y, z)) * 4)
+    good = flac_stream(stereo, 64, 2, 16, hashlib.md5(pcm.astype("<i2").tobytes()).digest())
+    assert np.array_equal(flac.decode_stream(good)[0], pcm)
+    for at in (60, len(good) - 1):
+        broken = bytearray(good)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match="FLAC"):
+            flac.decode_stream(bytes(broken))
+    # a foreign stream of bytes is a payload, too
+    payload = bytes(range(97, 113))
+    pcm8 = payload.translate(flac.TO_PCM)
+    assert flac.decode([flac_stream([(6, 0, 1, bytes([15]), [shape(1) + "".join(field(v, 8) for v in pcm8)])], 16, 1, 8, hashlib.md5(pcm8).digest())]) == [payload]
+
+
+def test_flac_own_streams_are_flac(monkeypatch):
+    payloads = [flac._padded(prose(i, 200).encode()) for i in range(3)] + [bytes(64)]
+    streams = flac.encode(payloads)
+    for s, x in zip(streams, payloads):
+        assert flac.decode_stream(s)[0][:, 0].astype(np.int8).tobytes() == x.translate(flac.TO_PCM)
+    assert flac.tails(streams) == [x[-64:] for x in payloads]
+    monkeypatch.setattr(flac, "CHUNK_BYTES", 600)  # below each text's length: coded in runs
+    assert flac.encode(payloads) == streams and flac.decode(streams) == payloads and flac.tails(streams) == [x[-64:] for x in payloads]
+
+
 def test_flac_query(docs, clash, empty):
     got = rows(flac.media_features(flac.write_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"))
     want = []
