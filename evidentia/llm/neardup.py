@@ -189,7 +189,8 @@ def _grouped(docs: DataFrame, percent: int, width: int = WIDTH, bands: int = BAN
     """near_duplicates() with the MD5 of each row's text, which tells rows of one doc_id apart."""
     base = id_and_text(docs)
     sig = stored(base.withColumn("digest", F.md5(F.encode("text", "UTF-8"))).mapInArrow(_signatures(width, bands, rows), "doc_id long, digest string, n_shingles long, key binary, bands array<bigint>"), "sketches")
-    reps = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # stored, so that joins on it can be split where one text has very many copies
+    reps = stored(sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     members = stored(sig.select("doc_id", "digest", "n_shingles", "key").join(reps, "key", "left").select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
     own = sig.join(reps, (sig.key == reps.key) & (sig.doc_id == reps.rep)).select("rep", F.explode("bands").alias("band"))
     multi = own.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
