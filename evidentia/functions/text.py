@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Vietnamese function words, image cues.
 STOP_WORDS = """
@@ -24,30 +20,41 @@ CUES = ["dựa vào hình", "dựa vào ảnh", "theo hình", "xem sơ đồ", "
 UNSAFE = ["/home/", "/users/", "file://", "bearer ", "api_key", "api-key", "sk-"]
 
 
-@F.pandas_udf(T.StringType())
-def nfc(x: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no built-in for it."""
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+def _icu(name: str, method: str, x: Column, flag: bool) -> Column:
+    """A static method of the Unicode library that the engine has for collations, inside the JVM; null stays null."""
+    return F.when(x.isNotNull(), F.reflect(F.lit(f"com.ibm.icu.{name}"), F.lit(method), F.coalesce(x, F.lit("")), F.lit(flag)))
+
+
+def nfc(x: Column) -> Column:
+    return _icu("text.Normalizer", "compose", x, False)
+
+
+def strip_marks(x: Column) -> Column:
+    """NFD without combining marks (those of a combining class; of the three kinds of marks, all that letters here can have)."""
+    return F.regexp_replace(_icu("text.Normalizer", "decompose", x, False), r"\p{Mn}+", "")
+
+
+def casefold(x: Column) -> Column:
+    return _icu("lang.UCharacter", "foldCase", x, True)
 
 
-@F.pandas_udf(T.StringType())
-def strip_marks(x: pd.Series) -> pd.Series:
-    """NFD without combining marks."""
-    return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends; F.trim knows the space alone."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def tokens(x: Column) -> Column:
-    """Lower-case runs of letters and digits, without underscore."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    """Lower-case runs of letters and digits of the NFC form, without underscore."""
+    return F.regexp_extract_all(F.lower(nfc(x)), F.lit(r"(?U)[^\W_]+"), F.lit(0))
 
 
 def legal_words(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit("[a-zA-ZÀ-ỹ0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(nfc(x)), F.lit("[a-zA-ZÀ-ỹ0-9]+"), F.lit(0))
 
 
 def word_run(x: Column) -> Column:
-    """Lower-case \\w+ runs, underscore kept."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0))
+    """Case-folded \\w+ runs, underscore kept."""
+    return F.regexp_extract_all(casefold(x), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def contains_run(answer: Column, text: Column) -> Column:
@@ -62,15 +69,15 @@ def content_tokens(x: Column) -> Column:
 
 
 def sentences(x: Column, least: int = 25) -> Column:
-    return F.filter(F.transform(F.split(x, r"(?<=[.;:!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.char_length(s) >= least)
+    return F.filter(F.transform(F.split(x, r"(?<=[.;:!?])\s+|\n+"), strip), lambda s: F.char_length(s) >= least)
 
 
 def split_sentences(x: Column) -> Column:
-    return F.filter(F.split(x, r"(?<=[.!?;:])\s+|\n+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(x, r"(?<=[.!?;:])\s+|\n+"), lambda s: strip(s) != "")
 
 
 def collapsed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(nfc(x), r"(?U)\s+", " "))
 
 
 def quote_class(quote: Column, source: Column) -> Column:

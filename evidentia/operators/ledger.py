@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_terminal(events: DataFrame, key: str, seq: str, value: str) -> DataFrame:
-    """The last value per key by sequence."""
-    return events.groupBy(key).agg(F.max_by(value, seq).alias("last_value"), F.max(seq).alias("last_seq"))
+def latest_terminal(events: DataFrame, key: str, seq: str, value: str, ok: Column) -> DataFrame:
+    """The terminal that counts per key: the first OK one, which nothing later overrides, else the last."""
+    first, last = F.min_by(value, F.when(ok, F.col(seq))), F.max_by(value, seq)
+    return events.groupBy(key).agg(F.when(F.bool_or(ok), first).otherwise(last).alias("last_value"), F.when(F.bool_or(ok), F.min(F.when(ok, F.col(seq)))).otherwise(F.max(seq)).alias("last_seq"))
 
 
 def after_success(events: DataFrame, key: str, seq: str, ok: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
+#: Anchor tokens that are broadcast at most.
+ANCHOR_ROWS = 200_000
+
+
 def contingency(df: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
     """Counts of the four cells; rows where either side is missing are in none."""
     both = df.withColumn("_a", a).withColumn("_b", b)
@@ -47,12 +51,14 @@ def full_cover(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def best_overlap(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     """For each anchor (item, a, tokens) the sentence (s, tokens) with most of its tokens; the smallest s of equals; null without any.
 
-    An equi-join on tokens instead of every anchor with every sentence.
+    An equi-join on tokens instead of every anchor with every sentence. Anchors are the small side: their
+    tokens are broadcast up to ANCHOR_ROWS rows, so the sentences' tokens are not shuffled.
     """
     n = anchors.select("item", "a", F.size(F.array_distinct("tokens")).alias("size"))
     x = anchors.select("item", "a", F.explode(F.array_distinct("tokens")).alias("t"))
     y = sentences.select("s", F.explode(F.array_distinct("tokens")).alias("t"))
-    hits = x.join(y, "t").groupBy("item", "a", "s").agg(F.count(F.lit(1)).alias("common"))
+    small = x.limit(ANCHOR_ROWS + 1).count() <= ANCHOR_ROWS
+    hits = y.join(F.broadcast(x) if small else x, "t").groupBy("item", "a", "s").agg(F.count(F.lit(1)).alias("common"))
     best = hits.groupBy("item", "a").agg(F.max(F.struct("common", (-F.col("s")).alias("m"))).alias("b"))
     out = n.join(best, ["item", "a"], "left")
     score = F.when(F.col("size") > 0, F.coalesce(F.col("b.common"), F.lit(0)) / F.col("size"))
@@ -60,9 +66,9 @@ def best_overlap(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def idf(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """Document frequency and ln((N + 1) / (df + 1)) of each token."""
-    total = df.agg(F.count_distinct(doc).alias("total"))
-    each = df.select(doc, F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count_distinct(doc).alias("df"))
+    """Document frequency and ln((N + 1) / (df + 1)) of each token. A row is a document of its own: counts shrink before they are shuffled."""
+    total = df.agg(F.count(doc).alias("total"))
+    each = df.filter(F.col(doc).isNotNull()).select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # total is one row
     return each.crossJoin(F.broadcast(total)).select("token", "df", F.log((F.col("total") + 1) / (F.col("df") + 1)).alias("idf"))
 
@@ -125,3 +131,20 @@ def quote_matches(quotes: DataFrame, docs: DataFrame, most: int = 8) -> DataFram
     short = docs.select("doc_id", "text").crossJoin(F.broadcast(b.filter("n = 0").select("item_id", "quote"))).select("item_id", "doc_id", "quote", "text")
     found = rows.union(short).select("item_id", "doc_id", text.quote_class(F.col("quote"), F.col("text")).alias("quote_class"))
     return found.filter("quote_class IN ('exact', 'normalised', 'elided')")
+
+
+def first_rows(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    """The first k rows of each group, ranked from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("rank") <= k)
+
+
+def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of each pair of values with both margins; the margins are sums over the counted cells, not over rows."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    margin = lambda c: F.sum("n").over(Window.partitionBy(c))
+    return cells.withColumn("of_a", margin(a)).withColumn("of_b", margin(b))
+
+
+def excluded(df: DataFrame, key: str, out: DataFrame) -> DataFrame:
+    """df without the keys that were declared out beforehand."""
+    return df.join(out.select(key).distinct(), key, "left_anti")

@@ -2,43 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, integrity, stats, text
 from ..operators import ledger, relational
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def long(*names: str):
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
-def good():
-    return F.col("quality") == 1
-
-
-def toxic():
-    return F.col("toxic") == 1
-
+from ._registry import QUERIES, SQL, clopper_sql, good, query, t, toxic
 
 _CELLS = "count(*) FILTER (quality = 1 AND toxic = 1) AS \"both\", count(*) FILTER (quality = 1 AND toxic <> 1) AS a_only, count(*) FILTER (quality <> 1 AND toxic = 1) AS b_only, count(*) FILTER (quality <> 1 AND toxic <> 1) AS neither"
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -380,9 +349,14 @@ def q_orphan_starts(spark, d):
     return e.filter("event_type = 'click'").join(last, "user_id", "left").filter("last IS NULL OR event_id > last").select("event_id", "user_id")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS last_value, max(event_id) AS last_seq FROM events GROUP BY user_id")
+@query("""
+WITH e AS (SELECT *, event_type = 'purchase' AND value < 40 AS ok FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ok DESC, CASE WHEN ok THEN event_id ELSE -event_id END) AS k FROM e)
+SELECT user_id, event_type AS last_value, event_id AS last_seq FROM r WHERE k = 1
+""")
 def q_latest_terminal(spark, d):
-    return ledger.latest_terminal(t(spark, d, "events"), "user_id", "event_id", "event_type")
+    ok = (F.col("event_type") == "purchase") & (F.col("value") < 40)
+    return ledger.latest_terminal(t(spark, d, "events"), "user_id", "event_id", "event_type", ok)
 
 
 @query("""
@@ -469,7 +443,7 @@ def q_ready_phases(spark, d):
     return ledger.ready_phases(tasks.select("task_id", "phase"), deps, done)
 
 
-@query()
+@query(clopper_sql("SELECT lang, count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang", "lang", 9))
 def q_clopper_pearson(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     c = rows.groupBy("lang").agg(F.count_if(toxic()).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -480,3 +454,7 @@ def q_clopper_pearson(spark, d):
 def q_paired_bootstrap(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return stats.paired_bootstrap(rows, "lang", "doc_id", "quality", "toxic", seed=20260101, resamples=stats.RESAMPLES)
+
+
+# the queries of the other modules register themselves
+from . import census, gates, records, runs, statistics  # noqa: E402, F401
