@@ -106,3 +106,10 @@ def unsafe(x: Column) -> Column:
     low = F.lower(x)
     hit = F.exists(F.array(*[F.lit(m) for m in UNSAFE]), lambda m: F.contains(low, m))
     return hit | low.rlike(r"[a-z]:\\")
+
+
+def python_round(x: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, ties to even: only doubles that are exact ties differ from round()."""
+    scaled = x * 10.0**digits
+    tie = (F.abs(scaled - F.floor(scaled) - 0.5) == 0.0) & (scaled / 10.0**digits == x) & (x * 2**20 == F.floor(x * 2**20))
+    return F.when(tie, F.bround(x, digits)).otherwise(F.round(x, digits))

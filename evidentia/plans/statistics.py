@@ -54,12 +54,12 @@ def q_clopper_large(spark, d):
 @query(f"""
 WITH g AS (SELECT lang, source, avg(n_chars) FILTER (quality = 1) AS a, avg(n_chars) FILTER (quality = 0) AS b FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
 c AS (SELECT lang, count(*) FILTER (a > b) AS l, count(*) FILTER (a < b) AS r, count(*) FILTER (a = b) AS tied FROM g GROUP BY lang)
-SELECT lang, l AS higher, r AS lower, tied, round({_P}, 9) AS p_value FROM c
+SELECT lang, l AS higher, r AS lower, tied, round({_P}, 6) AS p_value FROM c
 """)
 def q_sign_test(spark, d):
     g = _by_lang(spark, d).groupBy("lang", "source").agg(F.avg(F.when(good(), F.col("n_chars"))).alias("a"), F.avg(F.when(~good(), F.col("n_chars"))).alias("b"))
     c = g.groupBy("lang").agg(F.count_if(F.col("a") > F.col("b")).alias("l"), F.count_if(F.col("a") < F.col("b")).alias("r"), F.count_if(F.col("a") == F.col("b")).alias("tied"))
-    return c.select("lang", F.col("l").alias("higher"), F.col("r").alias("lower"), "tied", F.round(stats.binomial_two_sided("l", "r"), 9).alias("p_value"))
+    return c.select("lang", F.col("l").alias("higher"), F.col("r").alias("lower"), "tied", F.round(stats.binomial_two_sided("l", "r"), 6).alias("p_value"))
 
 
 _KAPPA = """
