@@ -34,10 +34,8 @@ READ_DOCS = 16_384
 GROUP_PIECES = 20_000
 
 
-#: White space other than the space, in UTF-8, and the bytes it begins and ends with.
-WHITE = [chr(c).encode() for c in range(0x3001) if chr(c).isspace() and c != 32]
-BEGINS, ENDS = (np.isin(np.arange(256), [x[k] for x in WHITE]) for k in (0, -1))
-BESIDE = re.compile(b" (?:%b)|(?:%b) " % ((b"|".join(map(re.escape, WHITE)),) * 2))
+#: White space other than the space, in UTF-8, as big-endian numbers by size.
+WHITE = {n: np.array([int.from_bytes(x, "big") for c in range(0x3001) if chr(c).isspace() and c != 32 and len(x := chr(c).encode()) == n], np.uint32) for n in (1, 2, 3)}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,7 +59,8 @@ class Encoder:
         for piece, i in vocab.items():
             self.widths[i] = len(piece)
         self.cap = cache_pieces
-        self.marks = {m: np.frombuffer(x, "<u4") for m, x in zip(",.", self._whole([",", "."]))}
+        #: A comma or full stop that is one id; others are encoded with their words.
+        self.marks = {m: int(np.frombuffer(x, "<u4")[0]) for m, x in zip(",.", self._whole([",", "."])) if len(x) == 4}
         self._forget()
 
     def _forget(self) -> None:
@@ -72,48 +71,69 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, new: list[str]) -> list[np.ndarray]:
-        """new: pieces without their leading space, none of them empty or with a space inside."""
-        if rough := [x for x in new if x[0].isspace() or x[-1].isspace()]:  # these could melt with their neighbours
-            alone = dict(zip(rough, map(lambda x: np.frombuffer(x, "<u4"), self._whole([" " + x for x in rough]))))
-            rest = [x for x in new if x not in alone]
-            alone |= zip(rest, self._encode_pieces(rest))
-            return [alone[x] for x in new]
-        out = []
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+    def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids side by side, and where those of each piece begin and how many they are.
+
+        new: pieces without their leading space, none of them empty or with a space inside.
+        """
+        rough = np.fromiter((x[0].isspace() or x[-1].isspace() for x in new), bool, len(new))  # these could melt with their neighbours
+        smooth, odd = np.flatnonzero(~rough), np.flatnonzero(rough)
+        flats, sizes = [np.zeros(0, "<u4")], np.zeros(len(new), np.int64)
+        for i in range(0, len(smooth), 8192):
+            own = smooth[i : i + 8192]
+            part = [new[k] for k in own.tolist()]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.cumsum(self.widths[ids])
             ends = np.cumsum([1 + len(x.encode()) for x in part])
             cut = np.searchsorted(at, ends)
             assert np.array_equal(at[cut], ends)
-            out += np.split(ids, cut[:-1] + 1)
-        return out
+            flats.append(ids)
+            sizes[own] = np.diff(cut, prepend=-1)
+        alone = [np.frombuffer(x, "<u4") for x in self._whole([" " + new[k] for k in odd.tolist()])]
+        sizes[odd] = [len(x) for x in alone]
+        order = np.concatenate((smooth, odd))
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(flats + alone), starts, sizes
 
     def _learn(self, new: list[str]) -> None:
         """A comma or full stop after letters is a piece of its own for the pre-tokenizer, so such words share their letters' ids."""
-        cores = [x[:-1] if x[-1] in self.marks and x[:-1].isalpha() else x for x in new]
-        each = list(set(cores))
-        ids = dict(zip(each, self._encode_pieces(each)))
-        found = [ids[c] if len(c) == len(x) else np.concatenate((ids[c], self.marks[x[-1]])) for c, x in zip(cores, new)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found)
+        mark = np.fromiter((self.marks.get(x[-1], 0) if x[:-1].isalpha() else 0 for x in new), np.int64, len(new))
+        cores = [x[:-1] if m else x for x, m in zip(new, mark.tolist())]
+        each = dict.fromkeys(cores)
+        for i, x in enumerate(each):
+            each[x] = i
+        core = np.fromiter(map(each.__getitem__, cores), np.int64, len(new))
+        ids, start, size = self._encode_pieces(list(each))
+        start, size = start[core], size[core]
+        sizes = size + (mark > 0)
+        ends = np.cumsum(sizes)
+        flat = np.zeros(ends[-1], "<u4")
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(ends - sizes, size) + inside] = ids[np.repeat(start, size) + inside]
+        flat[ends[mark > 0] - 1] = mark[mark > 0]
         while self.used + len(flat) > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
         while self.rows + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
         self.store[self.used : self.used + len(flat)] = flat
-        self.starts[self.rows : self.rows + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.starts[self.rows : self.rows + len(new)] = self.used + ends - sizes
         self.sizes[self.rows : self.rows + len(new)] = sizes
         self.used, self.rows = self.used + len(flat), self.rows + len(new)
 
     def _spaced(self, texts: list[bytes]) -> set[int]:
         """Texts in which a space stands next to other white space."""
-        data = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
+        data = np.frombuffer(b"\0\0\0" + b"\0".join(texts) + b"\0\0\0", np.uint8)
         gaps = np.flatnonzero(data == 32)
-        near = gaps[BEGINS[data[gaps + 1]] | ENDS[data[gaps - 1]]]
-        maybe = np.unique(np.searchsorted(np.cumsum([1 + len(x) for x in texts]), near)).tolist()
-        return {i for i in maybe if BESIDE.search(texts[i])}
+        near = np.zeros(len(gaps), bool)
+        for first in (1, -1):  # what follows, and what stands before (of each size, beginning so far before the space)
+            for n, white in WHITE.items():
+                at = gaps + (1 if first == 1 else -n)
+                code = np.zeros(len(gaps), np.uint32)
+                for k in range(n):
+                    code = code << np.uint32(8) | data[at + k]
+                near |= np.isin(code, white)
+        return set(np.searchsorted(np.cumsum([1 + len(x) for x in texts]), gaps[near] - 3, "right").tolist())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8). Pieces are told apart by 64-bit hashes."""
