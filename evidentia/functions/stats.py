@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 
 
 def _binomial_sum(n: str, lo: str, hi: str, p: str) -> str:
-    """Sum of C(n, i) p^i (1 - p)^(n - i) for i from lo to hi, as SQL: terms follow from their neighbours in logarithms, so one pass does without any array of n."""
+    """Sum of C(n, i) p^i (1 - p)^(n - i) for i from lo to hi, as SQL: terms follow from their neighbours in logarithms, so one pass does without any array of n.
+
+    Lambda variables have names that no count's column should have, since they would hide it.
+    """
     ln_q, ln_p = f"ln(1 - {p})", f"ln({p})"
-    start = f"aggregate(sequence(1, {lo}), {n} * {ln_q}, (s, i) -> s + ln({n} - i + 1) - ln(i) + {ln_p} - {ln_q})"
+    start = f"aggregate(sequence(1, {lo}), {n} * {ln_q}, (s__, i__) -> s__ + ln({n} - i__ + 1) - ln(i__) + {ln_p} - {ln_q})"
     first = f"CASE WHEN {lo} = 0 THEN {n} * {ln_q} ELSE {start} END"
-    step = f"named_struct('l', a.l + ln(greatest({n} - i, 1)) - ln(i + 1) + {ln_p} - {ln_q}, 's', a.s + exp(a.l))"
-    return f"CASE WHEN {lo} > {hi} THEN 0.0D ELSE aggregate(sequence({lo}, {hi}), named_struct('l', cast({first} as double), 's', 0.0D), (a, i) -> {step}, a -> a.s) END"
+    step = f"named_struct('l', a__.l + ln(greatest({n} - i__, 1)) - ln(i__ + 1) + {ln_p} - {ln_q}, 's', a__.s + exp(a__.l))"
+    return f"CASE WHEN {lo} > {hi} THEN 0.0D ELSE aggregate(sequence({lo}, {hi}), named_struct('l', cast({first} as double), 's', 0.0D), (a__, i__) -> {step}, a__ -> a__.s) END"
 
 
 def binomial_two_sided(b: str, d: str) -> Column:
@@ -66,11 +69,11 @@ def fisher_two_sided(a: str, b: str, c: str, d: str) -> Column:
     r1, r2, c1 = f"({a} + {b})", f"({c} + {d})", f"({a} + {c})"
     lo, hi = f"greatest(0L, {c1} - {r2})", f"least({r1}, {c1})"
     up = lambda x: f"ln(greatest({r1} - {x}, 1)) + ln(greatest({c1} - {x}, 1)) - ln({x} + 1) - ln({r2} - {c1} + {x} + 1)"
-    first = f"CASE WHEN {a} > {lo} THEN -aggregate(sequence({lo}, {a} - 1), 0.0D, (s, x) -> s + {up('x')}) ELSE 0.0D END"
+    first = f"CASE WHEN {a} > {lo} THEN -aggregate(sequence({lo}, {a} - 1), 0.0D, (s__, x__) -> s__ + {up('x__')}) ELSE 0.0D END"
     zero = f"named_struct('l', cast({first} as double), 'm', -1.0e308D, 'all', 0.0D, 'low', 0.0D)"
-    top = "greatest(t.m, t.l)"
-    step = f"named_struct('l', t.l + {up('x')}, 'm', {top}, 'all', t.all * exp(t.m - {top}) + exp(t.l - {top}), 'low', t.low * exp(t.m - {top}) + CASE WHEN t.l <= ln(1 + 1e-9D) THEN exp(t.l - {top}) ELSE 0.0D END)"
-    return F.expr(f"CASE WHEN {r1} + {r2} = 0 THEN 1.0D ELSE least(1.0D, aggregate(sequence({lo}, {hi}), {zero}, (t, x) -> {step}, t -> t.low / t.all)) END")
+    top = "greatest(t__.m, t__.l)"
+    step = f"named_struct('l', t__.l + {up('x__')}, 'm', {top}, 'all', t__.all * exp(t__.m - {top}) + exp(t__.l - {top}), 'low', t__.low * exp(t__.m - {top}) + CASE WHEN t__.l <= ln(1 + 1e-9D) THEN exp(t__.l - {top}) ELSE 0.0D END)"
+    return F.expr(f"CASE WHEN {r1} + {r2} = 0 THEN 1.0D ELSE least(1.0D, aggregate(sequence({lo}, {hi}), {zero}, (t__, x__) -> {step}, t__ -> t__.low / t__.all)) END")
 
 
 def _tail_at_least(k: int, n: int, p: float) -> float:

@@ -69,9 +69,10 @@ def pixels(value: object, where: str) -> bytes:
     need(integer(a["byte_length"], f"{where}.byte_length", 1, 1 << 31) == len(raw), f"{where}:length")
     need(isinstance(a["sha256"], str) and SHA256.fullmatch(a["sha256"]) and hashlib.sha256(raw).hexdigest() == a["sha256"], f"{where}:sha256")
     need(raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[12:16] == b"IHDR", f"{where}:png")
+    need(len(raw) >= 24 and any(raw[16:20]) and any(raw[20:24]), f"{where}:empty_image")
     size = closed(a["dimensions"], ["width", "height"], f"{where}.dimensions")
     need((size["width"], size["height"]) == (int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big")), f"{where}:dimensions")
-    text(a["provenance"], f"{where}.provenance", 1000)
+    text(a["provenance"], f"{where}.provenance", 500)
     return raw
 
 
@@ -194,9 +195,11 @@ def _unique_keys(pairs: list) -> dict:
     return dict(pairs)
 
 
-def reason_of(kind: str, record: str | None) -> str | None:
+def reason_of(kind: str, record: str | None, prefix: str | None = None) -> str | None:
     try:
-        KINDS[kind](json.loads(record or "", object_pairs_hook=_unique_keys))
+        value = json.loads(record or "", object_pairs_hook=_unique_keys)
+        KINDS[kind](value)
+        need(prefix is None or value["schema"].startswith(f"{prefix}.") and value["schema"].count(".") == prefix.count(".") + 2, f"{kind}:schema")
     except Broken as e:
         return str(e)
     except (ValueError, TypeError, KeyError):
@@ -204,13 +207,13 @@ def reason_of(kind: str, record: str | None) -> str | None:
     return None
 
 
-def validate(records: DataFrame, kind: str, column: str = "text") -> DataFrame:
-    """records with a nullable `reason`. Unknown kinds are an error."""
+def validate(records: DataFrame, kind: str, column: str = "text", prefix: str | None = None) -> DataFrame:
+    """records with a nullable `reason`. Unknown kinds are an error. prefix: what must stand before the kind in a record's schema (None: anything)."""
     if kind not in KINDS:
         raise ValueError(f"CONTRACT:unknown:{kind}")
 
     @F.pandas_udf(T.StringType())
     def judge(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: reason_of(kind, s))
+        return x.map(lambda s: reason_of(kind, s, prefix))
 
     return records.withColumn("reason", judge(F.col(column)))

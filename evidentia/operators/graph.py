@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,76 +21,127 @@ def parse_documents(records: DataFrame) -> DataFrame:
     return records.select(F.from_json("text", kind).alias("d")).select("d.*")
 
 
+def png_rgb(raw: bytes) -> np.ndarray:
+    """Height x width x 3 of a PNG: 8-bit RGB or RGBA, not interlaced, one million pixels at most. Anything else is an error."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("PNG:signature")
+    at, body, head = 8, [], b""
+    while at < len(raw):
+        size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        chunk = raw[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + chunk) != int.from_bytes(raw[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError("PNG:crc")
+        if kind == b"IHDR":
+            head = chunk
+        elif kind == b"IDAT":
+            body.append(chunk)
+        at += 12 + size
+    if len(head) != 13:
+        raise ValueError("PNG:header")
+    w, h, depth, colour, _, _, interlace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), *head[8:13]
+    if depth != 8 or colour not in (2, 6) or interlace or not 0 < w * h <= 1_000_000:
+        raise ValueError("PNG:unsupported")
+    n = 3 if colour == 2 else 4
+    size = h * (w * n + 1)
+    data = zlib.decompressobj().decompress(b"".join(body), size + 1)
+    if len(data) != size:
+        raise ValueError("PNG:scanlines")
+    lines = np.frombuffer(data, np.uint8).reshape(h, w * n + 1)
+    out, above = np.zeros((h, w, n), np.uint8), np.zeros((w, n), np.int64)
+    for y, line in enumerate(lines):
+        mode, row = int(line[0]), line[1:].reshape(w, n).astype(np.int64)
+        if mode == 1:
+            row = np.cumsum(row, 0)
+        elif mode == 2:
+            row = row + above
+        elif mode in (3, 4):
+            left = corner = np.zeros(n, np.int64)
+            for x in range(w):
+                up = above[x]
+                if mode == 3:
+                    guess = (left + up) // 2
+                else:
+                    gaps = np.abs(np.stack((up - corner, left - corner, left + up - 2 * corner)))
+                    guess = np.choose(gaps.argmin(0), (left, up, corner))  # the first of equals, as the standard has it
+                left = row[x] = (row[x] + guess) & 255
+                corner = up
+        elif mode:
+            raise ValueError("PNG:filter")
+        above = row & 255
+        out[y] = above
+    return out[:, :, :3]
+
+
 @F.udtf(returnType=T.StructType([T.StructField(c, T.IntegerType()) for c in "yxrgb"]))
 class Pixels:
-    """Pixels of a PNG: 8-bit RGB or RGBA, not interlaced, one million at most."""
+    """Pixels of a PNG, a row each, for queries that need them all; a null has none."""
 
     def eval(self, raw: bytes):
-        if raw is None:
-            return
-        at, body, head = 8, b"", b""
-        if raw[:8] != b"\x89PNG\r\n\x1a\n":
-            raise ValueError("PNG:signature")
-        while at < len(raw):
-            size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
-            chunk = raw[at + 8 : at + 8 + size]
-            if zlib.crc32(kind + chunk) != int.from_bytes(raw[at + 8 + size : at + 12 + size], "big"):
-                raise ValueError("PNG:crc")
-            head, body = (chunk if kind == b"IHDR" else head), (body + chunk if kind == b"IDAT" else body)
-            at += 12 + size
-        w, h, depth, colour, _, _, interlace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), *head[8:13]
-        if depth != 8 or colour not in (2, 6) or interlace or not 0 < w * h <= 1_000_000:
-            raise ValueError("PNG:unsupported")
-        n = 3 if colour == 2 else 4
-        data = zlib.decompressobj().decompress(body, h * (w * n + 1))
-        above = bytearray(w * n)
-        for y in range(h):
-            mode, row = data[y * (w * n + 1)], bytearray(data[y * (w * n + 1) + 1 : (y + 1) * (w * n + 1)])
-            for i in range(len(row)):
-                a, b, c = (row[i - n] if i >= n else 0), above[i], (above[i - n] if i >= n else 0)
-                if mode == 1:
-                    guess = a
-                elif mode == 2:
-                    guess = b
-                elif mode == 3:
-                    guess = (a + b) // 2
-                elif mode == 4:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                elif mode == 0:
-                    break
-                else:
-                    raise ValueError("PNG:filter")
-                row[i] = (row[i] + guess) & 255
-            above = row
-            for x in range(w):
-                yield y, x, row[x * n], row[x * n + 1], row[x * n + 2]
+        if raw is not None:
+            rgb = png_rgb(bytes(raw))
+            for y, line in enumerate(rgb.tolist()):
+                for x, (r, g, b) in enumerate(line):
+                    yield y, x, r, g, b
+
+
+@F.pandas_udf(T.StructType([T.StructField("rgb", T.StringType()), T.StructField("count", T.LongType()), T.StructField("pixels", T.LongType())]))
+def dominant_colour(raw: pd.Series) -> pd.DataFrame:
+    """The most frequent exact colour of an image (the smallest of equals), how often it stands there, and the image's pixels."""
+    rows = []
+    for x in raw:
+        if x is None:
+            rows.append((None, None, None))
+            continue
+        flat = png_rgb(bytes(x)).reshape(-1, 3).astype(np.int64) @ np.array([65536, 256, 1])
+        values, counts = np.unique(flat, return_counts=True)
+        rows.append((f"#{int(values[counts.argmax()]):06X}", int(counts.max()), len(flat)))
+    return pd.DataFrame(rows, columns=["rgb", "count", "pixels"])
+
+
+def _step(operation: str, inputs: dict, output: dict):
+    pairs = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))])
+    return F.struct(F.lit(operation).alias("operation"), pairs(inputs).alias("inputs"), pairs(output).alias("output"))
 
 
 def layout_answers(documents: DataFrame) -> DataFrame:
-    """document_id, motif_id, answer of the motifs that follow one typed directed edge: edges joined with nodes inside the document."""
+    """document_id, motif_id, answer, steps of the motifs that follow one typed directed edge: edges looked up inside the document."""
     motifs = documents.select("document_id", "nodes", "edges", F.explode("motifs").alias("m")).filter("m.operation = 'layout_relation_value'")
     edge = F.filter("edges", lambda e: (e.type == "layout_relation") & (e.source == F.col("m.target")) & (e.relation == F.col("m.relation")))
     found = motifs.withColumn("e", F.get(edge, F.lit(0)))
-    return found.select("document_id", F.col("m.id").alias("motif_id"), F.get(F.filter("nodes", lambda n: n.id == F.col("e.target")), F.lit(0)).value.alias("answer"))
+    answer = F.get(F.filter("nodes", lambda n: n.id == F.col("e.target")), F.lit(0)).value
+    steps = F.array(
+        _step("select_typed_directed_edge", {"source_node_id": F.col("m.target"), "edge_type": F.lit("layout_relation"), "relation": F.col("m.relation")}, {"edge_id": F.col("e.id"), "target_node_id": F.col("e.target")}),
+        _step("read_node_value", {"node_id": F.col("e.target"), "field": F.lit("value")}, {"answer": answer}),
+    )
+    return found.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"))
 
 
 def colour_answers(documents: DataFrame) -> DataFrame:
-    """document_id, motif_id, answer of the motifs that name an image's most frequent exact colour (the smallest of equals)."""
+    """document_id, motif_id, answer, steps of the motifs that name an image's most frequent exact colour (the smallest of equals); a colour without a name is an error."""
     motifs = documents.select("document_id", "nodes", F.explode("motifs").alias("m")).filter("m.operation = 'dominant_rgb'")
     asset = F.from_json(F.get(F.filter("nodes", lambda n: n.id == F.col("m.target")), F.lit(0)).value, ASSET)
-    images = motifs.select("document_id", F.col("m.id").alias("motif_id"), F.col("m.color_map").alias("colours"), F.unbase64(asset.data).alias("raw"))
-    spark = documents.sparkSession
-    spark.udtf.register("evidentia_pixels", Pixels)
-    images.createOrReplaceTempView("evidentia_images")
-    counts = spark.sql("SELECT document_id, motif_id, colours, p.r, p.g, p.b, count(*) AS n FROM evidentia_images, LATERAL evidentia_pixels(raw) p GROUP BY ALL")
-    best = counts.groupBy("document_id", "motif_id").agg(F.min_by(F.struct("colours", "r", "g", "b"), F.struct((-F.col("n")).alias("n"), "r", "g", "b")).alias("c"))
-    return best.select("document_id", "motif_id", F.try_element_at("c.colours", F.format_string("#%02X%02X%02X", "c.r", "c.g", "c.b")).alias("answer"))
+    images = motifs.select("document_id", "m", asset.alias("asset")).withColumn("c", dominant_colour(F.unbase64("asset.data")))
+    named = F.try_element_at("m.color_map", "c.rgb")
+    answer = F.coalesce(named, F.raise_error(F.concat(F.lit("COLOUR:not in the map: "), F.coalesce("c.rgb", F.lit("none")))))
+    steps = F.array(
+        _step("decode_png_rgb_pixels", {"node_id": F.col("m.target"), "asset_sha256": F.col("asset.sha256")}, {"pixel_count": F.col("c.pixels")}),
+        _step("count_exact_rgb", {"tie_break": F.lit("lexicographically_smallest_rgb")}, {"rgb": F.col("c.rgb"), "count": F.col("c.count")}),
+        _step("map_rgb_to_label", {"rgb": F.col("c.rgb")}, {"answer": named}),
+    )
+    return images.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"))
+
+
+def replayed(recorded: DataFrame, documents: DataFrame) -> DataFrame:
+    """Recorded answers (document_id, motif_id, answer) with what a second derivation gives: same, differs, or not derivable."""
+    again = derive_answers(documents).select("document_id", "motif_id", F.col("answer").alias("_again"))
+    state = F.when(F.col("_again").isNull(), "not_derivable").when(F.col("_again") == F.col("answer"), "same").otherwise("differs")
+    return recorded.join(again, ["document_id", "motif_id"], "left").withColumn("replay", state).drop("_again")
 
 
 def derive_answers(documents: DataFrame) -> DataFrame:
     return layout_answers(documents).unionByName(colour_answers(documents))
 
 
+# The two question templates.
 def question(operation, relation, label):
     return F.when(operation == "layout_relation_value", F.concat(F.lit("What value is "), F.replace(relation, F.lit("_"), F.lit(" ")), F.lit(" "), label, F.lit("?"))).otherwise(F.concat(F.lit("What is the dominant exact RGB color of "), label, F.lit("?")))

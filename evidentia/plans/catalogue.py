@@ -218,10 +218,19 @@ def q_novelty_coverage(spark, d):
     return c.select("item_id", F.round("c", 9).alias("coverage"), (F.col("c") >= 0.95).alias("rejected"))
 
 
-@query("SELECT item_id, doc_id, 'exact' AS quote_class FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+_QUOTES = "SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 100000, replace(text, ' ', '  ') FROM benchmark UNION ALL SELECT item_id + 200000, concat(substr(text, 1, 40), ' ... ', substr(text, 80, 30)) FROM benchmark"
+_COLLAPSED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH b AS ({_QUOTES}), q AS (SELECT item_id, text AS quote, {_COLLAPSED.format("text")} AS c FROM b), p AS (SELECT *, list_filter(list_transform(string_split(c, '...'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM q),
+d AS (SELECT doc_id, text, {_COLLAPSED.format("text")} AS s FROM documents)
+SELECT item_id, doc_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains(s, c) THEN 'normalised' ELSE 'elided' END AS quote_class FROM p JOIN d
+ON contains(text, quote) OR contains(s, c) OR (len(parts) = 2 AND len(parts[1]) >= 8 AND len(parts[2]) >= 8 AND contains(s, parts[1]) AND contains(substr(s, strpos(s, parts[1]) + length(parts[1])), parts[2]))
+""")
 def q_quote_class(spark, d):
-    # the SQL is of exact quotes; quote_matches has the other classes too
-    return relational.quote_matches(t(spark, d, "benchmark"), t(spark, d, "documents")).filter("quote_class = 'exact'")
+    quotes = spark.sql(_QUOTES.replace("FROM benchmark", "FROM {b}"), b=t(spark, d, "benchmark"))
+    return relational.quote_matches(quotes, t(spark, d, "documents"))
 
 
 @query(f"""
@@ -236,14 +245,25 @@ def q_best_overlap(spark, d):
     return relational.best_overlap(a, s).select("item", "s", F.round("score", 9).alias("score"), "status")
 
 
-@query()
+_LEGAL = "regexp_extract_all(lower({}), '[a-zA-ZÀ-ỹ0-9]+')"
+
+
+@query(f"""
+WITH p AS (SELECT item_id, doc_id, {_LEGAL.format("b.text")} AS a, ' ' || array_to_string({_LEGAL.format("d.text")}, ' ') || ' ' AS s FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))
+SELECT item_id, doc_id, coalesce(list_max(list_filter(range(1, 31), lambda n: len(list_filter(range(1, len(a) - n + 2), lambda i: contains(s, ' ' || array_to_string(a[i:i + n - 1], ' ') || ' '))) > 0)), 0)::INTEGER AS run FROM p
+""")
 def q_longest_common_run(spark, d):
     pairs = relational.quote_matches(t(spark, d, "benchmark"), t(spark, d, "documents")).select("item_id", "doc_id")
     rows = pairs.join(t(spark, d, "benchmark").withColumnRenamed("text", "quote"), "item_id").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("item_id", "doc_id", text.longest_common_run(text.legal_words(F.col("quote")), text.legal_words(F.col("text"))).alias("run"))
 
 
-@query()
+_CUT = r"string_split(regexp_replace(text, '([{}])[ \t\n\v\f\r]+|\n+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(rf"""
+SELECT doc_id, len(list_filter({_CUT.format(".;:!?")}, lambda x: length(trim(x, E' \t\n\v\f\r\u00a0')) >= 25))::INTEGER AS long_sentences, len(list_filter({_CUT.format(".!?;:")}, lambda x: trim(x, E' \t\n\v\f\r\u00a0') <> ''))::INTEGER AS sentences FROM documents
+""")
 def q_sentence_counts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("long_sentences"), F.size(text.split_sentences(F.col("text"))).alias("sentences"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,20 +35,25 @@ def hashed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def events_of(text: str) -> Iterator[tuple[int, str]]:
+    """Number and body of the events of a stream: data lines of a block joined by newlines; comments, event, id and retry skipped; [DONE] dropped; other lines are errors."""
+    seq, lines = 0, []
+    for line in [*text.splitlines(), ""]:
+        if not line.strip():
+            body = "\n".join(lines)
+            if lines and body != "[DONE]":
+                yield seq, body
+                seq += 1
+            lines = []
+        elif line.startswith("data:"):
+            lines.append(line[5:].lstrip())
+        elif not line.startswith((":", "event:", "id:", "retry:")):
+            raise ValueError("invalid event-stream line")
+
+
 @F.udtf(returnType=T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("body", T.StringType())]))
 class ParseEvents:
-    """Server-sent events: data lines of a block joined by newlines; comments, event, id and retry skipped; [DONE] dropped; other lines are errors."""
+    """Server-sent events of a text, a row each; a null has none."""
 
     def eval(self, text: str):
-        seq, lines = 0, []
-        for line in [*(text or "").splitlines(), ""]:
-            if not line:
-                body = "\n".join(lines)
-                if lines and body.strip() != "[DONE]":
-                    yield seq, body
-                    seq += 1
-                lines = []
-            elif line.startswith("data:"):
-                lines.append(line[5:].removeprefix(" "))
-            elif not line.startswith((":", "event:", "id:", "retry:")):
-                raise ValueError("invalid event-stream line")
+        yield from events_of(text or "")
