@@ -9,27 +9,27 @@ from evidentia.llm._common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host is closed, go."""
+    """Documents that fail the rules, or whose host is closed, go; so do null and empty texts. Equal rows go alike."""
     return hostrules.keep_good(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go; labels are learnt through the documents that are left."""
+    """Documents that are predicted toxic go; labels are learnt through the documents that are left. Equal texts go alike; without labels none goes."""
     return toxicity.keep_ordinary(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 on five-word shingles) stays."""
+    """One document of each group of near-duplicates (similarity 0.8 on five-word shingles), that of the least doc_id, stays; texts without words all stay."""
     return neardup.keep_first(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat from documents of a smaller doc_id are cut out."""
+    """Passages that repeat from documents of a smaller doc_id are cut out; a document that is left empty stays."""
     return repeats.remove_repeats(docs, with_text=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining texts as pieces of token sequences."""
+    """The remaining texts, whole, as pieces of token sequences; an empty or null one is its end id."""
     return tokens.pack_documents(docs)
 
 
@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language models, suffix arrays and tokenizers are beyond SQL; the stages are tested against plain versions.
+#: Language models, suffix arrays and tokenizers are beyond SQL; the operators are tested against plain versions, and the stages against their operators.
 ORACLE_SQL = None
 
 
