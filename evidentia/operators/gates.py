@@ -105,10 +105,18 @@ def blindness(excerpts: Column, evidence: Column, most: int = EXCERPT_WORDS) ->
 def spans(sentences: Column, text: Column) -> Column:
     """start and end of each sentence, looked for from where the last one ended, then from the beginning; -1 if it is not there."""
     found = lambda s, at: F.call_function("locate", s, text, at) - 1
-    start = lambda acc, s: F.when(found(s, acc["at"] + 1) >= 0, found(s, acc["at"] + 1)).otherwise(found(s, F.lit(1)))
-    end = lambda acc, s: F.when(start(acc, s) < 0, F.lit(-1)).otherwise(start(acc, s) + F.char_length(s))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], end(acc, s)).alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, s).alias("start"), end(acc, s).alias("end")))).alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        def add(start: Column) -> Column:
+            end = F.when(start < 0, F.lit(-1)).otherwise(start + F.char_length(s))
+            return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+        # each place is bound by a lambda, so that the text is searched once for it
+        ahead = F.array(found(s, acc["at"] + 1))
+        places = F.transform(ahead, lambda p: F.when(p >= 0, p).otherwise(found(s, F.lit(1))))
+        return F.transform(places, add)[0]
+
     return F.aggregate(sentences, zero, step, lambda acc: acc["out"])
 
 
