@@ -6,7 +6,7 @@ before its type is known and no row leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ TRUNCATED = ["length", "max_tokens"]
 class Json:
     """Paths of a JSON text and what stands there."""
 
-    def __init__(self, text: Column):
-        self.text, self.v = text, F.try_parse_json(text)
+    def __init__(self, text: Column, v: Column | None = None):
+        self.text, self.v = text, F.try_parse_json(text) if v is None else v
 
     def at(self, path: str) -> Column:
         return F.try_variant_get(self.v, path, "variant")
@@ -69,6 +69,12 @@ class Json:
         return (F.size(self.missing(keys)) > 0) | (F.size(self.unknown(keys)) > 0)
 
 
+def parsed_once(text: Column, rule: Callable[[Json], Column]) -> Column:
+    """rule of the text's Json, which a lambda binds: else each use of it would parse the text anew."""
+    one = F.array(F.struct(text.alias("t"), F.try_parse_json(text).alias("v")))
+    return F.transform(one, lambda b: rule(Json(b["t"], b["v"])))[0]
+
+
 def string_of(v: Column) -> Column:
     """A variant's string; null if it is of another kind."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -150,7 +156,10 @@ def item_reason(text: Column) -> Column:
 
 def program_reason(text: Column, motifs: Sequence[str]) -> Column:
     """An abstention, or a motif of the catalogue with three steps: two with an anchor, the third without."""
-    j = Json(text)
+    return parsed_once(text, lambda j: _program_reason(j, motifs))
+
+
+def _program_reason(j: Json, motifs: Sequence[str]) -> Column:
     steps = j.array("$.steps")
     known = F.array(*map(F.lit, ["op", "anchor", "result", "visual_node", "bbox", "observation"]))
     get = lambda s, k: F.when(F.schema_of_variant(F.try_variant_get(s, f"$.{k}", "variant")) == "STRING", F.try_variant_get(s, f"$.{k}", "string"))
@@ -161,7 +170,7 @@ def program_reason(text: Column, motifs: Sequence[str]) -> Column:
         s = steps[i]
         anchor = F.coalesce(F.schema_of_variant(F.try_variant_get(s, "$.anchor", "variant")), F.lit("VOID"))
         checks += [(~closed(s), f"invalid_step:{i}"), (get(s, "op").isNull() | empty(get(s, "result")), f"invalid_step_fields:{i}"), (empty(get(s, "anchor")), f"missing_anchor:{i}") if i < 2 else (anchor != "VOID", "derived_step_must_not_have_anchor")]
-    abstains = (F.array_join(F.json_object_keys(text), ",") == "abstain") & F.coalesce(j.string("$.abstain") == "no_cross_modal_dependency", F.lit(False))
+    abstains = (F.array_join(F.json_object_keys(j.text), ",") == "abstain") & F.coalesce(j.string("$.abstain") == "no_cross_modal_dependency", F.lit(False))
     reason = first_reason(
         (j.v.isNull(), "invalid_json"), (j.not_object(), "top_level_not_object"), (j.not_closed(["motif", "steps"]), "expected_motif_and_steps"), (~F.coalesce(j.string("$.motif").isin(*motifs), F.lit(False)), "unknown_motif"),
         (F.coalesce(F.size(steps), F.lit(0)) != 3, "steps_must_have_three_entries"), *checks,
@@ -185,7 +194,10 @@ def content(text: Column) -> tuple[Column, Column]:
 
 def graph_reason(text: Column) -> Column:
     """A closed graph: type, nodes with ids, levels and boxes, edges of known kinds between them, confidence."""
-    j = Json(unfenced(text))
+    return parsed_once(unfenced(text), _graph_reason)
+
+
+def _graph_reason(j: Json) -> Column:
     keys = ["graph_type", "nodes", "edges", "confidence"]
     nodes, edges = j.array("$.nodes"), j.array("$.edges")
     name = lambda v: F.json_object_keys(F.to_json(v))
