@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,29 @@ def json_receipt(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_text(text: pd.Series) -> pd.Series:
+    """A JSON text in canonical form; null stays null, and a text that does not parse is an error."""
+    return text.map(lambda s: None if s is None else canonical_bytes(json.loads(s)).decode())
+
+
+def seal_holds(key: str) -> Callable[[str], Column]:
+    """Whether a JSON object's value under key is the receipt of the rest of it; false where it does not parse."""
+
+    def one(s: str | None) -> bool:
+        try:
+            record = json.loads(s or "")
+            return isinstance(record, dict) and record.pop(key, None) == receipt(record)
+        except ValueError:
+            return False
+
+    @F.pandas_udf(T.BooleanType())
+    def holds(text: pd.Series) -> pd.Series:
+        return text.map(one)
+
+    return holds
+
+
 def row_digest(*cols: str) -> Column:
     """SHA-256 of the canonical JSON of integer and string columns, inside the JVM."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), {"ignoreNullFields": "false"}), 256)

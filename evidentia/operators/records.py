@@ -221,12 +221,12 @@ def _graph_reason(j: Json) -> Column:
 def answer_record_reason(text: Column, schema: str) -> Column:
     """An answer to a package: identity, condition, digest of the package, answer, source; nothing unsafe in it."""
     j = Json(text)
-    like = lambda path, pattern: ~F.coalesce(j.string(path).rlike(f"^(?:{pattern})$"), F.lit(False))
+    like = lambda path, pattern: ~F.coalesce(j.string(path).rlike(rf"\A(?:{pattern})\z"), F.lit(False))
     long = lambda path, n: j.blank(path) | (F.char_length(j.string(path)) > n)
     return first_reason(
         (j.not_object(), "not_object"), (F.size(j.missing(["schema", "item_id", "condition", "package_sha256", "answer", "source"])) > 0, "missing"), (F.size(j.unknown(["schema", "item_id", "condition", "package_sha256", "answer", "source"])) > 0, "unknown"),
         (~F.coalesce(j.string("$.schema") == schema, F.lit(False)) | like("$.item_id", "[A-Za-z0-9][A-Za-z0-9._-]{0,127}"), "identity"), (~F.coalesce(j.string("$.condition").isin(*CONDITIONS), F.lit(False)), "condition"),
-        (like("$.package_sha256", "[a-f0-9]{64}"), "package_sha256"), (long("$.answer", 20_000), "answer"), (long("$.source", 100), "source"), (texts.unsafe(text), "unsafe"),
+        (like("$.package_sha256", "[a-f0-9]{64}"), "package_sha256"), (long("$.answer", 20_000), "answer"), (long("$.source", 100), "source"), (texts.unsafe(F.to_json(j.v)), "unsafe"),
     )
 
 

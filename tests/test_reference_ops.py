@@ -137,9 +137,16 @@ def _document(relation_target="cell-a", colour=(255, 0, 0)):
     }
 
 
+def reason_of(spark, kind, *records, prefix=None):
+    """Reasons of records or JSON texts, in one job; one alone is not a list."""
+    rows = [(i, r if r is None or isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)]
+    out = [r.reason for r in contracts.validate(spark.createDataFrame(rows, "i int, text string"), kind, prefix=prefix).orderBy("i").collect()]
+    return out[0] if len(out) == 1 else out
+
+
 def test_derivation_and_counterfactuals(spark):
     def answers(doc):
-        assert contracts.reason_of("document", json.dumps(doc)) is None
+        assert reason_of(spark, "document", doc) is None
         df = graph.parse_documents(spark.createDataFrame([(json.dumps(doc),)], "text string"))
         return {r.motif_id: r.answer for r in graph.derive_answers(df).collect()}
 
@@ -148,27 +155,79 @@ def test_derivation_and_counterfactuals(spark):
     assert answers(_document(colour=(0, 0, 255))) == {"m1": "42", "m2": "blue"}
 
 
-@pytest.mark.parametrize(
-    "change, reason",
-    [
-        (lambda d: d.pop("edges"), "document:missing:edges"),
-        (lambda d: d.update(more=1), "document:unknown:more"),
-        (lambda d: d["nodes"].append(d["nodes"][0]), "node:duplicate"),
-        (lambda d: d["edges"][0].update(directed=1), "edge:type"),
-        (lambda d: d["edges"][0].update(target="none"), "edge:endpoints"),
-        (lambda d: d["motifs"][0].update(relation="left_of"), "motif:not_one_edge"),
-        (lambda d: d["nodes"][4]["value"].update(byte_length=True), "node.value.byte_length:integer"),
-        (lambda d: d["nodes"][4]["value"].update(sha256="0" * 64), "node.value:sha256"),
-    ],
-)
-def test_document_reasons(change, reason):
-    doc = _document()
-    change(doc)
-    assert contracts.reason_of("document", json.dumps(doc)) == reason
-
-
-def test_duplicate_json_keys_are_refused():
-    assert contracts.reason_of("document", '{"a": 1, "a": 2}') == "json:duplicate_key"
+def _changed(base, *changes):
+    out = []
+    for change, _ in changes:
+        record = json.loads(json.dumps(base))
+        change(record)
+        out.append(record)
+    return out
+
+
+def broken(spark, kind, base, *changes):
+    """Each change breaks the rule of its reason, and without a change there is none."""
+    assert reason_of(spark, kind, base, *_changed(base, *changes)) == [None, *[reason for _, reason in changes]]
+
+
+def test_document_reasons(spark):
+    broken(
+        spark, "document", _document(),
+        (lambda d: d.pop("edges"), "document:missing:edges"), (lambda d: d.update(more=1), "document:unknown:more"), (lambda d: d.update(document_id="a/b"), "document:document_id"), (lambda d: d.update(document_id="a\n"), "document:document_id"),
+        (lambda d: d["nodes"].append(d["nodes"][0]), "node:duplicate"), (lambda d: d["nodes"][0].update(type="other"), "node:type"), (lambda d: d["nodes"][0].update(value=" "), "node:value"), (lambda d: d["nodes"].pop(0), "document:no_text_node"),
+        (lambda d: d["nodes"][0].update(more=1), "node:fields"), (lambda d: d.update(nodes=[]), "document:nodes"), (lambda d: d.update(edges={}), "document:edges"),
+        (lambda d: d["edges"][0].update(directed=1), "edge:type"), (lambda d: d["edges"][0].update(target="none"), "edge:endpoints"), (lambda d: d["edges"][0].update(target="t"), "edge:endpoint_types"), (lambda d: d["edges"].append(d["edges"][0]), "edge:duplicate"),
+        (lambda d: d["motifs"][0].update(relation="left_of"), "motif:not_one_edge"), (lambda d: d["motifs"][0].update(color_map={}), "motif:layout"), (lambda d: d["motifs"][0].update(target="none"), "motif:operation_or_target"),
+        (lambda d: d["motifs"][1].update(relation="x"), "motif:visual"), (lambda d: d["motifs"][1].update(color_map={"#ff0000": "red"}), "motif:color_map"), (lambda d: d["motifs"][1].update(color_map={"#FF0000": 1}), "motif:color_map"),
+        (lambda d: d["nodes"][4]["value"].update(byte_length=True), "pixels:byte_length"), (lambda d: d["nodes"][4]["value"].update(sha256="0" * 64), "pixels:sha256"), (lambda d: d["nodes"][4]["value"].update(data="?"), "pixels:base64"),
+        (lambda d: d["nodes"][4]["value"].update(dimensions={"width": 2, "height": 3}), "pixels:dimensions"), (lambda d: d["nodes"][4]["value"].update(data="AAAA"), "pixels:png"), (lambda d: d["nodes"][4]["value"].update(provenance="x" * 501), "pixels:provenance"),
+    )
+
+
+def test_package_reasons(spark):
+    asset = _document()["nodes"][4]["value"]
+    node = lambda i: {"id": i, "label": "l", "value": "v"}
+    edge = {"id": "e", "type": "layout_relation", "source": "a", "target": "b", "relation": "r", "directed": True}
+    base = {"schema": "x.condition-package.v1", "item_id": "i", "condition": "full_pixels", "question": "Q?", "evidence": {"text": "t", "layout": {"nodes": [node("a"), node("b")], "edges": [edge]}}, "pixel_asset": asset}
+    layout = lambda d: d["evidence"]["layout"]
+    broken(
+        spark, "package", base,
+        (lambda d: d.pop("pixel_asset"), "package:pixels_missing"), (lambda d: d.update(condition="text_layout"), "package:pixels_not_allowed"), (lambda d: d.update(condition="text_only"), "evidence:layout_not_allowed"), (lambda d: d["evidence"].pop("layout"), "evidence:layout_missing"),
+        (lambda d: d.update(condition="none"), "package:condition"), (lambda d: d.update(question="x" * 2001), "package:question"), (lambda d: d["evidence"].update(text=1), "evidence:text"), (lambda d: d["evidence"].update(more=1), "evidence:keys"),
+        (lambda d: layout(d).update(nodes=[]), "layout:nodes"), (lambda d: layout(d).update(edges=None), "layout:edges"), (lambda d: layout(d)["nodes"].append("a"), "layout:node"), (lambda d: layout(d)["nodes"].append(node("a")), "layout:duplicate_node"),
+        (lambda d: layout(d).update(nodes=["a", "b"], edges=[["a", "c"]]), "layout:plain_edge"), (lambda d: layout(d).update(nodes=["a", "a"], edges=[]), "layout:duplicate_node"), (lambda d: layout(d)["edges"][0].update(target="c"), "layout:typed_edge"),
+        (lambda d: d.update(schema="x.y.condition-package.v1"), "package:schema"), (lambda d: d.update(question="see FILE://x"), "package:unsafe"), (lambda d: d.update(question="c:\\x"), "package:unsafe"), (lambda d: d["pixel_asset"].update(more=1), "pixels:keys"),
+    )
+    assert reason_of(spark, "package", base, base | {"schema": "y.condition-package.v1"}, prefix="x") == [None, "package:schema"]
+
+
+def test_constructed_item_reasons(spark):
+    base = {"schema": "x.constructed-item.v1", "item_id": "i", "package_sha256": "a" * 64, "motif": {"type": "m", "evidence_nodes": ["n"]}, "derivation": ["d"], "answer_atoms": [{"atom_id": "a", "value": "v", "kind": "k"}], "provenance_trace": [{"atom_id": "a", "source_ref": "s"}], "question": "q", "choices": ["1", "2", "3", "4"], "answer_index": 1, "answer": "2", "rationale": "r"}
+    broken(
+        spark, "constructed_item", base,
+        (lambda d: d.update(answer="1"), "item:answer"), (lambda d: d.update(answer_index=True), "item:answer_index"), (lambda d: d.update(choices=["1", "2", "2", "4"]), "item:choices"), (lambda d: d["provenance_trace"].append(d["provenance_trace"][0]), "item:atom_trace"),
+        (lambda d: d["provenance_trace"][0].update(atom_id="b"), "item:atom_trace"), (lambda d: d["motif"].update(evidence_nodes=[""]), "item:motif"), (lambda d: d.update(derivation=[]), "item:derivation"), (lambda d: d["answer_atoms"][0].update(kind=""), "item:atoms"),
+    )
+
+
+def test_construction_reasons(spark):
+    base = {
+        "schema": "x.construction-record.v1", "item_id": "i", "motif": {"id": "m", "kind": "k", "description": "d"}, "program": {"steps": [{"id": "s", "operation": "o", "input_atom_ids": ["a"], "output_atom_id": "b"}], "final_answer_atom_id": "b"},
+        "answer_atoms": [{"id": "a", "value": "x"}, {"id": "b", "value": "y"}], "provenance": [{"id": "p", "atom_id": "b", "source": "s"}], "question": {"text": "q"},
+        "choices": [{"id": "1", "text": "y", "atom_id": "b", "correct": True}, {"id": "2", "text": "x", "atom_id": "a", "correct": False}],
+    }
+    seal = lambda d: d.update(receipt=integrity.receipt({k: v for k, v in d.items() if k != "receipt"}))
+    seal(base)
+    step = lambda d: d["program"]["steps"][0]
+    broken(
+        spark, "construction", base,
+        (lambda d: d.update(item_id="j"), "construction:receipt"), (lambda d: step(d).update(input_atom_ids=["z"]), "construction:unknown_input"), (lambda d: step(d).update(output_atom_id="z"), "construction:unknown_output"), (lambda d: d["program"].update(final_answer_atom_id="a"), "construction:final_not_produced"),
+        (lambda d: d["program"]["steps"].append(step(d) | {"id": "t"}), "construction:duplicate_output"), (lambda d: d["provenance"][0].update(atom_id="a"), "construction:final_without_provenance"), (lambda d: d["choices"][1].update(correct=True), "construction:correct_choice"),
+        (lambda d: d["choices"][0].update(text="z"), "construction:choice_is_not_the_answer"), (lambda d: d["choices"][1].update(text="y"), "construction:choices"), (lambda d: d["choices"][1].update(correct=0), "construction:choice"),
+    )
+
+
+def test_texts_that_are_no_records(spark):
+    assert reason_of(spark, "document", '{"a": 1, "a": 2}', "{", "[]", None, "") == ["json:duplicate_key", "json:invalid", "document:not_object", "json:invalid", "json:invalid"]
 
 
 def test_fail_closed(spark):
