@@ -6,6 +6,11 @@
     python -m evidentia.cli run CONFIG
     python -m evidentia.cli verify-run SUMMARY [--packages FOLDER]
     python -m evidentia.cli export-dataset SUMMARY OUTPUT
+    python -m evidentia.cli generate DOCUMENT OUTPUT [--replace]
+    python -m evidentia.cli validate-generated OUTPUT [--source DOCUMENT]
+    python -m evidentia.cli validate-construction RECORD
+    python -m evidentia.cli validate-real-inventory INVENTORY     (2 also if it is BLOCKED)
+    python -m evidentia.cli adjudicated-statistics RESULTS OUTPUT --validation FILE --adjudication FILE [--methods A,B,C]
 
 `run` has the offline mode alone: it gives a constant answer and calls nothing. --prefix is what stands
 before the kind in the records' schemas.
@@ -15,15 +20,14 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
-import tempfile
 from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import artifacts
 from .functions import integrity
 from .operators import contracts, records, runs
 from .sources import records as sources
@@ -32,6 +36,7 @@ CONFIG = {"schema", "name", "packages", "output", "mode", "endpoint", "model", "
 SUMMARY = {"schema", "name", "mode", "config_sha256", "record_count", "records", "summary_sha256"}
 OFFLINE = "[offline answer]"
 MOST_RESPONSE = 10_000_000
+MORE = [("generate", "document", "output"), ("validate-generated", "output"), ("validate-construction", "record"), ("validate-real-inventory", "inventory"), ("adjudicated-statistics", "results", "output")]
 
 
 def session() -> SparkSession:
@@ -108,21 +113,6 @@ def load_config(path: str) -> tuple[dict, Path]:
     return cfg, Path(path).resolve().parent
 
 
-def write_atomic(path: Path, raw: bytes) -> None:
-    """A whole file or none: written beside its place, synced, renamed."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(raw)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
-
-
 def run(spark: SparkSession, config: str, prefix: str | None = None) -> dict:
     cfg, base = load_config(config)
     if cfg["mode"] != "offline":
@@ -134,7 +124,7 @@ def run(spark: SparkSession, config: str, prefix: str | None = None) -> dict:
         raise ValueError("RUN:no package of the conditions")
     summary = {"schema": f"{kind}.run-summary.v1", "name": cfg["name"], "mode": cfg["mode"], "config_sha256": integrity.receipt(cfg), "record_count": len(answers), "records": answers}
     summary["summary_sha256"] = integrity.receipt(summary)
-    write_atomic(base / cfg["output"], integrity.canonical_bytes(summary) + b"\n")
+    artifacts.write_atomic(base / cfg["output"], integrity.canonical_bytes(summary) + b"\n")
     return summary
 
 
@@ -171,7 +161,7 @@ def export_dataset(spark: SparkSession, path: str, output: str) -> dict:
     """The verified records as canonical JSON lines; the digest is the receipt of the whole text as a JSON string."""
     count = verify_run(spark, path)["record_count"]
     raw = b"".join(integrity.canonical_bytes(r) + b"\n" for r in _summary(path)["records"])
-    write_atomic(Path(output), raw)
+    artifacts.write_atomic(Path(output), raw)
     return {"status": "PASS", "record_count": count, "dataset_sha256": integrity.receipt(raw.decode()), "output": output}
 
 
@@ -179,7 +169,7 @@ def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="evidentia")
     top.add_argument("--prefix", help="what stands before the kind in the records' schemas")
     sub = top.add_subparsers(dest="command", required=True)
-    for name, *args in (("validate", "folder"), ("validate-items", "folder"), ("parse", "file"), ("run", "config"), ("verify-run", "summary"), ("export-dataset", "summary", "output")):
+    for name, *args in (("validate", "folder"), ("validate-items", "folder"), ("parse", "file"), ("run", "config"), ("verify-run", "summary"), ("export-dataset", "summary", "output"), *MORE):
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
@@ -187,21 +177,33 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--content-type", default="application/json")
         if name == "verify-run":
             p.add_argument("--packages")
+        if name == "generate":
+            p.add_argument("--replace", action="store_true")
+        if name == "validate-generated":
+            p.add_argument("--source")
+        if name == "adjudicated-statistics":
+            p.add_argument("--validation", required=True)
+            p.add_argument("--adjudication", required=True)
+            p.add_argument("--methods", default=",".join(artifacts.METHODS))
     a = top.parse_args(argv)
     try:
         if a.command == "parse":
             out = {"status": "PASS", "records": parse_response(Path(a.file).read_text(encoding="utf-8"), a.content_type)}
+        elif a.command == "validate-real-inventory":
+            out = artifacts.validate_inventory(a.inventory)
         else:
             spark = session()
             out = {
                 "validate": lambda: validate(spark, a.folder, a.prefix), "validate-items": lambda: validate_items(spark, a.folder, a.prefix), "run": lambda: run(spark, a.config, a.prefix),
                 "verify-run": lambda: verify_run(spark, a.summary, a.packages, a.prefix), "export-dataset": lambda: export_dataset(spark, a.summary, a.output),
+                "generate": lambda: artifacts.generate(spark, a.document, a.output, a.replace), "validate-generated": lambda: artifacts.validate_generated(spark, a.output, a.source), "validate-construction": lambda: artifacts.validate_construction(spark, a.record, a.prefix),
+                "adjudicated-statistics": lambda: artifacts.adjudicated_statistics(spark, a.results, a.output, a.validation, a.adjudication, a.methods.split(",")),
             }[a.command]()
     except (ValueError, OSError, KeyError, TypeError, PySparkException) as e:
         print(json.dumps({"status": "FAIL", "error": str(e)}))
         return 2
     print(json.dumps(out, ensure_ascii=False, indent=2))
-    return 0
+    return 2 if out.get("status") == "BLOCKED" else 0
 
 
 if __name__ == "__main__":

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +16,14 @@ EDGE = "struct<id:string,type:string,source:string,target:string,relation:string
 MOTIF = "struct<id:string,operation:string,target:string,relation:string,prompt_label:string,color_map:map<string,string>>"
 
 
-def parse_documents(records: DataFrame) -> DataFrame:
-    """document_id, nodes (value as text: that of a visual node is its asset's JSON), edges, motifs."""
+def parse_documents(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """document_id, nodes (value as text: that of a visual node is its asset's JSON), edges, motifs, and the columns of keep."""
     kind = f"struct<document_id:string,nodes:array<struct<id:string,type:string,label:string,value:string>>,edges:array<{EDGE}>,motifs:array<{MOTIF}>>"
-    return records.select(F.from_json("text", kind).alias("d")).select("d.*")
+    return records.select(F.from_json("text", kind).alias("d"), *keep).select("d.*", *keep)
+
+
+def _motifs(documents: DataFrame, operation: str) -> DataFrame:
+    return documents.select("*", F.posexplode("motifs").alias("place", "m")).filter(F.col("m.operation") == operation)
 
 
 def png_rgb(raw: bytes) -> np.ndarray:
@@ -98,37 +103,38 @@ def dominant_colour(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rgb", "count", "pixels"])
 
 
-def _step(operation: str, inputs: dict, output: dict):
-    pairs = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))])
-    return F.struct(F.lit(operation).alias("operation"), pairs(inputs).alias("inputs"), pairs(output).alias("output"))
+def _step(number: int, operation: str, inputs: dict[str, Column], output: dict[str, Column]) -> Column:
+    """A step as JSON, with numbers as numbers."""
+    fields = lambda d: F.struct(*[v.alias(k) for k, v in d.items()])
+    return F.to_json(F.struct(F.lit(f"s{number}").alias("step_id"), F.lit(operation).alias("operation"), fields(inputs).alias("inputs"), fields(output).alias("output")))
 
 
-def layout_answers(documents: DataFrame) -> DataFrame:
-    """document_id, motif_id, answer, steps of the motifs that follow one typed directed edge: edges looked up inside the document."""
-    motifs = documents.select("document_id", "nodes", "edges", F.explode("motifs").alias("m")).filter("m.operation = 'layout_relation_value'")
+def layout_answers(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """document_id, motif_id, answer, steps (a JSON text each) and the columns of keep of the motifs that follow one typed directed edge: edges looked up inside the document."""
+    motifs = _motifs(documents, "layout_relation_value")
     edge = F.filter("edges", lambda e: (e.type == "layout_relation") & (e.source == F.col("m.target")) & (e.relation == F.col("m.relation")))
     found = motifs.withColumn("e", F.get(edge, F.lit(0)))
     answer = F.get(F.filter("nodes", lambda n: n.id == F.col("e.target")), F.lit(0)).value
     steps = F.array(
-        _step("select_typed_directed_edge", {"source_node_id": F.col("m.target"), "edge_type": F.lit("layout_relation"), "relation": F.col("m.relation")}, {"edge_id": F.col("e.id"), "target_node_id": F.col("e.target")}),
-        _step("read_node_value", {"node_id": F.col("e.target"), "field": F.lit("value")}, {"answer": answer}),
+        _step(1, "select_typed_directed_edge", {"source_node_id": F.col("m.target"), "edge_type": F.lit("layout_relation"), "relation": F.col("m.relation")}, {"edge_id": F.col("e.id"), "target_node_id": F.col("e.target")}),
+        _step(2, "read_node_value", {"node_id": F.col("e.target"), "field": F.lit("value")}, {"answer": answer}),
     )
-    return found.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"))
+    return found.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"), *keep)
 
 
-def colour_answers(documents: DataFrame) -> DataFrame:
-    """document_id, motif_id, answer, steps of the motifs that name an image's most frequent exact colour (the smallest of equals); a colour without a name is an error."""
-    motifs = documents.select("document_id", "nodes", F.explode("motifs").alias("m")).filter("m.operation = 'dominant_rgb'")
+def colour_answers(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """document_id, motif_id, answer, steps and the columns of keep of the motifs that name an image's most frequent exact colour (the smallest of equals); a colour without a name is an error."""
+    motifs = _motifs(documents, "dominant_rgb")
     asset = F.from_json(F.get(F.filter("nodes", lambda n: n.id == F.col("m.target")), F.lit(0)).value, ASSET)
-    images = motifs.select("document_id", "m", asset.alias("asset")).withColumn("c", dominant_colour(F.unbase64("asset.data")))
+    images = motifs.withColumn("asset", asset).withColumn("c", dominant_colour(F.unbase64("asset.data")))
     named = F.try_element_at("m.color_map", "c.rgb")
     answer = F.coalesce(named, F.raise_error(F.concat(F.lit("COLOUR:not in the map: "), F.coalesce("c.rgb", F.lit("none")))))
     steps = F.array(
-        _step("decode_png_rgb_pixels", {"node_id": F.col("m.target"), "asset_sha256": F.col("asset.sha256")}, {"pixel_count": F.col("c.pixels")}),
-        _step("count_exact_rgb", {"tie_break": F.lit("lexicographically_smallest_rgb")}, {"rgb": F.col("c.rgb"), "count": F.col("c.count")}),
-        _step("map_rgb_to_label", {"rgb": F.col("c.rgb")}, {"answer": named}),
+        _step(1, "decode_png_rgb_pixels", {"node_id": F.col("m.target"), "asset_sha256": F.col("asset.sha256")}, {"pixel_count": F.col("c.pixels")}),
+        _step(2, "count_exact_rgb", {"tie_break": F.lit("lexicographically_smallest_rgb")}, {"rgb": F.col("c.rgb"), "count": F.col("c.count")}),
+        _step(3, "map_rgb_to_label", {"rgb": F.col("c.rgb")}, {"answer": named}),
     )
-    return images.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"))
+    return images.select("document_id", F.col("m.id").alias("motif_id"), answer.alias("answer"), steps.alias("steps"), *keep)
 
 
 def replayed(recorded: DataFrame, documents: DataFrame) -> DataFrame:
@@ -138,8 +144,9 @@ def replayed(recorded: DataFrame, documents: DataFrame) -> DataFrame:
     return recorded.join(again, ["document_id", "motif_id"], "left").withColumn("replay", state).drop("_again")
 
 
-def derive_answers(documents: DataFrame) -> DataFrame:
-    return layout_answers(documents).unionByName(colour_answers(documents))
+def derive_answers(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Answers of both operations. keep: columns of documents, `place` (of the motif in its list) or `m` (the motif)."""
+    return layout_answers(documents, keep).unionByName(colour_answers(documents, keep))
 
 
 # The two question templates.

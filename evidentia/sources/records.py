@@ -14,6 +14,13 @@ def json_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def relative_files(spark: SparkSession, uri: str) -> DataFrame:
+    """path below the folder, text of every file there."""
+    files = spark.read.option("recursiveFileLookup", True).text(uri, wholetext=True)
+    whole = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
+    return files.select(F.replace(whole, F.lit(uri.rstrip("/") + "/"), F.lit("")).alias("path"), F.col("value").alias("text"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
