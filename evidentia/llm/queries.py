@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from . import flac, hostrules, neardup, pairwise, repeats, segments, tokens, toxicity, warc
+from . import align, flac, hostrules, neardup, pairwise, phrases, repeats, segments, tokens, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,15 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_boundaries(tokens.write_ids(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op8_nbest_pieces, op9_toxicity, op10_token_ids)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.rated_links(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op8_nbest_pieces, op9_toxicity, op10_token_ids, op12_token_alignment, op13_collocations)}
 
 SQL: dict[str, str] = {}
 
@@ -83,3 +91,22 @@ c AS (SELECT source, (k + mean * weight) / (n + weight) >= 0.8 AS closed FROM h,
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT c.closed AS kept
 FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source
 """
+
+SQL["op13_collocations"] = r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM t),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, ws, len(ws) AS size, unnest(range(1, len(ws) + 1)) AS i FROM p),
+o AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM g, (VALUES (1), (2), (3), (4), (5)) AS o(k) WHERE i + k - 1 <= size),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+w AS (SELECT *, string_split(phrase, ' ') AS ws FROM f),
+inner_ AS (SELECT lang, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:k], ' ')]) AS phrase, f FROM w WHERE k > 2),
+inside AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+kept AS (SELECT w.* FROM w LEFT JOIN inside USING (lang, phrase) WHERE w.k > 1 AND (inside.f IS NULL OR inside.f < w.f)),
+cut AS (SELECT lang, phrase, f AS a, ws, k AS size, unnest(range(1, k)) AS k FROM kept),
+s AS (SELECT cut.lang, cut.phrase, cut.a, x.f AS l, y.f AS r, n.n, cut.k, (1000::HUGEINT * cut.a * n.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:cut.k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[cut.k + 1:size], ' ') JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
