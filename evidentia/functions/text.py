@@ -89,11 +89,45 @@ def quote_class(quote: Column, source: Column) -> Column:
     return F.when(quote.isNull() | (q == ""), "missing").when(F.contains(source, quote), "exact").when(F.contains(s, q), "normalised").when(elided, "elided").otherwise("non_verbatim")
 
 
-def longest_common_run(a: Column, b: Column, most: int = 30) -> Column:
-    """Longest run (at most `most`) of consecutive words of a that stands in b."""
-    text = F.concat(F.lit(" "), F.array_join(b, " "), F.lit(" "))
-    hit = lambda n: F.exists(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.contains(text, F.concat(F.lit(" "), F.array_join(F.slice(a, i, n), " "), F.lit(" "))))
-    return F.coalesce(F.get(F.filter(F.sequence(F.lit(most), F.lit(1), F.lit(-1)), lambda n: (F.size(a) >= n) & hit(n)), F.lit(0)), F.lit(0))
+def longest_common_run(a: Column, b: Column, most: int | None = 30) -> Column:
+    """Longest run of consecutive words of a that stands in b; `most` at most, if given.
+
+    Hashes of runs of 1, 2, 4, ... words, each from two of half its length, as far as the two sides share one;
+    then the longest shared run is put together from the longest of them downwards. Linear in the words for
+    each of these steps, whose number is the logarithm of the run.
+    """
+    join = lambda x, y, by, n: F.transform(F.slice(x, F.lit(1), n), lambda v, i: F.xxhash64(v, F.get(y, i + by)))
+    one = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    last = lambda x: F.element_at(x, -1)
+
+    def up(acc: Column, j: Column) -> Column:
+        width = F.shiftleft(F.lit(1), j - 1)
+        room = (F.size(acc["a"]) == j) & (F.size(last(acc["a"])) > width) & (F.size(last(acc["b"])) > width)
+
+        def longer(x: Column) -> Column:
+            return F.struct(F.array_append(acc["a"], x.a).alias("a"), F.array_append(acc["b"], x.b).alias("b"))
+
+        twice = lambda x: join(last(x), last(x), width, F.size(last(x)) - width)
+        new = F.filter(F.transform(F.filter(F.array(F.lit(1)), lambda _: room), lambda _: F.struct(twice(acc["a"]).alias("a"), twice(acc["b"]).alias("b"))), lambda x: F.arrays_overlap(x.a, x.b))
+        return F.coalesce(F.get(F.transform(new, longer), F.lit(0)), acc)
+
+    def down(levels: Column):
+        def step(acc: Column, m: Column) -> Column:
+            width = F.shiftleft(F.lit(1), m)
+            room = (F.size(acc["a"]) > width) & (F.size(acc["b"]) > width)
+            more = lambda x, y: join(x, F.get(y, m), acc["n"], F.size(x) - width)
+            new = F.transform(F.filter(F.array(F.lit(1)), lambda _: room), lambda _: F.struct((acc["n"] + width).alias("n"), more(acc["a"], levels["a"]).alias("a"), more(acc["b"], levels["b"]).alias("b")))
+            return F.coalesce(F.get(F.filter(new, lambda x: F.arrays_overlap(x.a, x.b)), F.lit(0)), acc)
+
+        k = F.size(levels["a"])
+        zero = F.struct(F.shiftleft(F.lit(1), k - 1).alias("n"), last(levels["a"]).alias("a"), last(levels["b"]).alias("b"))
+        return F.aggregate(F.when(k > 1, F.sequence(k - 2, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")), zero, step, lambda acc: acc["n"])
+
+    steps = F.when(F.size(a) > 1, F.sequence(F.lit(1), F.ceil(F.log2(F.size(a))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    first = F.filter(F.array(F.struct(one(a).alias("a"), one(b).alias("b"))), lambda x: F.arrays_overlap(x.a, x.b))
+    levels = F.transform(first, lambda x: F.aggregate(steps, F.struct(F.array(x.a).alias("a"), F.array(x.b).alias("b")), up))
+    found = F.coalesce(F.get(F.transform(levels, down), F.lit(0)), F.lit(0))
+    return found if most is None else F.least(found, F.lit(most))
 
 
 def cues(stem: Column, phrases: list[str] = CUES) -> Column:

@@ -477,4 +477,4 @@ def q_paired_bootstrap(spark, d):
 
 
 # the queries of the other modules register themselves
-from . import census, contracts, gates, records, runs, statistics  # noqa: E402, F401
+from . import census, contracts, gates, programs, records, runs, statistics  # noqa: E402, F401
