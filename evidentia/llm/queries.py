@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from . import align, flac, hostrules, neardup, pairwise, phrases, repeats, segments, tokens, toxicity, warc
+from . import align, flac, hostrules, maintext, neardup, pairwise, phrases, repeats, segments, tokens, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_boundaries(tokens.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.rated_links(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op8_nbest_pieces, op9_toxicity, op10_token_ids, op12_token_alignment, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_host_rules, op3_flac, op4_suffix_dedup, op5_minhash, op6_packing, op7_pairwise_quality, op8_nbest_pieces, op9_toxicity, op10_token_ids, op11_main_text, op12_token_alignment, op13_collocations)}
 
 SQL: dict[str, str] = {}
 
