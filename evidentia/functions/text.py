@@ -39,8 +39,8 @@ def casefold(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    """Without white space of any kind at both ends; F.trim knows the space alone."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind, separators 1C to 1F included, at both ends; F.trim knows the space alone."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def tokens(x: Column) -> Column:
@@ -99,9 +99,10 @@ def longest_common_run(a: Column, b: Column, most: int | None = 30) -> Column:
     join = lambda x, y, by, n: F.transform(F.slice(x, F.lit(1), n), lambda v, i: F.xxhash64(v, F.get(y, i + by)))
     one = lambda x: F.transform(x, lambda w: F.xxhash64(w))
     last = lambda x: F.element_at(x, -1)
+    two = lambda n: F.call_function("shiftleft", F.lit(1), n)
 
     def up(acc: Column, j: Column) -> Column:
-        width = F.shiftleft(F.lit(1), j - 1)
+        width = two(j - 1)
         room = (F.size(acc["a"]) == j) & (F.size(last(acc["a"])) > width) & (F.size(last(acc["b"])) > width)
 
         def longer(x: Column) -> Column:
@@ -113,14 +114,14 @@ def longest_common_run(a: Column, b: Column, most: int | None = 30) -> Column:
 
     def down(levels: Column):
         def step(acc: Column, m: Column) -> Column:
-            width = F.shiftleft(F.lit(1), m)
+            width = two(m)
             room = (F.size(acc["a"]) > width) & (F.size(acc["b"]) > width)
             more = lambda x, y: join(x, F.get(y, m), acc["n"], F.size(x) - width)
             new = F.transform(F.filter(F.array(F.lit(1)), lambda _: room), lambda _: F.struct((acc["n"] + width).alias("n"), more(acc["a"], levels["a"]).alias("a"), more(acc["b"], levels["b"]).alias("b")))
             return F.coalesce(F.get(F.filter(new, lambda x: F.arrays_overlap(x.a, x.b)), F.lit(0)), acc)
 
         k = F.size(levels["a"])
-        zero = F.struct(F.shiftleft(F.lit(1), k - 1).alias("n"), last(levels["a"]).alias("a"), last(levels["b"]).alias("b"))
+        zero = F.struct(two(k - 1).alias("n"), last(levels["a"]).alias("a"), last(levels["b"]).alias("b"))
         return F.aggregate(F.when(k > 1, F.sequence(k - 2, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")), zero, step, lambda acc: acc["n"])
 
     steps = F.when(F.size(a) > 1, F.sequence(F.lit(1), F.ceil(F.log2(F.size(a))).cast("int"))).otherwise(F.array().cast("array<int>"))

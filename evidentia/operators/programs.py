@@ -85,7 +85,8 @@ def executed(programs: DataFrame, dropped: str | None = None) -> DataFrame:
     for i in range(2):
         anchor = F.when(sound, known(texts.strip(F.get("steps", F.lit(i))["anchor"])))
         rows = rows.withColumn(f"_a{i}", anchor)
-        rows = rows.withColumn(f"_common{i}", F.transform("_words", lambda w, i=i: F.size(F.array_intersect(F.col(f"_a{i}"), w))))
+        own = F.col(f"_a{i}")
+        rows = rows.withColumn(f"_common{i}", F.transform("_words", lambda w: F.size(F.array_intersect(own, w))))  # noqa: B023
         rows = rows.withColumn(f"_best{i}", F.coalesce(F.array_max(f"_common{i}"), F.lit(0)))
         at = F.when(F.col(f"_best{i}") > 0, F.array_position(F.col(f"_common{i}"), F.col(f"_best{i}")).cast("int") - 1).otherwise(-1)
         score = F.when(F.size(f"_a{i}") > 0, F.col(f"_best{i}") / F.size(f"_a{i}")).otherwise(F.lit(0.0))
