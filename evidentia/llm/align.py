@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import as_bytes, chunks, id_and_text, own_worker, stored, trim
 from .tokens import Encoder, tokenizer_path
@@ -103,7 +104,8 @@ class Pool:
 
 
 _pairs: dict[tuple[str, str], tuple[ByteTokens, PieceTokens]] = {}
-KIND = "row_id long, doc_id long, a array<bigint>, a_ends array<bigint>, b array<bigint>, b_ends array<bigint>"
+#: Arrays without nulls, which Spark sorts and compares as plain numbers.
+KIND = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_ends", "b", "b_ends")]])
 
 
 def _tokens(path_a: str, path_b: str):
@@ -111,7 +113,7 @@ def _tokens(path_a: str, path_b: str):
 
     def column(parts: list[np.ndarray]) -> pa.Array:
         cuts = np.cumsum([0] + [len(x) for x in parts])
-        return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())).cast(pa.list_(pa.int64()))
+        return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())).cast(pa.list_(pa.field("element", pa.int64(), nullable=False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("align", _pairs.clear)
@@ -141,9 +143,8 @@ def _tokens(path_a: str, path_b: str):
 
 def _cut(tokens: Column, marks: Column) -> Column:
     """The ids of each group, joined by commas, from the tokens and the marks of the cuts."""
-    word = lambda x: F.when(x.bitwiseAND(MARK) == MARK, ";").otherwise(x.bitwiseAND(MARK).cast("string"))
-    flat = F.array_join(F.transform(F.sort_array(F.concat(tokens, marks)), word), ",")
-    return F.split(F.replace(flat, F.lit(",;,"), F.lit(";")), ";")
+    flat = F.array_join(F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(MARK).cast("string")), ",")
+    return F.split(F.replace(flat, F.lit(f",{MARK},"), F.lit(";")), ";")
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
