@@ -183,7 +183,7 @@ def q_seals(spark, d):
 @query(rf"""
 WITH RECURSIVE {_SEALED}, q AS (SELECT *, {_LEGAL.format("question")} AS q, ' ' || array_to_string({_LEGAL.format("evidence")}, ' ') || ' ' AS e FROM z),
 r AS (SELECT *, {_RUN.format(q="q", e="e")} AS verbatim_run, CASE WHEN x AND list_contains(q, 'map') THEN 1 ELSE 0 END AS stem_run FROM q)
-SELECT doc_id, stem_run, verbatim_run, (CASE WHEN doc_id % 8 = 1 THEN 0.0 WHEN doc_id % 8 = 2 THEN 0.5 ELSE 1.0 END)::DOUBLE AS atom_overlap, CASE WHEN doc_id % 16 = 0 THEN 'missing:choices' WHEN doc_id % 8 = 1 THEN 'answer_index_out_of_range' WHEN doc_id % 8 = 4 THEN 'choices_not_distinct' WHEN doc_id % 8 = 5 THEN 'invalid_choices' WHEN verbatim_run > 7 THEN 'anti_verbatim:run=' || verbatim_run || '>7' END AS reason FROM r WHERE doc_id % 16 <> 8
+SELECT doc_id, stem_run, verbatim_run, (CASE WHEN doc_id % 16 = 0 OR doc_id % 8 = 1 THEN 0.0 WHEN doc_id % 8 = 2 THEN 0.5 ELSE 1.0 END)::DOUBLE AS atom_overlap, CASE WHEN doc_id % 16 = 0 THEN 'missing:choices' WHEN doc_id % 8 = 1 THEN 'answer_index_out_of_range' WHEN doc_id % 8 = 4 THEN 'choices_not_distinct' WHEN doc_id % 8 = 5 THEN 'invalid_choices' WHEN verbatim_run > 7 THEN 'anti_verbatim:run=' || verbatim_run || '>7' END AS reason FROM r WHERE doc_id % 16 <> 8
 UNION ALL SELECT doc_id, stem_run, verbatim_run, 1.0::DOUBLE, CASE WHEN verbatim_run > 7 THEN 'anti_verbatim:run=' || verbatim_run || '>7' END FROM r WHERE doc_id % 16 = 8
 """)
 def q_guard_realized(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import intervals, stats
 from ..operators import relational
 from ._registry import clopper_sql, good, query, t, toxic
 
@@ -42,13 +42,13 @@ def q_mcnemar_round(spark, d):
 def q_clopper_census(spark, d):
     c = _by_lang(spark, d).groupBy("source").agg(F.count_if(good()).alias("k"), F.count(F.lit(1)).alias("n"))
     c = c.unionByName(spark.sql("SELECT 'none' AS source, 0L AS k, 0L AS n"))
-    return c.withColumn("ci", stats.clopper_pearson("k", "n")).select("source", "k", "n", *stats.rounded_interval(F.col("ci"), F.col("n")))
+    return c.withColumn("ci", intervals.clopper_pearson("k", "n")).select("source", "k", "n", *stats.rounded_interval(F.col("ci"), F.col("n")))
 
 
 @query(clopper_sql("SELECT event_type, count(*) FILTER (value > 250) AS k, count(*) AS n FROM events GROUP BY event_type", "event_type", 6))
 def q_clopper_large(spark, d):
     c = t(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 250).alias("k"), F.count(F.lit(1)).alias("n"))
-    return c.withColumn("ci", stats.clopper_pearson("k", "n")).select("event_type", "k", "n", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
+    return c.withColumn("ci", intervals.clopper_pearson("k", "n")).select("event_type", "k", "n", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
 
 
 @query(f"""
