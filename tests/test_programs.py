@@ -84,8 +84,8 @@ def test_trace_hash_is_that_of_the_json(spark):
             more = {"text": {"match_score": g.match_score, "source_excerpt": g.source_excerpt, "anchor_declared": g.anchor_declared}, "visual": {"bbox": g.bbox, "anchor_declared": g.anchor_declared, "observation": g.observation}, "derived": {"derived_from": g.derived_from}}
             gamma.append(base | more[g.kind])
         assert r.trace_hash == plain_hash(atoms, gamma)
-    assert rows[0].atoms[0].value == odd.strip() and rows[0].gamma[1].char_span == [51, 94]
-    assert EVIDENCE[51:94] == rows[0].gamma[1].source_excerpt
+    assert rows[0].atoms[0].value == odd.strip() and rows[0].gamma[1].char_span == [51, 97]
+    assert EVIDENCE[51:97] == rows[0].gamma[1].source_excerpt == "Điều 2 nêu ngoại lệ đối với hộ kinh doanh nhỏ;"
 
 
 @pytest.mark.parametrize(
