@@ -179,28 +179,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| on their sets of shingles. A null or
     wordless text has an empty set and is linked with nothing. Rows with one doc_id count as one
-    document and get the same component; a null doc_id never leads and links nothing, its component_id
-    is that of its class or null. Only doc_id and text are read. An empty table gives an empty one.
+    document: each of its different texts links, and all its rows with words get the same component.
+    A null doc_id never leads and links nothing, its component_id is that of its class or null. The
+    order of the rows changes nothing. Only doc_id and text are read. An empty table gives an empty one.
     """
-    return _grouped(docs, percent, width, bands, rows).drop("digest")
+    return _grouped(docs, percent, width, bands, rows, True).drop("digest")
 
 
-def _grouped(docs: DataFrame, percent: int, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """near_duplicates() with the MD5 of each row's text, which tells rows of one doc_id apart."""
-    base = id_and_text(docs)
-    sig = stored(base.withColumn("digest", F.md5(F.encode("text", "UTF-8"))).mapInArrow(_signatures(width, bands, rows), "doc_id long, digest string, n_shingles long, key binary, bands array<bigint>"), "sketches")
-    # stored, so that joins on it can be split where one text has very many copies
-    reps = stored(sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    members = stored(sig.select("doc_id", "digest", "n_shingles", "key").join(reps, "key", "left").select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
-    own = sig.join(reps, (sig.key == reps.key) & (sig.doc_id == reps.rep)).select("rep", F.explode("bands").alias("band"))
+def _one_document(classes: DataFrame) -> DataFrame:
+    """Links x, y between the classes in which a doc_id with different texts stands, from doc_id and node of each row."""
+    some = classes.groupBy("doc_id").agg(F.min("node").alias("y"), F.max("node").alias("z")).filter("y < z").select("doc_id", "y")
+    return classes.join(some, "doc_id").filter("node != y").select(F.col("node").alias("x"), "y").distinct()
+
+
+def _grouped(docs: DataFrame, percent: int, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, by_doc: bool = False) -> DataFrame:
+    """near_duplicates() with the MD5 of each row's text.
+
+    Links are between classes of equal sets, which have numbers of their own, so rows of one doc_id with
+    different texts stay apart; `by_doc` links the classes of such rows. A class is shown by the text of
+    its least (doc_id, MD5).
+    """
+    base = id_and_text(docs).withColumn("digest", F.md5(F.encode("text", "UTF-8")))
+    sig = stored(base.mapInArrow(_signatures(width, bands, rows), "doc_id long, digest string, n_shingles long, key binary, bands array<bigint>"), "sketches")
+    # stored, so that the numbers stay and joins on it can be split where one text has very many copies
+    least = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("m"))
+    reps = stored(least.select("key", F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("rep"), F.col("m.digest").alias("rep_digest")), "classes")
+    members = stored(sig.select("doc_id", "digest", "n_shingles", "key").join(reps.select("key", "node", "rep"), "key", "left").drop("key"), "members")
+    own = sig.join(reps, (sig.key == reps.key) & (sig.doc_id == reps.rep) & (sig.digest == reps.rep_digest)).select(sig.key, sig.doc_id, sig.digest, "node", "bands")
+    own = own.dropDuplicates(["key", "doc_id", "digest"]).select("node", F.explode("bands").alias("band"))
     multi = own.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     buckets = stored(own.join(multi, "band"), "buckets")
-    degree = buckets.groupBy("rep").agg(F.sum("mates").alias("degree"))
-    lead = buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("band", (-F.col("m.r")).alias("lead"))
-    edges = stored(buckets.join(lead, "band").filter("rep != lead").select("lead", F.col("rep").alias("x")).distinct(), "edges")
+    degree = buckets.groupBy("node").agg(F.sum("mates").alias("degree"))
+    lead = buckets.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("r"))).alias("m")).select("band", (-F.col("m.r")).alias("lead"))
+    edges = stored(buckets.join(lead, "band").filter("node != lead").select("lead", F.col("node").alias("x")).distinct(), "edges")
     roster = edges.union(edges.select("lead", F.col("lead").alias("x")).distinct())
-    # a merge join at every size: the list of candidates grows with the corpus, so it is never broadcast
-    texts = stored(roster.hint("merge").join(base, F.col("x") == F.col("doc_id")).select("lead", "x", "text"), "candidates")
+    roster = roster.join(reps.select(F.col("node").alias("x"), F.col("rep").alias("doc_id"), F.col("rep_digest").alias("digest")), "x")
+    # a merge join at every size: the list of candidates grows with the corpus, so it is never broadcast;
+    # rows that a table has twice are made one where the join has put them side by side
+    texts = roster.hint("merge").join(base, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest", "lead"]).select("lead", "x", "text")
+    texts = stored(texts, "candidates")
     counts = texts.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("n") / STAR, F.col("bytes") / STAR_BYTES)).cast("int")
     dealt = texts.join(counts, "lead")
@@ -216,9 +233,14 @@ def _grouped(docs: DataFrame, percent: int, width: int = WIDTH, bands: int = BAN
     alone = rest.filter(~linked).select("lead", "x", "text", "inter", "total", F.lit(0).alias("side"), F.pmod(F.xxhash64("x", F.lit(1)), na).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("j"))
     more = all_.union(alone).groupBy("lead", "i", "j").applyInArrow(_blocks(percent, width), "x long, y long")
     links = star.filter(linked).select("x", F.col("lead").alias("y")).union(more)
+    if by_doc:
+        links = links.union(_one_document(members.filter("doc_id IS NOT NULL AND node IS NOT NULL").select("doc_id", "node")))
     groups = components(links)
-    out = members.join(groups, members.rep == groups.node, "left")
-    return out.select("doc_id", "digest", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"))
+    named = groups.join(reps.select("node", "rep"), "node")
+    named = stored(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id"), "components")
+    out = members.join(named, "node", "left")
+    component = F.coalesce("component_id", "rep", "doc_id")
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -101,6 +101,43 @@ def test_near_dedup_loses_no_text_of_a_shared_id(spark):
     assert rows(neardup.keep_first(df)) == [(1, a), (5, b)]
 
 
+def test_texts_of_one_id_all_link_in_any_order(spark):
+    a, b = prose(61), prose(62)
+    items = [(5, a), (5, b), (7, a + " more"), (8, b + " more")]
+    for order in (items, items[::-1], items[1:] + items[:1], items[2:] + items[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 80).collect()} == {(5, 5, True), (7, 5, False), (8, 5, False)}
+        assert rows(neardup.keep_first(df)) == [(5, a), (5, b)] or rows(neardup.keep_first(df)) == [(5, b), (5, a)]
+
+
+def test_near_duplicates_with_shared_ids_are_the_plain_ones(spark):
+    """Rows of one doc_id with different texts, near-copies among them, and rows that stand twice."""
+    r = random.Random(4)
+    base = [prose(200 + g, 40).split(" ") for g in range(5)]
+    items = []
+    for _ in range(90):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        items.append((r.randrange(45) + 1, " ".join(w + [f"t{r.randrange(3)}"])))
+    items += r.sample(items, 9)
+    items += [(100 + i, " ".join(prose(300 + i, 30).split(" "))) for i in range(5)] + [(100, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split(" ") for _, t in items)]
+    label = {i: i for i, _ in items}
+    moved = True
+    while moved:
+        moved = False
+        for (i, _), x in zip(items, sets):
+            for (j, _), y in zip(items, sets):
+                if x and label[j] < label[i] and 100 * len(x & y) >= 85 * len(x | y):
+                    label[i], moved = label[j], True
+    assert len({label[i] for i in label if i < 100}) > 1
+    for seed in (1, 2):
+        r.shuffle(items)
+        df = spark.createDataFrame(items, "doc_id long, text string").repartition(seed * 3)
+        assert sorted((x.doc_id, x.component_id) for x in neardup.near_duplicates(df).collect()) == sorted((i, label[i]) for i, _ in items)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_near_duplicates_recall(spark):
     """Queries: the rows whose id is divisible by 20, against all rows."""
