@@ -28,8 +28,8 @@ from ._common import U64, as_bytes, bounds, chunks, mix, own_worker, run_hashes,
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Cells of a sketch: at least, at most. Beyond the most the bounds get looser and candidates more; counts stay exact.
 CELLS, CELLS_MOST = 1 << 24, 1 << 27
-#: Cells of a block, and tasks whose blocks are added at once.
-BLOCK, FAN = 1 << 16, 64
+#: Cells of a block, and tasks whose blocks are added at once (256 times 192 KB at most).
+BLOCK, FAN = 1 << 16, 256
 #: Characters of the phrases in one automaton (about 100 MB); more candidates make more automata and scans.
 AUTOMATON_CHARS = 3_000_000
 CHUNK_BYTES = 2_000_000
@@ -125,8 +125,8 @@ def _add(kind: str):
     return run
 
 
-def _bits(rows: DataFrame, cells: int, least: int, kind: str) -> np.ndarray:
-    """A bit for each cell that reaches `least`. Goes through the driver: cells / 8 bytes, 16 MB at most."""
+def _bits(rows: DataFrame, shards: int, cells: int, least: int, kind: str) -> np.ndarray:
+    """A bit for each cell that reaches `least`, from the sketches of so many tasks. Goes through the driver: cells / 8 bytes, 16 MB at most."""
 
     def reach(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +138,11 @@ def _bits(rows: DataFrame, cells: int, least: int, kind: str) -> np.ndarray:
             yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["block", "bits"])
 
     add = _add(kind)
-    some = rows.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int")).groupBy("block", "shard").applyInArrow(add, SKETCH_SCHEMA)
-    all_ = some.groupBy("block").applyInArrow(add, SKETCH_SCHEMA).mapInArrow(reach, "block int, bits binary")
+    if shards > FAN:  # the rows of FAN tasks first, then their sums
+        rows = rows.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int")).groupBy("block", "shard").applyInArrow(add, SKETCH_SCHEMA)
+    all_ = rows.groupBy("block").applyInArrow(add, SKETCH_SCHEMA).mapInArrow(reach, "block int, bits binary")
     out = np.zeros(cells // 8, np.uint8)
-    for r in all_.toLocalIterator():
+    for r in all_.collect():
         out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -224,14 +225,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     """(lang, phrase, words, f) of the phrases of up to `longest` words with f >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, shards = rows.select(F.octet_length("text").alias("bytes"), F.spark_partition_id().alias("part")).agg(F.sum("bytes"), F.max("part")).first()
+    size, shards = size or 0, (shards or 0) + 1
     cells = CELLS
     while cells < CELLS_MOST and cells * least < 2 * size:
         cells *= 2
     kind = "<u1" if least <= 255 else "<u4"
     bits: list[np.ndarray] = []
     for _ in range(longest):
-        bits.append(_bits(rows.mapInArrow(_sketch(list(bits), cells, kind), SKETCH_SCHEMA), cells, least, kind))
+        bits.append(_bits(rows.mapInArrow(_sketch(list(bits), cells, kind), SKETCH_SCHEMA), shards, cells, least, kind))
     found = stored(rows.mapInArrow(_candidates(bits), "lang string, phrase string, n long"), "phrases")
     total = found.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     candidates = stored(found.filter("phrase IS NOT NULL").select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id()), "candidates")
