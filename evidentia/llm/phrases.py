@@ -26,6 +26,8 @@ from ._common import U64, as_bytes, bounds, chunks, mix, own_worker, run_hashes,
 
 #: Words of the longest phrase; the least count; phrases listed for each language.
 LONGEST, LEAST, TOP = 5, 100, 2000
+#: Parts of a language that are ranked side by side.
+DEAL = 64
 #: Cells of a sketch: at least, at most. Beyond the most the bounds get looser and candidates more; counts stay exact.
 CELLS, CELLS_MOST = 1 << 24, 1 << 27
 #: Cells of a block, and tasks whose blocks are added at once (256 times 192 KB at most).
@@ -277,5 +279,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     score = F.expr("cast(1000BD * cast(a as decimal(15,0)) * cast(n as decimal(19,0)) as decimal(38,0)) div cast(cast(l as decimal(19,0)) * cast(r as decimal(19,0)) as decimal(38,0))")
     best = cut.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b"))
     flat = best.select("lang", "phrase", *[F.col(f"b.{c}").alias(c) for c in ("a", "l", "r", "n", "score")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return flat.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # the first of each part of a language before the first of the language: DEAL * top rows of it meet in one task at most
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    flat = flat.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(DEAL))).withColumn("rank", rank("part")).filter(F.col("rank") <= top)
+    return flat.withColumn("rank", rank()).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
