@@ -1,19 +1,17 @@
-"""Phrase collocations of each language: candidates from sketch upper bounds, exact counts by automata.
+"""Phrase collocations of each language: candidates from sketch upper bounds, counts in one more pass.
 
 A text is lower-cased (A-Z), split at . , ; : ! ? and line ends into pieces, those at spaces and tabs
 into words. For each order from 1 to 5 the tasks add the hashes of their phrases to a one-row sketch
 (the row saturates, the tasks' rows are added by a shuffle on blocks of cells); a cell's sum bounds the
 count of each phrase in it from above. A phrase of the next order is only sketched if both of its parts
 one word shorter can reach the least count. What passes all bounds is a candidate: no frequent phrase
-is lost, some rare ones come along. Candidates compile into automata, bounded in size, that look for
-" words of the phrase " with a delimiter at both ends; tasks scan their texts and count overlapping
-matches, which are summed and only then compared with the least count.
+is lost, some rare ones come along. One more pass counts the candidates of each task, whatever their
+number; the tasks' counts are summed by phrase and only then compared with the least count.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +30,8 @@ DEAL = 64
 CELLS, CELLS_MOST = 1 << 24, 1 << 27
 #: Cells of a block, and tasks whose blocks are added at once (256 times 192 KB at most).
 BLOCK, FAN = 1 << 16, 256
-#: Characters of the phrases in one automaton (about 100 MB); more candidates make more automata and scans.
-AUTOMATON_CHARS = 3_000_000
+#: Characters of the different phrases that a task holds with their counts (about 100 MB); beyond them it hands on what it has and begins anew.
+AUTOMATON_CHARS = 30_000_000
 CHUNK_BYTES = 2_000_000
 
 #: Lower-cases A-Z; tabs become spaces, breaks between pieces line ends.
@@ -85,7 +83,7 @@ class Words:
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    own_worker("phrases", _automata.clear)
+    own_worker("phrases")
     for batch in batches:
         for part in chunks(batch, "text", CHUNK_BYTES):
             yield as_bytes(part.column("text")), part.column("lang").to_pylist()
@@ -116,7 +114,7 @@ def _add(kind: str):
     """The sum of some tasks' rows of one block, again as its used cells."""
 
     def run(group: pa.Table) -> pa.Table:
-        own_worker("phrases", _automata.clear)
+        own_worker("phrases")
         total = np.zeros(BLOCK, np.int64)
         for cells, counts in zip(group.column("cells").to_pylist(), group.column("counts").to_pylist()):
             total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, kind)
@@ -149,80 +147,63 @@ def _bits(rows: DataFrame, shards: int, cells: int, least: int, kind: str) -> np
     return out
 
 
-def _candidates(bits: list[np.ndarray]):
-    """Each task's different phrases that pass all sketches, and its words for each language (without phrase)."""
+class Tally:
+    """Counts of the phrases of one order, by hash; `row` is a phrase's place among the texts that the task holds."""
+
+    def __init__(self):
+        self.hash, self.n, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, rows: int) -> np.ndarray:
+        """Count the occurrences; places of the phrases that are new, which get the rows from `rows` on."""
+        each, at, n = np.unique(hashes, return_index=True, return_counts=True)
+        place = np.searchsorted(self.hash, each)
+        known = place < len(self.hash)
+        known[known] = self.hash[place[known]] == each[known]
+        self.n[place[known]] += n[known]
+        new = ~known
+        place = place[new]
+        self.hash, self.n = np.insert(self.hash, place, each[new]), np.insert(self.n, place, n[new])
+        self.row = np.insert(self.row, place, rows + np.arange(len(place)))
+        return at[new]
+
+
+def _counts(bits: list[np.ndarray]):
+    """Each task's counts of the phrases that pass all sketches, and its words for each language (without phrase)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(0, np.uint64)] * len(bits)
         total: dict[str, int] = {}
+        tallies, held, rows, chars = [Tally() for _ in bits], [], 0, 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            n = np.zeros(rows, np.int64)
+            for x in tallies:
+                n[x.row] = x.n
+            lo = 0
+            for langs, phrases in held:
+                yield pa.record_batch([langs, phrases, pa.array(n[lo : lo + len(langs)])], names=["lang", "phrase", "n"])
+                lo += len(langs)
+
         for texts, langs in _read(batches):
             w = Words(texts, langs)
             for lang, n in zip(langs, np.bincount(w.doc, minlength=len(texts)).tolist()):
                 total[lang] = total.get(lang, 0) + n
             out: list[tuple[str, str]] = []
-            for k, (first, hashes) in enumerate(w.orders(bits), 1):
-                if k > len(bits):
-                    break
-                each, at = np.unique(hashes, return_index=True)
-                place = np.searchsorted(seen[k - 1], each)
-                new = np.ones(len(each), bool)
-                inside = place < len(seen[k - 1])
-                new[inside] = seen[k - 1][place[inside]] != each[inside]
-                seen[k - 1] = np.insert(seen[k - 1], place[new], each[new])
-                out += [(langs[w.doc[i]], w.phrase(i, k).decode()) for i in first[at[new]].tolist()]
+            for k, (tally, (first, hashes)) in enumerate(zip(tallies, w.orders(bits)), 1):
+                out += [(langs[w.doc[i]], w.phrase(i, k).decode()) for i in first[tally.add(hashes, rows + len(out))].tolist()]
             if out:
-                yield pa.record_batch([pa.array([x for x, _ in out]), pa.array([x for _, x in out]), pa.array([None] * len(out), pa.int64())], names=["lang", "phrase", "n"])
+                held.append((pa.array([x for x, _ in out]), pa.array([x for _, x in out])))
+                rows += len(out)
+                chars += sum(len(x) for _, x in out)
+            if chars > AUTOMATON_CHARS:
+                yield from given()
+                tallies, held, rows, chars = [Tally() for _ in bits], [], 0, 0
+        yield from given()
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([None] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "n"])
         trim()
 
     return run
 
 
-_automata: dict[str, tuple] = {}
-
-
-def _automaton(key: str, phrases: list[tuple[str, str]]) -> dict:
-    """An automaton for each language; its values are places in `phrases`."""
-    import ahocorasick
-
-    if key not in _automata:
-        _automata.clear()
-        own: dict = {}
-        for i, (lang, phrase) in enumerate(phrases):
-            if lang not in own:
-                own[lang] = ahocorasick.Automaton()
-            own[lang].add_word(f" {phrase} ", i)
-        for x in own.values():
-            x.make_automaton()
-        _automata[key] = own
-    return _automata[key]
-
-
-def guarded(text: bytes) -> bytes:
-    """The words with one space before and after each; pieces are kept apart by line ends."""
-    out = text.translate(PLAIN).replace(b"\n", b" \n ")
-    while b"  " in out:
-        out = out.replace(b"  ", b" ")
-    return b" " + out + b" "
-
-
-def _count(key: str, ids: list[int], phrases: list[tuple[str, str]]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
-        for texts, langs in _read(batches):
-            automata = _automaton(key, phrases)
-            for lang, find in automata.items():
-                own = [x for x, y in zip(texts, langs) if y == lang]
-                if own:
-                    hits = [i for _, i in find.iter(guarded(b"\n".join(own)).decode())]
-                    total += np.bincount(np.array(hits, np.int64), minlength=len(ids))
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.array(ids, np.int64)[used]), pa.array(total[used])], names=["id", "f"])
-        trim()
-
-    return run
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of the phrases of up to `longest` words with f >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
@@ -236,22 +217,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     bits: list[np.ndarray] = []
     for _ in range(longest):
         bits.append(_bits(rows.mapInArrow(_sketch(list(bits), cells, kind), SKETCH_SCHEMA), shards, cells, least, kind))
-    found = stored(rows.mapInArrow(_candidates(bits), "lang string, phrase string, n long"), "phrases")
-    total = found.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    candidates = stored(found.filter("phrase IS NOT NULL").select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id()), "candidates")
-    chars = candidates.agg(F.sum(F.char_length("phrase") + 2)).first()[0] or 0
-    buckets = -(-chars // AUTOMATON_CHARS)
-    parts = []
-    for b in range(buckets):
-        # one automaton's phrases, a bounded number of characters, go through the driver
-        own = candidates.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(buckets)) == b).collect()
-        if own:
-            parts.append(stored(rows.mapInArrow(_count(uuid.uuid4().hex, [r.id for r in own], [(r.lang, r.phrase) for r in own]), "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "counts"))
-    counts = spark.createDataFrame([], "id long, f long")
-    for x in parts:
-        counts = counts.union(x)
-    words = (F.size(F.split("phrase", " "))).alias("words")
-    return candidates.join(counts, "id").select("lang", "phrase", words, "f"), total
+    found = rows.mapInArrow(_counts(bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    found = stored(found.filter((F.col("n") >= least) | F.col("phrase").isNull()), "frequent")
+    total = found.filter("phrase IS NULL").select("lang", "n")
+    return found.filter("phrase IS NOT NULL").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), F.col("n").alias("f")), total
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
@@ -261,10 +230,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     the lowest floor(1000 * a * n / (l * r)) counts, of equals the first. A phrase inside a longer candidate
     with the same count is dropped. Ties of score and count go by the phrase's bytes. A null language is
     `und`; null and empty texts have no words; repeated rows count each. Only text and lang are read. Phrases
-    are told apart by 64-bit hashes until they are candidates. An empty table gives an empty one.
+    are told apart by 64-bit hashes in the sketches and within a task, then by their words. An empty table gives an empty one.
     """
     counts, total = phrase_counts(docs, least, longest)
-    counts = stored(counts, "frequent")
     many = counts.filter("words > 1")
     words = F.split("phrase", " ")
     # a phrase inside a longer one of the same count lies inside one that is a word longer, with that count

@@ -149,3 +149,17 @@ def test_hashes_tell_phrases_apart():
     w = phrases.Words(texts, ["en"] * len(texts))
     for k, (first, hashes) in enumerate(w.orders([np.full(8, 255, np.uint8)] * 4), 1):
         assert len(set(hashes.tolist())) == len({w.phrase(i, k) for i in first.tolist()})
+
+
+def test_counts_of_many_candidates_take_one_pass(spark, monkeypatch):
+    """Candidates of many times the characters a task holds: the texts are read once for each order and once to count."""
+    monkeypatch.setattr(phrases, "CELLS", 1 << 16)
+    monkeypatch.setattr(phrases, "CELLS_MOST", 1 << 16)
+    monkeypatch.setattr(phrases, "AUTOMATON_CHARS", 200)
+    passes = []
+    read = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: (passes.append(schema), read(self, f, schema))[1])
+    df = spark.createDataFrame([(i, x, y, "s", 0) for i, (x, y) in enumerate(PHRASE_ROWS)], DOC)
+    counts, _ = phrases.phrase_counts(df, 2)
+    assert sum("block" not in x for x in passes) == 1
+    assert sum(len(r.phrase) for r in counts.collect()) > 5 * 200
