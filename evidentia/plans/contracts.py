@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import integrity
 from ..operators import contracts, generation
 from ..operators.records import CONDITIONS
-from ._registry import query, t
+from ._registry import query, spread, t
 
 
 def _png(rgb: bytes) -> bytes:
@@ -41,8 +41,12 @@ def _asset(byte_length: Column | int = len(RED)) -> Column:
     return _struct(encoding="base64", media_type="image/png", data=base64.b64encode(RED).decode(), byte_length=byte_length, sha256=hashlib.sha256(RED).hexdigest(), dimensions=_struct(width=1, height=1), provenance="made")
 
 
+def _customers(spark, d):
+    return spread(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
 def _judged(spark, d, kind: str, record: Column):
-    rows = t(spark, d, "customer").select("c_custkey", record.alias("text"))
+    rows = _customers(spark, d).select("c_custkey", record.alias("text"))
     return contracts.validate(rows, kind, prefix="x").select("c_custkey", "reason")
 
 
@@ -107,7 +111,7 @@ def q_validate_construction_record(spark, d):
         answer_atoms=F.array(*[_struct(id=F.lit(i), value=v) for i, v in (("a", F.lit("first")), ("b", F.col("c_name")))]), provenance=F.array(_struct(id="p", atom_id=_either(7, "a", "b"), source="s")), question=_struct(text="Who?"),
         choices=F.array(choice("1", _either(11, "nobody", F.col("c_name")), "b", True), choice("2", F.lit("first"), "a", False)),
     )
-    rows = t(spark, d, "customer").select("c_custkey", F.to_json(body).alias("body")).withColumn("receipt", F.sha2(integrity.canonical_text("body"), 256))
+    rows = _customers(spark, d).select("c_custkey", F.to_json(body).alias("body")).withColumn("receipt", F.sha2(integrity.canonical_text("body"), 256))
     signed = F.concat(F.lit('{"receipt":"'), _either(3, "0", F.col("receipt")), F.lit('",'), F.expr("substring(body, 2)"))
     return contracts.validate(rows.select("c_custkey", signed.alias("text")), "construction", prefix="x").select("c_custkey", "reason")
 
@@ -118,7 +122,7 @@ CASE WHEN c_custkey % 7 = 0 THEN 'answer_in_question' WHEN c_custkey % 5 = 0 THE
 UNION ALL SELECT 'c' || c_custkey || '-m2', 'red', 'What is the dominant exact RGB color of ' || CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE 'the head' END || '?', NULL, 3 FROM customer
 """)
 def q_generate_items(spark, d):
-    docs = t(spark, d, "customer").select(_document(5, 7).alias("text")).withColumn("source_sha256", F.sha2("text", 256))
+    docs = _customers(spark, d).select(_document(5, 7).alias("text")).withColumn("source_sha256", F.sha2("text", 256))
     rows = generation.items(docs, "x")
     right = [F.when(F.get_json_object("record", f"$.package_hashes.{c}") == F.sha2(c, 256), 1).otherwise(0) for c in CONDITIONS]
     return rows.select("item_id", F.get_json_object("record", "$.answer").alias("answer"), F.get_json_object("record", "$.question").alias("question"), "reason", (right[0] + right[1] + right[2]).alias("packages"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records
-from ._registry import query, t
+from ._registry import query, spread, t
 
 
 def _when(*cases: tuple[int, str], other: str, key: str = "event_id") -> str:
@@ -17,7 +17,7 @@ def _first(*cases: tuple[str, str]) -> str:
 
 
 def _record(spark, d, sql, table="events", keep=("event_id",)):
-    return t(spark, d, table).select(*keep, F.expr(sql).alias("j"))
+    return spread(t(spark, d, table), keep[0]).select(*keep, F.expr(sql).alias("j"))
 
 
 def _closed(keys: list[str]) -> str:
