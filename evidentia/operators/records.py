@@ -220,7 +220,10 @@ def _graph_reason(j: Json) -> Column:
 
 def answer_record_reason(text: Column, schema: str) -> Column:
     """An answer to a package: identity, condition, digest of the package, answer, source; nothing unsafe in it."""
-    j = Json(text)
+    return parsed_once(text, lambda j: _answer_record_reason(j, schema))
+
+
+def _answer_record_reason(j: Json, schema: str) -> Column:
     like = lambda path, pattern: ~F.coalesce(j.string(path).rlike(rf"\A(?:{pattern})\z"), F.lit(False))
     long = lambda path, n: j.blank(path) | (F.char_length(j.string(path)) > n)
     return first_reason(
