@@ -242,3 +242,16 @@ def test_idf_with_cut(spark):
 def test_regex_words_are_the_stated_ones(spark):
     x = "Điều 12, khoản_3: THE end—x÷y ỹ"
     assert spark.range(1).select(text.legal_words(F.lit(x))).first()[0] == re.findall(r"[a-zA-ZÀ-ỹ0-9]+", x.lower())
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1_000_000])
+def test_best_matches_reads_the_sentences_once(spark, monkeypatch, cells):
+    monkeypatch.setattr(overlap, "CELLS", cells)
+    r = random.Random(3)
+    sentences = [(r.randint(-500, 500) * 1000 + i, 0, [f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 15))]) for i in range(200)]
+    anchors = [(i, 0, [f"w{r.randint(0, 45)}" for _ in range(r.randint(0, 9))]) for i in range(30)]
+    a = spark.createDataFrame(anchors, "item long, by int, tokens array<string>").drop("by")
+    s = spark.createDataFrame(sentences, "s long, by int, tokens array<string>").drop("by")
+    rows = overlap.best_matches(a, s, ["item"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("s#") and rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((x.item, 0, x.s, x.score) for x in rows.collect()) == plain_best(anchors, sentences)
