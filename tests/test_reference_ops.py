@@ -272,3 +272,13 @@ def test_event_stream():
     assert list(f().eval(': c\ndata: {"a":1}\ndata: x\n\nid: 3\ndata: [DONE]\n\n')) == [(0, '{"a":1}\nx')]
     with pytest.raises(ValueError):
         list(f().eval("oops\n"))
+
+
+def test_best_overlap_keeps_a_row_an_anchor_in_each_task(spark):
+    """Pairs are neither grouped nor shuffled by the sentence."""
+    a = spark.createDataFrame([(i, 0, [f"w{i}", "the", "the"]) for i in range(20)] + [(99, 0, [])], "item int, a int, tokens array<string>")
+    s = spark.createDataFrame([(-i, ["the", f"w{i % 30}", f"w{i % 7}"]) for i in range(300)] + [(7, None)], "s int, tokens array<string>")
+    rows = relational.best_overlap(a, s)
+    assert not [x for x in rows._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:] if "s#" in x.split(")")[0]]
+    got = {r.item: (r.s, r.score) for r in rows.collect()}
+    assert got == {i: (min(-j for j in range(300) if i in (j % 30, j % 7)), 1.0) for i in range(20)} | {99: (None, None)}
