@@ -274,6 +274,15 @@ def test_event_stream():
         list(f().eval("oops\n"))
 
 
+def test_quotes_meet_documents_without_a_shuffle_and_are_classed_once(spark):
+    q = spark.createDataFrame([(1, "one two three four five")], "item_id int, text string")
+    d = spark.createDataFrame([(1, "zero one two three four five six"), (2, "two three")], "doc_id int, text string")
+    rows = relational.quote_matches(q, d)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("non_verbatim") == 1
+    assert rows.collect() == [(1, 1, "exact")]
+
+
 def test_best_overlap_keeps_a_row_an_anchor_in_each_task(spark):
     """Pairs are neither grouped nor shuffled by the sentence."""
     a = spark.createDataFrame([(i, 0, [f"w{i}", "the", "the"]) for i in range(20)] + [(99, 0, [])], "item int, a int, tokens array<string>")
