@@ -43,6 +43,11 @@ def _text(*each: str | Column) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in each])
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows, whose columns are worked out once for each: filters and columns on them are not merged into what made them."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def compiled(programs: DataFrame) -> DataFrame:
     """Adds compile_reason (null: sound), cross_modal and path: the visual, text and derived step of a program that joins both."""
     motif, steps = F.col("motif"), F.col("steps")
@@ -80,11 +85,11 @@ def executed(programs: DataFrame, dropped: str | None = None) -> DataFrame:
     known = (lambda x: F.array_except(words(x), F.col(dropped))) if dropped else words
     sound = F.col("compile_reason").isNull()
     rows = programs.withColumn("_sentences", F.when(sound, texts.sentences(F.coalesce("evidence", F.lit("")))))
-    rows = rows.withColumn("_words", F.transform("_sentences", known))
+    rows = _once(rows.withColumn("_words", F.transform("_sentences", known)))
     per = []
     for i in range(2):
         anchor = F.when(sound, known(texts.strip(F.get("steps", F.lit(i))["anchor"])))
-        rows = rows.withColumn(f"_a{i}", anchor)
+        rows = _once(rows.withColumn(f"_a{i}", anchor))
         own = F.col(f"_a{i}")
         rows = rows.withColumn(f"_common{i}", F.transform("_words", lambda w: F.size(F.array_intersect(own, w))))  # noqa: B023
         rows = rows.withColumn(f"_best{i}", F.coalesce(F.array_max(f"_common{i}"), F.lit(0)))
@@ -95,7 +100,7 @@ def executed(programs: DataFrame, dropped: str | None = None) -> DataFrame:
         status = F.when(visual, "VISUAL").when(score >= 0.5, "MATCHED").otherwise("UNGROUNDED")
         per.append(F.struct(F.lit(i).alias("index"), step["op"].alias("op"), status.alias("status"), F.when(~visual, at).alias("matched_sentence"), F.when(~visual, python_round(score, 3)).alias("match_score"), F.when(visual, step["visual_node"]).alias("visual_node")))
     last = F.struct(F.lit(2).alias("index"), F.get("steps", F.lit(2))["op"].alias("op"), F.lit("DERIVED").alias("status"), F.lit(None).cast("int").alias("matched_sentence"), F.lit(None).cast("double").alias("match_score"), F.lit(None).cast("int").alias("visual_node"))
-    rows = rows.withColumn("_per", F.when(sound, F.array(*per, last)))
+    rows = _once(rows).withColumn("_per", F.when(sound, F.array(*per, last)))
     rows = rows.withColumn("_matched", F.array_sort(F.array_distinct(F.transform(F.filter("_per", lambda p: p.status == "MATCHED"), lambda p: p.matched_sentence))))
     ungrounded = F.size(F.filter("_per", lambda p: p.status == "UNGROUNDED"))
     floor = F.when(F.col("cross_modal"), 1).otherwise(2)
@@ -106,7 +111,7 @@ def executed(programs: DataFrame, dropped: str | None = None) -> DataFrame:
         floor.alias("text_anchor_floor"), F.size(F.filter("_per", lambda p: p.status == "VISUAL")).alias("n_visual_steps"), F.col("_matched").alias("matched"),
     )
     kept = [c for c in rows.columns if not c.startswith("_") or c in programs.columns]
-    return rows.withColumn("execution", F.when(sound, out)).select(*kept, "execution", *[c for c in ("_sentences",) if c not in kept])
+    return _once(rows.withColumn("execution", F.when(sound, out)).select(*kept, "execution", *[c for c in ("_sentences",) if c not in kept]))
 
 
 def bound(programs: DataFrame, need_cross: bool = False) -> DataFrame:
@@ -162,7 +167,7 @@ def trace_hash(atoms: Column, gamma: Column) -> Column:
 def traced(programs: DataFrame) -> DataFrame:
     """Adds atoms, gamma and trace_hash of programs whose execution is good (others: null). Needs executed()."""
     good = F.coalesce(F.col("execution.ok"), F.lit(False))
-    rows = programs.withColumn("_spans", F.when(good, gates.spans(F.col("_sentences"), F.col("evidence"))))
+    rows = _once(programs.withColumn("_spans", F.when(good, gates.spans(F.col("_sentences"), F.col("evidence")))))
     atoms, gamma = [], []
     for i in range(3):
         s, p = F.get("steps", F.lit(i)), F.get("execution.per_step", F.lit(i))
@@ -181,7 +186,7 @@ def traced(programs: DataFrame) -> DataFrame:
             )
         )
     rows = rows.withColumn("atoms", F.when(good, F.array(*atoms))).withColumn("gamma", F.when(good, F.array(*gamma)))
-    return rows.withColumn("trace_hash", trace_hash(F.col("atoms"), F.col("gamma"))).drop("_spans")
+    return _once(_once(rows.drop("_spans")).withColumn("trace_hash", trace_hash(F.col("atoms"), F.col("gamma"))))
 
 
 def _norm(x: Column) -> Column:
@@ -235,7 +240,7 @@ def visual_problems(gamma: Column, n_images: Column) -> Column:
 def guard_plan(programs: DataFrame, dropped: str | None = None, need_cross: bool = False) -> DataFrame:
     """Adds status PLAN_OK or REJECTED and the reason of the first failed stage: compile, exec, visual, trace, visual_anchor."""
     rows = traced(bound(executed(compiled(programs), dropped), need_cross))
-    rows = rows.withColumn("_trace", trace_problems(F.col("atoms"), F.col("gamma"), F.col("trace_hash"), F.col("evidence"))).withColumn("_visual", visual_problems(F.col("gamma"), F.col("n_images")))
+    rows = _once(rows.withColumn("_trace", trace_problems(F.col("atoms"), F.col("gamma"), F.col("trace_hash"), F.col("evidence"))).withColumn("_visual", visual_problems(F.col("gamma"), F.col("n_images"))))
     several = lambda c: F.when(F.size(c) > 0, F.left(F.array_join(c, ","), F.lit(80)))
     stages = (("compile:", F.col("compile_reason")), ("exec:", F.col("execution.reason")), ("visual:", F.col("bind_reason")), ("trace:", several("_trace")), ("visual_anchor:", several("_visual")))
     reason = F.coalesce(*[F.concat(F.lit(name), x) for name, x in stages])
