@@ -1,28 +1,24 @@
 """Alignment of two tokenizers: groups and links of the tokens of a text, and how often ids are linked.
 
-Python only tokenises: it returns each token as one integer, its end (in bytes of space and text) before
-its id, and the ends alone. From there on everything is Spark's own: array_intersect of the ends gives the
-places where both tokenizers cut; marks of these places, sorted among the tokens, cut the id lists into
-groups; the last ids of a group's two sides are linked, since one token of each side ends there.
+A task tokenises some texts at a time and looks for the places (in bytes of space and text) where tokens of
+both sides end: these cut the id lists into groups, and the last ids of a group's two sides are linked, since
+one token of each side ends there. Links are counted, ranked and summed by Spark's joins and aggregations.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import as_bytes, chunks, id_and_text, own_worker, stored, trim
 from .tokens import Encoder, tokenizer_path
 
-#: Bits of an id in a token (the mark of a cut is the greatest such number); a token is end << ID_BITS | id.
-ID_BITS = 17
-MARK = (1 << ID_BITS) - 1
 #: Pieces that a worker remembers for each tokenizer.
 CACHE_PIECES = 500_000
 CHUNK_BYTES = 1_000_000
@@ -103,50 +99,79 @@ class Pool:
         return self.data[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
 
 
-_pairs: dict[tuple[str, str], tuple[ByteTokens, PieceTokens]] = {}
-#: Arrays without nulls, which Spark sorts and compares as plain numbers.
-KIND = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_ends", "b", "b_ends")]])
+class Written:
+    """Ids in decimal, each with the sign that follows it: , inside a side, | after the first side, ; after a group."""
 
+    def __init__(self):
+        self.table = np.array([f"{i}{c}" for i in range(1 << 16) for c in ",|;"], "S6").view(np.uint8).reshape(-1, 6)
+        self.size = (self.table != 0).sum(1)
 
-def _tokens(path_a: str, path_b: str):
-    names = ["row_id", "doc_id", "a", "a_ends", "b", "b_ends"]
+    def joined(self, ids: np.ndarray, sign: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All of them side by side, and where each ends."""
+        at = ids * 3 + sign
+        flat = self.table[at].ravel()
+        return flat[flat != 0].tobytes(), np.cumsum(self.size[at])
+
+
+def _groups(written: Written, ids: list[np.ndarray], ends: list[np.ndarray], upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of texts with ids and ends of both sides, each text's ends below its `upto` and from the one before: groups of each text, links of all, digests."""
+    cuts = np.intersect1d(*ends)
+    edge = [np.concatenate(([0], np.searchsorted(e, cuts, "right"))) for e in ends]
+    group = [np.repeat(np.arange(len(cuts)), np.diff(x)) for x in edge]
+    # before a token of the first side stand the other side's tokens of earlier groups; before one of the second the first side's of its own group, too
+    place = [np.arange(len(ids[0])) + edge[1][group[0]], np.arange(len(ids[1])) + edge[0][group[1] + 1]]
+    every, sign = np.zeros(len(ids[0]) + len(ids[1]), np.int64), np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+    for k in range(2):
+        every[place[k]] = ids[k]
+        sign[place[k][edge[k][1:] - 1]] = k + 1
+    text, end = written.joined(every, sign)
+    count = np.diff(np.searchsorted(cuts, upto), prepend=0)
+    last = np.concatenate(([0], end))[(edge[0] + edge[1])[np.cumsum(count)]].tolist()
+    digests = [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip([0, *last], last)]
+    return count, ids[0][edge[0][1:] - 1] << 16 | ids[1][edge[1][1:] - 1], digests
+
+
+_pairs: dict[tuple[str, str], tuple[ByteTokens, PieceTokens, Written]] = {}
+KIND = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
 
-    def column(parts: list[np.ndarray]) -> pa.Array:
-        cuts = np.cumsum([0] + [len(x) for x in parts])
-        return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())).cast(pa.list_(pa.field("element", pa.int64(), nullable=False)))
+
+def _tokens(path_a: str, path_b: str):
+    names = [x.split()[0] for x in KIND.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("align", _pairs.clear)
         key = (path_a, path_b)
         if key not in _pairs:
-            _pairs[key] = ByteTokens(path_a), PieceTokens(path_b)
-        sides, row = _pairs[key], TaskContext.get().partitionId() << 33
+            _pairs[key] = ByteTokens(path_a), PieceTokens(path_b), Written()
+        *sides, written = _pairs[key]
+        row = TaskContext.get().partitionId() << 33
+        none = np.zeros(0, np.int64)
         for batch in batches:
             for piece in chunks(batch, "text", CHUNK_BYTES):
                 texts = as_bytes(piece.column("text"))
                 ids = [x.spaced(texts) for x in sides]
-                none = np.zeros(0, np.int64)
-                keys, ends = ([], []), ([], [])
                 for i, text in enumerate(texts):
-                    good = bool(text) and all(s.pool.joined(x[i]) == b" " + text for s, x in zip(sides, ids))
-                    for s, x, k, e in zip(sides, ids, keys, ends):
-                        at = np.cumsum(s.pool.size[x[i]]) if good else none
-                        e.append(at)
-                        k.append(at << ID_BITS | x[i].astype(np.int64) if good else none)
-                rows = pa.array(np.arange(row, row + len(texts)))
+                    if not text or any(s.pool.joined(x[i]) != b" " + text for s, x in zip(sides, ids)):
+                        for x in ids:
+                            x[i] = none
+                upto = np.cumsum([len(x) + 2 for x in texts])  # a text's ends go from 0 to its length + 1
+                sizes = [np.array([len(y) for y in x], np.int64) for x in ids]
+                flat = [np.concatenate([none, *x]).astype(np.int64) for x in ids]
+                ends = []
+                for s, x, n in zip(sides, flat, sizes):
+                    width = np.concatenate(([0], np.cumsum(s.pool.size[x])))
+                    first = np.cumsum(n) - n
+                    ends.append(width[1:] + np.repeat(np.concatenate(([0], upto[:-1])) - width[first], n))
+                count, links, digests = _groups(written, flat, ends, upto)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(links, pa.int64()))
+                groups = pa.array(count, pa.int64())
+                yield pa.record_batch([pa.array(np.arange(row, row + len(texts))), piece.column("doc_id").cast(pa.int64()), pa.array(sizes[0]), pa.array(sizes[1]), groups, groups, pa.array(digests, pa.string()), lists], names=names)
                 row += len(texts)
-                yield pa.record_batch([rows, piece.column("doc_id").cast(pa.int64()), column(keys[0]), column(ends[0]), column(keys[1]), column(ends[1])], names=names)
         trim()
 
     return run
 
 
-def _cut(tokens: Column, marks: Column) -> Column:
-    """The ids of each group, joined by commas, from the tokens and the marks of the cuts."""
-    flat = F.array_join(F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(MARK).cast("string")), ",")
-    return F.split(F.replace(flat, F.lit(f",{MARK},"), F.lit(";")), ";")
-
-
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """Stored: row_id, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (A id << 16 | B id of each).
 
@@ -154,21 +179,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     null or empty, or that a tokenizer does not give back byte by byte, have no tokens. Only doc_id and
     text are read. An empty table gives an empty one. Ids of A lie below 2^16, as those of B.
     """
-    raw = id_and_text(docs).mapInArrow(_tokens(path_a or tokenizer_path(), path_b or tokenizer_path("piece_bpe_32k.model")), KIND)
-    some = raw.select("row_id", "doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "a", "b", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    inner = F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0)))  # the last cut is the end of both
-    marks = F.transform(inner, lambda c: F.shiftleft(c, ID_BITS).bitwiseOR(F.lit(MARK).cast("long")))
-    some = some.select("*", F.size("cuts").alias("n_groups"), marks.alias("marks"))
-    some = some.select("row_id", "doc_id", "n_a", "n_b", "n_groups", _cut(F.col("a"), F.col("marks")).alias("ga"), _cut(F.col("b"), F.col("marks")).alias("gb"))
-    last = lambda x: F.substring_index(x, ",", -1).cast("int")
-    groups = F.sha2(F.array_join(F.zip_with("ga", "gb", lambda x, y: F.concat(x, F.lit("|"), y)), ";"), 256)
-    links = F.zip_with("ga", "gb", lambda x, y: F.shiftleft(last(x).cast("long"), 16).bitwiseOR(last(y).cast("long")))
-    any_ = F.col("n_groups") > 0
-    out = some.select(
-        "row_id", "doc_id", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), F.col("n_groups").cast("long").alias("n_links"),
-        F.when(any_, groups).otherwise("").alias("groups_sha256"), F.when(any_, links).otherwise(F.array().cast("array<bigint>")).alias("links"),
-    )
-    return stored(out, "links")
+    return stored(id_and_text(docs).mapInArrow(_tokens(path_a or tokenizer_path(), path_b or tokenizer_path("piece_bpe_32k.model")), KIND), "links")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

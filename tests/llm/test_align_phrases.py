@@ -163,3 +163,13 @@ def test_counts_of_many_candidates_take_one_pass(spark, monkeypatch):
     counts, _ = phrases.phrase_counts(df, 2)
     assert sum("block" not in x for x in passes) == 1
     assert sum(len(r.phrase) for r in counts.collect()) > 5 * 200
+
+
+def test_groups_of_some_texts_at_once():
+    """Texts without tokens lie between the others; a group ends where both sides' tokens do."""
+    ids = [np.array([5, 6, 7, 65535]), np.array([1, 2, 3, 40])]
+    ends = [np.array([2, 5, 7, 24]), np.array([5, 6, 7, 24])]
+    count, links, digests = align._groups(align.Written(), ids, ends, np.array([9, 12, 30, 33]))
+    want = [hashlib.sha256(x).hexdigest() for x in (b"5,6|1;7|2,3", b"65535|40")]
+    assert count.tolist() == [2, 0, 1, 0] and digests == [want[0], "", want[1], ""]
+    assert links.tolist() == [6 << 16 | 1, 7 << 16 | 3, 65535 << 16 | 40]
