@@ -291,3 +291,9 @@ def test_best_overlap_keeps_a_row_an_anchor_in_each_task(spark):
     assert not [x for x in rows._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:] if "s#" in x.split(")")[0]]
     got = {r.item: (r.s, r.score) for r in rows.collect()}
     assert got == {i: (min(-j for j in range(300) if i in (j % 30, j % 7)), 1.0) for i in range(20)} | {99: (None, None)}
+
+
+def test_best_overlap_counts_rows_of_one_sentence_together(spark):
+    a = spark.createDataFrame([(1, 0, ["x", "y"])], "item int, a int, tokens array<string>")
+    s = spark.createDataFrame([(5, ["x"]), (7, ["x"]), (7, ["y"])], "s int, tokens array<string>")
+    assert [(r.s, r.score) for r in relational.best_overlap(a, s).collect()] == [(7, 1.0)]
