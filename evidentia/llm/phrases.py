@@ -6,7 +6,8 @@ into words. For each order from 1 to 5 the tasks add the hashes of their phrases
 count of each phrase in it from above. A phrase of the next order is only sketched if both of its parts
 one word shorter can reach the least count. What passes all bounds is a candidate: no frequent phrase
 is lost, some rare ones come along. One more pass counts the candidates of each task, whatever their
-number; the tasks' counts are summed by phrase and only then compared with the least count.
+number; the tasks' counts are summed by phrase and only then compared with the least count. Tasks are as
+many as the cores ask for, however long the texts: each adds up all that it reads before it hands it on.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ DEAL = 64
 CELLS, CELLS_MOST = 1 << 24, 1 << 27
 #: Cells of a block, and tasks whose blocks are added at once (256 times 192 KB at most).
 BLOCK, FAN = 1 << 16, 256
+#: Tasks for each core. A task names each of its phrases once, so with a task for each stretch of text the rows would be phrases times text; so many tasks keep them in step with the phrases.
+TASKS = 2
 #: Characters of the different phrases that a task holds with their counts (about 100 MB); beyond them it hands on what it has and begins anew.
 AUTOMATON_CHARS = 30_000_000
 CHUNK_BYTES = 2_000_000
@@ -207,7 +210,7 @@ def _counts(bits: list[np.ndarray]):
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of the phrases of up to `longest` words with f >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).coalesce(TASKS * spark.sparkContext.defaultParallelism)
     size, shards = rows.select(F.octet_length("text").alias("bytes"), F.spark_partition_id().alias("part")).agg(F.sum("bytes"), F.max("part")).first()
     size, shards = size or 0, (shards or 0) + 1
     cells = CELLS

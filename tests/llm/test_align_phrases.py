@@ -165,6 +165,21 @@ def test_counts_of_many_candidates_take_one_pass(spark, monkeypatch):
     assert sum(len(r.phrase) for r in counts.collect()) > 5 * 200
 
 
+def test_rows_of_the_counting_pass_do_not_grow_with_the_partitions(spark, monkeypatch):
+    """Texts in 40 partitions: each phrase is named by TASKS tasks a core at most, and the counts are the plain ones."""
+    monkeypatch.setattr(phrases, "CELLS", 1 << 16)
+    monkeypatch.setattr(phrases, "CELLS_MOST", 1 << 16)
+    passes = []
+    read = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: (passes.append((read(self, f, schema), schema)), passes[-1][0])[1])
+    df = spark.createDataFrame([(i, "one two one two", "en", "s", 0) for i in range(400)], DOC).repartition(40)
+    counts, total = phrases.phrase_counts(df, 2)
+    assert {(r.phrase, r.f) for r in counts.collect()} == {("one", 800), ("two", 800), ("one two", 800), ("two one", 400), ("one two one", 400), ("two one two", 400), ("one two one two", 400)}
+    assert [tuple(r) for r in total.collect()] == [("en", 1600)]
+    named = next(x for x, schema in passes if "block" not in schema).filter("phrase IS NOT NULL").count()
+    assert named <= 7 * phrases.TASKS * spark.sparkContext.defaultParallelism
+
+
 def test_groups_of_some_texts_at_once():
     """Texts without tokens lie between the others; a group ends where both sides' tokens do."""
     ids = [np.array([5, 6, 7, 65535]), np.array([1, 2, 3, 40])]
