@@ -1,4 +1,4 @@
-"""Labelled rows for training: the fold rule, a bounded sample, and logistic fits in numpy."""
+"""Labelled rows for training: the fold rule, all or a bounded sample, and logistic fits in numpy."""
 
 from __future__ import annotations
 
@@ -12,20 +12,25 @@ def held_out():
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
+def training(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label (0 or 1) of all training rows. Missing labels and ids are left out; rows labelled twice count twice."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """doc_id, text and label (0 or 1) of at most `most` training rows of each label, those of least hash.
 
     The sample of ids is bounded by 2 * most, so broadcasting it is safe. Missing labels and ids are
     left out; rows labelled twice count twice.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
+    rows = training(labels, label)
     parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
 
 
 def shares(labels: DataFrame, label: str) -> dict[int, int]:
     """How many training rows have each label."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
+    rows = training(labels, label)
     return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 

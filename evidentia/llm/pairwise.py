@@ -1,24 +1,29 @@
 """Quality scores by Bradley-Terry ranking: preference pairs, feature differences, logistic loss.
 
-The features describe a text alone. Pairs (a document labelled 1 is preferred to one labelled 0) come
-from a bounded sample of labelled training rows. The threshold is a quantile of the sample's scores,
-weighted back to the labels' shares; a logistic map puts that quantile at 0.3.
+The features describe a text alone. All training rows are learnt from, in all pairs (a document labelled 1
+is preferred to one labelled 0): in each step of Newton's method the rows are summed in narrow bins of
+their score, and a pair of bins stands for all pairs of their rows, so work grows with the rows and not
+with the pairs. The threshold is the quantile of the training rows' scores at which fewest rows are
+wrong; a logistic map puts that quantile at 0.3.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, as_bytes, chunks, id_and_text, own_worker, shingle_hashes, word_hashes
-from .labelled import held_out, logistic, sample, shares
+from ._common import SPACE, as_bytes, chunks, id_and_text, own_worker, shingle_hashes, stored, word_hashes
+from .labelled import held_out, logistic, shares, training
 
-#: Labelled rows of each class and preference pairs at most.
-SAMPLE_ROWS, PAIRS = 4000, 60_000
+#: Bins of a score's unit. The loss is taken at the mean of a bin's rows, so its error is of the order of 1 / (200 * BINS ** 2) at most.
+BINS = 16
+#: Rows are summed as whole numbers of these units, so that their order and their partitions change nothing.
+MOMENT, FINE, ROOT = 2.0**30, 2.0**20, 2.0**12
+RIDGE, STEPS, ENOUGH = 1e-3, 40, 1e-4
 CHUNK_BYTES = 3_000_000
 THRESHOLD = 0.3
 NAMES = ["log_words", "word_chars", "distinct", "top_word", "adjacent", "windows", "upper", "digit", "symbol", "bang", "punct", "newline", "other", "dup_lines", "pipes", "long_words"]
@@ -64,11 +69,46 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in chunks(batch, "text", CHUNK_BYTES):
             x = text_features(as_bytes(piece.column("text")))
-            yield pa.record_batch([piece.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "held_out", "x"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(NAMES))
+
+
+def _sums(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and the sums of the whole numbers that `parts` gives for some rows' features and labels."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("pairwise")
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys, numbers = parts(_matrix(batch.column("x")), batch.column("label").to_numpy())
+            for k, v in zip(keys.tolist(), numbers):
+                total[k] = total[k] + v if k in total else v
+        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["key", "v"])
+
+    each = rows.mapInArrow(run, "key long, v array<long>").select("key", F.posexplode("v").alias("pos", "v"))
+    got = each.groupBy("key", "pos").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()
+    key, pos, v = (got.column(c).to_numpy() for c in ("key", "pos", "v"))
+    keys, at = np.unique(key, return_inverse=True)
+    out = np.zeros((len(keys), int(pos.max(initial=-1)) + 1))
+    out[at, pos] = v
+    return keys, out
+
+
+def _by_key(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' numbers summed by key."""
+    order = np.argsort(keys, kind="stable")
+    each, first = np.unique(keys[order], return_index=True)
+    return each, np.add.reduceat(numbers[order].astype(np.int64), first, axis=0) if len(first) else numbers.astype(np.int64)
 
 
 class Ranking:
-    """Weights, centre and spread of the features, and the map from a Bradley-Terry score to 0..1."""
+    """Weights, centre and spread of the features, and the map from a Bradley-Terry score to 0..1.
+
+    This one is learnt from arrays in memory and so many drawn pairs; rank_quality learns a Whole one.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, share: dict[int, int], pairs: int, seed: int = 7):
         self.ok = bool((y == 1).any() and (y == 0).any())
@@ -107,29 +147,122 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(s + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Ranking:
-    """Learn from at most `rows` training rows of each label; only their features go to the driver."""
-    got = sample(docs, labels, "quality", rows).select("label", "text").mapInArrow(_features, "label int, x array<double>").toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
-    y = np.array(got.column("label").to_pylist(), int)
-    order = np.lexsort((*x.T, y))  # the fit must not depend on the order of arrival
-    return Ranking(x[order], y[order], shares(labels, "quality"), pairs)
+class Whole(Ranking):
+    """A ranking learnt from all rows of `train` (label, x) and all their pairs, by sums over Spark."""
+
+    def __init__(self, train: DataFrame, base: float):
+        self.base, width = base, len(NAMES)
+        labels, sums = _sums(train, lambda x, y: _by_key(y, np.rint(np.column_stack([np.ones(len(x)), x, x * x]) * MOMENT)))
+        self.ok = labels.tolist() == [0, 1]
+        if not self.ok:
+            return
+        n, sums = sums[:, 0] / MOMENT, sums.sum(0)
+        self.mean = sums[1 : width + 1] / sums[0]
+        self.std = np.sqrt(np.maximum(sums[width + 1 :] / sums[0] - self.mean**2, 0)) + 1e-6
+        self.w = np.zeros(2 * width)
+        best, step = np.inf, np.zeros(2 * width)
+        for _ in range(STEPS):
+            keys, bins = self._bins(train)
+            loss, gradient, weight, cross = self._pairs(keys, bins, n)
+            if loss > best + 1e-6:  # too far: half the way back
+                step /= 2
+                self.w += step
+                continue
+            best = loss
+            step = np.linalg.solve(self._curvature(train, keys, weight) - cross - cross.T + RIDGE * np.eye(2 * width), gradient)
+            step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < ENOUGH:
+                break
+            self.w -= step
+        keys, bins = self._bins(train)
+        rows, score = bins[:, 0], bins[:, 1:] @ self.w / bins[:, 0]
+        self.slope = 1 / max(1e-3, 0.5 * float(np.sqrt(np.average((score - np.average(score, weights=rows)) ** 2, weights=rows))))
+        self._threshold(train, keys, bins[:, 0])
+
+    def _key(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Twice the number of the score's bin, and the label."""
+        return 2 * np.floor((z * self.w).sum(1) * BINS).astype(np.int64) + y
+
+    def _bins(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of each bin and label, and the sums of their features."""
+
+        def parts(x: np.ndarray, y: np.ndarray):
+            z = self._wide(x)
+            return _by_key(self._key(z, y), np.rint(np.column_stack([np.ones(len(z)), z]) * FINE))
+
+        keys, sums = _sums(train, parts)
+        return keys, sums / FINE
+
+    def _pairs(self, keys: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean loss of all pairs and its gradient; each bin's share in the second derivative, and what of that is between bins."""
+        rows, sums, score = bins[:, 0], bins[:, 1:], bins[:, 1:] @ self.w / bins[:, 0]
+        bad, good = keys % 2 == 0, keys % 2 == 1
+        d, pairs = score[good][:, None] - score[bad], n[0] * n[1]
+        lost = 1 / (1 + np.exp(np.clip(d, -40, 40)))
+        curve = lost * (1 - lost)
+        loss = rows[good] @ np.logaddexp(0, -d) @ rows[bad] / pairs + RIDGE / 2 * self.w @ self.w
+        gradient = (sums[bad].T @ (lost.T @ rows[good]) - sums[good].T @ (lost @ rows[bad])) / pairs + RIDGE * self.w
+        weight = np.zeros(len(keys))
+        weight[good], weight[bad] = curve @ rows[bad] / pairs, curve.T @ rows[good] / pairs
+        return float(loss), gradient, weight, sums[good].T @ curve @ sums[bad] / pairs
+
+    def _curvature(self, train: DataFrame, keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The rows' squares, each with its bin's share."""
+        most = weight.max()
+
+        def parts(x: np.ndarray, y: np.ndarray):
+            z = self._wide(x)
+            u = np.rint(z * np.sqrt(weight[np.searchsorted(keys, self._key(z, y))] / most)[:, None] * ROOT)
+            return np.zeros(1, np.int64), (u.T @ u).astype(np.int64).reshape(1, -1)  # whole numbers far below 2 ** 53: exact
+
+        return _sums(train, parts)[1].reshape(len(self.w), -1) * (most / ROOT**2)
+
+    def _threshold(self, train: DataFrame, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Cut and quantile: between two scores where fewest rows are wrong, of equally good cuts the middle one."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own_worker("pairwise")
+            for batch in batches:
+                z, y = self._wide(_matrix(batch.column("x"))), batch.column("label").to_numpy()
+                yield pa.record_batch([pa.array(self._key(z, y) // 2), pa.array((z * self.w).sum(1)), batch.column("label")], names=["bin", "s", "label"])
+
+        each = np.unique(keys // 2)
+        good, bad = (np.array([rows[keys == 2 * b + y].sum() for b in each]).astype(np.int64) for y in (1, 0))
+        # a cut in a bin has the good rows of the bins before on its wrong side, and all the bad rows that are not below it
+        start = np.cumsum(good) - good + bad.sum() - (np.cumsum(bad) - bad)
+        below = np.cumsum(good + bad) - good - bad
+        spark = train.sparkSession
+        starts = spark.createDataFrame(list(zip(each.tolist(), start.tolist(), below.tolist())), "bin long, start long, below long")
+        upto = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scores = train.mapInArrow(run, "bin long, s double, label int").groupBy("bin", "s").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+        cuts = scores.join(F.broadcast(starts), "bin").select("s", (F.col("start") + F.sum(F.col("good") - F.col("bad")).over(upto)).alias("wrong"), (F.col("below") + F.sum(F.col("good") + F.col("bad")).over(upto)).alias("rows"))
+        cuts = stored(cuts, "cuts")
+        least = cuts.agg(F.min("wrong").alias("wrong"), F.min("s").alias("s")).first()
+        if bad.sum() < least.wrong:  # nothing is cut off
+            self.cut, self.quantile = least.s, 0.0
+            return
+        best = cuts.filter(F.col("wrong") == least.wrong)
+        at = best.orderBy("s").offset(best.count() // 2).limit(1).first()
+        above = cuts.filter(F.col("s") > at.s).agg(F.min("s")).first()[0]
+        self.cut, self.quantile = (at.s + (at.s if above is None else above)) / 2, at.rows / int(rows.sum())
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def rank_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
-    A null text is scored as an empty one, a null doc_id is held out, repeated rows get equal scores; a
-    text is scored whole, however long. Other columns are not read; an empty table gives an empty one.
-    Without labels of both kinds the score is the share of label 1 (0.5 without any).
+    All training rows are learnt from. A null text is scored as an empty one, a null doc_id is held out, repeated
+    rows get equal scores; a text is scored whole, however long. Other columns are not read; an empty table gives
+    an empty one. Without labels of both kinds the score is the share of label 1 (0.5 without any).
     """
-    model = fit(docs, labels, rows)
+    share = shares(labels, "quality")
+    features = stored(id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_features, "doc_id long, held_out boolean, x array<double>"), "features")
+    train = stored(features.filter("NOT held_out").join(training(labels, "quality"), "doc_id").select("label", "x"), "training")
+    model = Whole(train, share.get(1, 0) / sum(share.values()) if share else 0.5)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("pairwise")
         for batch in batches:
-            for piece in chunks(batch, "text", CHUNK_BYTES):
-                score = model.score(text_features(as_bytes(piece.column("text"))))
-                yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            score = model.score(_matrix(batch.column("x")))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return features.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

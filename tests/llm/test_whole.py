@@ -223,3 +223,38 @@ def test_ranking_minimises_the_pairwise_loss():
     scores = rank.score(x)
     assert np.array_equal(np.argsort(scores, kind="stable")[-50:], np.argsort(plain, kind="stable")[-50:])
     assert np.array_equal(scores >= pairwise.THRESHOLD, plain >= rank.cut - 1e-12)
+
+
+def test_quality_is_learnt_from_all_pairs(spark):
+    """Weights and cut are those of a plain fit on every pair, whatever the partitions."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(150, len(pairwise.NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] + r.normal(size=150) * 0.5 > 0.7).astype(int)
+    df = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "label int, x array<double>")
+    model, other = pairwise.Whole(df.repartition(5), 0.5), pairwise.Whole(df.coalesce(1), 0.5)
+    assert model.w.tolist() == other.w.tolist() and (model.cut, model.slope, model.quantile) == (other.cut, other.slope, other.quantile)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.std, x.std(0), atol=1e-5)
+    z = model._wide(x)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    plain = pairwise.logistic(np.concatenate((d, -d)), np.repeat([1.0, 0.0], len(d)), ridge=1e-3, intercept=False)[:-1]
+    assert np.abs(model.w - plain).max() < 2e-3 * np.abs(plain).max()
+    s = (z * model.w).sum(1)
+    wrong = lambda cut: int(((s >= cut) != (y == 1)).sum())
+    assert wrong(model.cut) == min(wrong(c) for c in [*s, np.inf]) and model.quantile == (s < model.cut).mean()
+
+
+def test_quality_leaves_no_training_row_out(spark, monkeypatch):
+    """5200 rows of label 1, more than the bounded sample had, beside 40 of label 0."""
+    seen = []
+
+    class Seen(pairwise.Whole):
+        def __init__(self, train, base):
+            seen.append({x["label"]: x["count"] for x in train.groupBy("label").count().collect()})
+            self.ok, self.base = False, base
+
+    monkeypatch.setattr(pairwise, "Whole", Seen)
+    df = spark.range(5240).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), (F.col("id") >= 40).cast("int").alias("quality"))
+    assert pairwise.rank_quality(df.select("doc_id", "text"), df.select("doc_id", "quality")).count() == 5240
+    kept = [i for i in range(5240) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [{0: sum(i < 40 for i in kept), 1: sum(i >= 40 for i in kept)}]
+    assert seen[0][1] > 4000
