@@ -24,6 +24,8 @@ BINS = 16
 #: Rows are summed as whole numbers of these units, so that their order and their partitions change nothing.
 MOMENT, FINE, ROOT = 2.0**30, 2.0**20, 2.0**12
 RIDGE, STEPS, ENOUGH = 1e-3, 40, 1e-4
+#: Parts of a score's unit whose cuts are compared side by side; equal scores are one row.
+PARTS = 1024
 CHUNK_BYTES = 3_000_000
 THRESHOLD = 0.3
 NAMES = ["log_words", "word_chars", "distinct", "top_word", "adjacent", "windows", "upper", "digit", "symbol", "bang", "punct", "newline", "other", "dup_lines", "pipes", "long_words"]
@@ -177,7 +179,7 @@ class Whole(Ranking):
         keys, bins = self._bins(train)
         rows, score = bins[:, 0], bins[:, 1:] @ self.w / bins[:, 0]
         self.slope = 1 / max(1e-3, 0.5 * float(np.sqrt(np.average((score - np.average(score, weights=rows)) ** 2, weights=rows))))
-        self._threshold(train, keys, bins[:, 0])
+        self._threshold(train)
 
     def _key(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Twice the number of the score's bin, and the label."""
@@ -217,25 +219,25 @@ class Whole(Ranking):
 
         return _sums(train, parts)[1].reshape(len(self.w), -1) * (most / ROOT**2)
 
-    def _threshold(self, train: DataFrame, keys: np.ndarray, rows: np.ndarray) -> None:
+    def _threshold(self, train: DataFrame) -> None:
         """Cut and quantile: between two scores where fewest rows are wrong, of equally good cuts the middle one."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own_worker("pairwise")
             for batch in batches:
-                z, y = self._wide(_matrix(batch.column("x"))), batch.column("label").to_numpy()
-                yield pa.record_batch([pa.array(self._key(z, y) // 2), pa.array((z * self.w).sum(1)), batch.column("label")], names=["bin", "s", "label"])
+                s = (self._wide(_matrix(batch.column("x"))) * self.w).sum(1)
+                yield pa.record_batch([pa.array(np.floor(s * PARTS).astype(np.int64)), pa.array(s), batch.column("label")], names=["part", "s", "label"])
 
-        each = np.unique(keys // 2)
-        good, bad = (np.array([rows[keys == 2 * b + y].sum() for b in each]).astype(np.int64) for y in (1, 0))
-        # a cut in a bin has the good rows of the bins before on its wrong side, and all the bad rows that are not below it
+        spark = train.sparkSession
+        scores = stored(train.mapInArrow(run, "part long, s double, label int").groupBy("part", "s").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")), "scores")
+        each = scores.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow().sort_by("part")
+        part, good, bad = (each.column(c).to_numpy() for c in ("part", "good", "bad"))
+        # a cut in a part has the good rows of the parts before on its wrong side, and all the bad rows that are not below it
         start = np.cumsum(good) - good + bad.sum() - (np.cumsum(bad) - bad)
         below = np.cumsum(good + bad) - good - bad
-        spark = train.sparkSession
-        starts = spark.createDataFrame(list(zip(each.tolist(), start.tolist(), below.tolist())), "bin long, start long, below long")
-        upto = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        scores = train.mapInArrow(run, "bin long, s double, label int").groupBy("bin", "s").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
-        cuts = scores.join(F.broadcast(starts), "bin").select("s", (F.col("start") + F.sum(F.col("good") - F.col("bad")).over(upto)).alias("wrong"), (F.col("below") + F.sum(F.col("good") + F.col("bad")).over(upto)).alias("rows"))
+        starts = spark.createDataFrame(pa.table({"part": part, "start": start, "below": below}))
+        upto = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cuts = scores.join(F.broadcast(starts), "part").select("s", (F.col("start") + F.sum(F.col("good") - F.col("bad")).over(upto)).alias("wrong"), (F.col("below") + F.sum(F.col("good") + F.col("bad")).over(upto)).alias("rows"))
         cuts = stored(cuts, "cuts")
         least = cuts.agg(F.min("wrong").alias("wrong"), F.min("s").alias("s")).first()
         if bad.sum() < least.wrong:  # nothing is cut off
@@ -244,7 +246,7 @@ class Whole(Ranking):
         best = cuts.filter(F.col("wrong") == least.wrong)
         at = best.orderBy("s").offset(best.count() // 2).limit(1).first()
         above = cuts.filter(F.col("s") > at.s).agg(F.min("s")).first()[0]
-        self.cut, self.quantile = (at.s + (at.s if above is None else above)) / 2, at.rows / int(rows.sum())
+        self.cut, self.quantile = (at.s + (at.s if above is None else above)) / 2, at.rows / int((good + bad).sum())
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
