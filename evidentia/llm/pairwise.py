@@ -78,8 +78,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, len(NAMES))
 
 
-def _sums(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and the sums of the whole numbers that `parts` gives for some rows' features and labels."""
+def _sums(rows: DataFrame, width: int, parts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and the sums of the `width` whole numbers a key that `parts` gives for some rows' features and labels.
+
+    A task hands on one row for each of its keys, and these arrays are added up whole.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("pairwise")
@@ -90,13 +93,13 @@ def _sums(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], tuple[np.nd
                 total[k] = total[k] + v if k in total else v
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["key", "v"])
 
-    each = rows.mapInArrow(run, "key long, v array<long>").select("key", F.posexplode("v").alias("pos", "v"))
-    got = each.groupBy("key", "pos").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()
-    key, pos, v = (got.column(c).to_numpy() for c in ("key", "pos", "v"))
-    keys, at = np.unique(key, return_inverse=True)
-    out = np.zeros((len(keys), int(pos.max(initial=-1)) + 1))
-    out[at, pos] = v
-    return keys, out
+    whole = F.array_repeat(F.lit(0).cast("decimal(38,0)"), width)
+    add = lambda a, v: F.zip_with(a, v, lambda p, q: (p + q).cast("decimal(38,0)"))
+    each = rows.mapInArrow(run, "key long, v array<long>").groupBy("key").agg(F.collect_list("v").alias("v"))
+    got = each.select("key", F.aggregate("v", whole, add, lambda a: a.cast("array<double>")).alias("v")).toArrow()
+    key = got.column("key").to_numpy()
+    order = np.argsort(key)
+    return key[order], got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
 
 
 def _by_key(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +157,7 @@ class Whole(Ranking):
 
     def __init__(self, train: DataFrame, base: float):
         self.base, width = base, len(NAMES)
-        labels, sums = _sums(train, lambda x, y: _by_key(y, np.rint(np.column_stack([np.ones(len(x)), x, x * x]) * MOMENT)))
+        labels, sums = _sums(train, 1 + 2 * width, lambda x, y: _by_key(y, np.rint(np.column_stack([np.ones(len(x)), x, x * x]) * MOMENT)))
         self.ok = labels.tolist() == [0, 1]
         if not self.ok:
             return
@@ -192,7 +195,7 @@ class Whole(Ranking):
             z = self._wide(x)
             return _by_key(self._key(z, y), np.rint(np.column_stack([np.ones(len(z)), z]) * FINE))
 
-        keys, sums = _sums(train, parts)
+        keys, sums = _sums(train, 1 + len(self.w), parts)
         return keys, sums / FINE
 
     def _pairs(self, keys: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,9 +218,9 @@ class Whole(Ranking):
         def parts(x: np.ndarray, y: np.ndarray):
             z = self._wide(x)
             u = np.rint(z * np.sqrt(weight[np.searchsorted(keys, self._key(z, y))] / most)[:, None] * ROOT)
-            return np.zeros(1, np.int64), (u.T @ u).astype(np.int64).reshape(1, -1)  # whole numbers far below 2 ** 53: exact
+            return np.arange(len(self.w)), (u.T @ u).astype(np.int64)  # whole numbers far below 2 ** 53: exact
 
-        return _sums(train, parts)[1].reshape(len(self.w), -1) * (most / ROOT**2)
+        return _sums(train, len(self.w), parts)[1] * (most / ROOT**2)
 
     def _threshold(self, train: DataFrame) -> None:
         """Cut and quantile: between two scores where fewest rows are wrong, of equally good cuts the middle one."""

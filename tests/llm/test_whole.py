@@ -243,6 +243,19 @@ def test_quality_is_learnt_from_all_pairs(spark):
     assert wrong(model.cut) == min(wrong(c) for c in [*s, np.inf]) and model.quantile == (s < model.cut).mean()
 
 
+def test_quality_sums_are_a_row_for_each_task_and_key(spark, monkeypatch):
+    """A step's rows are no more than the training rows, or the rows of a matrix for each task; not one for each number."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(150, len(pairwise.NAMES)))
+    y = (x[:, 0] + r.normal(size=150) * 0.5 > 0.3).astype(int)
+    df = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "label int, x array<double>").repartition(7).cache()
+    monkeypatch.setattr(pairwise, "STEPS", 3)
+    rows, group = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: rows.append(self.count()) or group(self, *by))
+    model = pairwise.Whole(df, 0.5)
+    assert model.ok and len(rows) > 5 and max(rows) <= 7 * 2 * len(pairwise.NAMES)
+
+
 def test_quality_leaves_no_training_row_out(spark, monkeypatch):
     """5200 rows of label 1, more than the bounded sample had, beside 40 of label 0."""
     seen = []
